@@ -79,3 +79,9 @@ def squared(value: Column) -> Column:
     """Exact square of a whole number."""
     wide = value.cast("decimal(19,0)")
     return (wide * wide).cast("decimal(38,0)")
+
+
+def round_even(value: Column, digits: int) -> Column:
+    """Round half to even after scaling, as numeric array libraries do."""
+    scale = float(10**digits)
+    return F.rint(value * F.lit(scale)) / F.lit(scale)

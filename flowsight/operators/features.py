@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowsight.functions.scalars import exact_variance, ratio, squared
+from flowsight.functions.scalars import exact_variance, ratio, round_even, squared
 from flowsight.operators.ordering import count_bucket, time_bucket, with_running_max
 from flowsight.schema import FEATURES, KEY, MAX_PROTOCOLS
 
@@ -268,7 +268,7 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
     ).withColumn("leaves_at", F.col("at") + seconds * 1_000_000 + 1)
     sums = sliding_totals(rows, [key], list(measures), seconds)
     n = F.col("n").cast("double")
-    syn = F.bround(F.col("syn") / n, 6)
+    syn = round_even(F.col("syn") / n, 6)
     zero = F.lit(0.0)
     return sums.select(
         key,
@@ -278,7 +278,7 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
         F.col("bytes").alias("bytes_total"),
         F.col("pkts").alias("pkts_total"),
         syn.alias("syn_ratio"),
-        F.bround(F.col("bytes") / n, 6).alias("mean_bytes_flow"),
+        round_even(F.col("bytes") / n, 6).alias("mean_bytes_flow"),
         # Features this path does not measure.
         zero.alias("ack_ratio"),
         zero.alias("fin_ratio"),
@@ -286,7 +286,7 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
         zero.alias("http_ratio"),
         syn.alias("tcp_ratio"),
         F.lit(1).alias("protocol_diversity"),
-        F.bround(
+        round_even(
             F.sqrt(exact_variance(F.col("n"), F.col("bytes"), F.col("squares"))), 2
         ).alias("std_bytes"),
         zero.alias("iat_mean"),

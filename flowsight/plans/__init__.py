@@ -1,6 +1,11 @@
 """Whole jobs composed from the operators, and the adapters that feed them from given tables."""
 
-from flowsight.plans import policy_queries, traffic_queries  # noqa: F401
+from flowsight.plans import (  # noqa: F401
+    policy_queries,
+    quality_queries,
+    traffic_queries,
+    training_queries,
+)
 from flowsight.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

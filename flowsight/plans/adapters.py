@@ -142,7 +142,9 @@ def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packet_summaries(spark: SparkSession, sf_dir: str, variant: str = "A") -> DataFrame:
+def packet_summaries(
+    spark: SparkSession, sf_dir: str, variant: str = "A", more: dict[str, Column] | None = None
+) -> DataFrame:
     """Raw packet summaries with the heterogeneous column names of the public captures."""
     extra = []
     if variant == "B":
@@ -162,5 +164,6 @@ def packet_summaries(spark: SparkSession, sf_dir: str, variant: str = "A") -> Da
         F.col("l_extendedprice").alias("Max"),
         F.col("l_quantity").alias("Rate"),
         *extra,
+        *[c.alias(n) for n, c in (more or {}).items()],
         dataset_name(F.col("l_suppkey")).alias("source_file"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsight.functions.scalars import round_even
 from flowsight.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,4 +50,4 @@ def rounded(df: DataFrame, digits: int = 6, columns: list[str] | None = None) ->
     they keep more.
     """
     names = columns or [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.bround(c, 10 if c == "iat_mean" else digits) for c in names})
+    return df.withColumns({c: round_even(F.col(c), 10 if c == "iat_mean" else digits) for c in names})
