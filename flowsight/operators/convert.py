@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from pyspark.sql import types as T
 
 from flowsight.functions.labels import attack_label
 from flowsight.functions.scalars import clip, ratio, round_even
-from flowsight.operators.clean import drop_invalid
 from flowsight.operators.lookups import lookup
 from flowsight.schema import FEATURES, MAX_PROTOCOLS
 
@@ -149,10 +149,14 @@ def convert_packet_summaries(
     kept = [c for c in keep if c in df.columns]
     columns = [c for c in df.columns if c not in kept]
     packets, size = packet_and_byte_columns(df.select(*[f"`{c}`" for c in columns]), allow_proxy)
-    # An endless packet count makes the row invalid, like any other infinite cell.
-    whole = F.when(cell(packets) != float("inf"), cell(packets).try_cast("long"))
-    flows = F.when(whole.isNotNull(), F.greatest(F.lit(1).cast("long"), whole))
-    named = df.select(*kept, *[f"`{c}`" for c in columns], flows.alias("_flows"))
+    # Only these cells can make a feature infinite and so the row invalid; ratios are clipped.
+    # Checking them before the projection keeps the filter next to the scan.
+    unbounded = {packets, size, resolve_column(columns, STD), resolve_column(columns, IAT)} - {None}
+    if not resolve_column(columns, STD):
+        unbounded |= {resolve_column(columns, MIN), resolve_column(columns, MAX)} - {None}
+    valid = reduce(lambda a, b: a & b, [F.abs(cell(c)) < float("inf") for c in sorted(unbounded)])
+    flows = F.greatest(F.lit(1).cast("long"), cell(packets).try_cast("long"))
+    named = df.filter(valid).select(*kept, *[f"`{c}`" for c in columns], flows.alias("_flows"))
     n = F.col("_flows")
     zero = F.lit(0.0)
 
@@ -190,13 +194,12 @@ def convert_packet_summaries(
             "uniq_dst": unique_count(columns, UNIQUE_DST),
         }
     name = label if label is not None else attack_label(F.col("source_file"))
-    rows = named.select(
+    return named.select(
         *kept,
         *[values[c].alias(c) for c in FEATURES],
         *[v.alias(c) for c, v in legacy.items()],
         name.alias("label"),
     )
-    return drop_invalid(rows)
 
 
 def conversion_summary(converted: DataFrame) -> DataFrame:

@@ -167,12 +167,16 @@ def score_totals(scores: DataFrame, score: str = "score", buckets: int = CURVE_B
             F.sum(1 - F.col("y")).cast("long").alias("neg"),
         )
     )
-    marks = [i / buckets for i in range(1, buckets)]
+    # Asking for the counts here too makes the three uses of `counted` one plan, computed once.
+    listed = F.when(F.col("pos") + F.col("neg") > 0, F.col("score"))
+    marks = F.lit([i / buckets for i in range(1, buckets)])
     bounds = counted.agg(
-        F.array_distinct(F.percentile_approx("score", marks, 10 * buckets)).alias("_bounds")
+        F.array_distinct(F.percentile_approx(listed, marks, 10 * buckets)).alias("_bounds")
     )
-    # Number of quantile bounds at or above the score: 0 is the top quantile.
-    bucket = F.size(F.filter("_bounds", lambda b: b >= F.col("score")))
+    # Number of quantile bounds at or above the score: 0 is the top quantile. Never null, or the
+    # join on it would push a null check (and this search) below the count, to every single row.
+    above_score = F.filter("_bounds", lambda b: b >= F.col("score"))
+    bucket = F.coalesce(F.size(above_score), F.lit(0))
     placed = counted.withColumn("_bounds", bounds.scalar()).withColumn("_bucket", bucket).drop("_bounds")
     totals = placed.groupBy("_bucket").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     every = W.partitionBy(F.lit(0))

@@ -214,7 +214,7 @@ def assign_anchored_windows(
     """Window index by event time, counted from each sensor's anchor."""
     from flowsight.operators.lookups import lookup
 
-    return lookup(flows, anchors, [key], how="inner").withColumn(
+    return lookup(flows, anchors, [key], how="inner", derived=True).withColumn(
         "window_index", anchored_index(F.col("ts"), F.col("anchor"), seconds)
     )
 

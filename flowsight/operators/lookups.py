@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsight.session import materialize
+
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
@@ -23,14 +25,17 @@ def lookup(
     how: str = "left",
     max_broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    derived: bool = False,
 ) -> DataFrame:
     """Join ``left`` to a table with one row per key.
 
     A counted small table is broadcast. A larger one is shuffled, with the rows of every key
     (missing keys too) spread over ``salts`` tasks, so a key that holds much of ``left`` does not
-    end in one of them.
+    end in one of them. Say ``derived`` if ``dim`` is itself the result of work on large data: it
+    is then written to the scratch folder first, so that counting it does not do that work twice.
     """
     on = list(on)
+    dim = materialize(dim, "lookup") if derived else dim
     if small_enough(dim, max_broadcast_rows):
         return left.join(F.broadcast(dim), on, how)
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))

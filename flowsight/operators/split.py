@@ -45,7 +45,7 @@ def head_or_tail(
     """
     cuts = head_cuts(df, keys, order, bucket, take).withColumnRenamed("cut", "_cut")
     return (
-        lookup(df, cuts, keys)
+        lookup(df, cuts, keys, derived=True)
         .withColumn(name, F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False)))
         .drop("_cut")
     )
@@ -88,7 +88,7 @@ def split_by_file(df: DataFrame, order: str = "row_position", file: str = "sourc
         ),
         F.lit("train"),
     ).otherwise(F.lit("test"))
-    return lookup(rows, cuts, [file]).withColumn("part", part).drop("_cut", "_real", "_positional")
+    return lookup(rows, cuts, [file], derived=True).withColumn("part", part).drop("_cut", "_real", "_positional")
 
 
 def union_datasets(*frames: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
         label,
         (F.col("_total.rows") / (F.col("_total.classes") * F.col("_rows"))).alias("weight"),
     )
-    return lookup(df, weights, [label])
+    return lookup(df, weights, [label], derived=True)
 
 
 def replay_feed(
