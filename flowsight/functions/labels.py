@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Attack families in the order they are tried. A family applies when the lower-cased
@@ -90,10 +90,8 @@ def file_stem(name: Column) -> Column:
     return F.replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), F.lit(".pcap"), F.lit(""))
 
 
-def attack_label(name: Column) -> Column:
-    """Attack type of a dataset, from its file name."""
-    stem = file_stem(name)
-    lower = F.lower(stem)
+def family_label(lower: Column) -> Column:
+    """Attack type of a lower-cased dataset name."""
     rules = []
     for words, members, default in ATTACK_FAMILIES:
         label = F.lit(default)
@@ -103,6 +101,17 @@ def attack_label(name: Column) -> Column:
     return F.coalesce(*rules, F.translate(lower, "- ", "__"))
 
 
+def attack_label(name: Column) -> Column:
+    """Attack type of a dataset, from its file name."""
+    return family_label(F.lower(file_stem(name)))
+
+
+def with_attack_label(df: DataFrame, file: str = "source_file", label: str = "label") -> DataFrame:
+    """Adds the attack type; the cleaned name is worked out once per row, not once per word."""
+    named = df.withColumn("_name", F.lower(file_stem(F.col(file))))
+    return named.withColumn(label, family_label(F.col("_name"))).drop("_name")
+
+
 def binary_label(
     label: Column,
     rule: str = "benign",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsight.functions.labels import attack_label
+from flowsight.functions.labels import with_attack_label
 from flowsight.functions.scalars import clip, ratio, round_even
 from flowsight.operators.lookups import lookup
 from flowsight.schema import FEATURES, MAX_PROTOCOLS
@@ -83,10 +83,23 @@ def packet_and_byte_columns(df: DataFrame, allow_proxy: bool = False) -> tuple[s
     return packets, size
 
 
+def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cells as doubles, parsed once: 0 when missing, not a number, or NaN."""
+
+    def parsed(field: T.StructField) -> Column:
+        raw = F.col(f"`{field.name}`")
+        known = isinstance(field.dataType, T.NumericType)
+        value = raw.cast("double") if known else F.trim(raw.cast("string")).try_cast("double")
+        return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)).alias(field.name)
+
+    wanted = set(columns)
+    return df.select(
+        *[parsed(f) if f.name in wanted else F.col(f"`{f.name}`") for f in df.schema]
+    )
+
+
 def cell(name: str) -> Column:
-    """A cell as double: 0 when missing, not a number, or NaN."""
-    value = F.trim(F.col(f"`{name}`").cast("string")).try_cast("double")
-    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
+    return F.col(f"`{name}`")
 
 
 def unit(value: Column) -> Column:
@@ -113,8 +126,8 @@ def unique_count(columns: Sequence[str], aliases: Sequence[str]) -> Column:
     name = resolve_column(columns, aliases)
     if name is None:
         return F.lit(1).cast("long")
-    value = F.trim(F.col(f"`{name}`").cast("string")).try_cast("double").try_cast("long")
-    return F.greatest(F.lit(1).cast("long"), F.coalesce(value, F.lit(1).cast("long")))
+    # A missing cell has become 0, which is raised to 1 like any other.
+    return F.greatest(F.lit(1).cast("long"), cell(name).try_cast("long"))
 
 
 def spread(columns: Sequence[str]) -> Column:
@@ -156,7 +169,7 @@ def convert_packet_summaries(
         unbounded |= {resolve_column(columns, MIN), resolve_column(columns, MAX)} - {None}
     valid = reduce(lambda a, b: a & b, [F.abs(cell(c)) < float("inf") for c in sorted(unbounded)])
     flows = F.greatest(F.lit(1).cast("long"), cell(packets).try_cast("long"))
-    named = df.filter(valid).select(*kept, *[f"`{c}`" for c in columns], flows.alias("_flows"))
+    named = as_numbers(df, columns).filter(valid).withColumn("_flows", flows)
     n = F.col("_flows")
     zero = F.lit(0.0)
 
@@ -193,13 +206,12 @@ def convert_packet_summaries(
             "uniq_src": unique_count(columns, UNIQUE_SRC),
             "uniq_dst": unique_count(columns, UNIQUE_DST),
         }
-    name = label if label is not None else attack_label(F.col("source_file"))
-    return named.select(
+    rows = named.select(
         *kept,
         *[values[c].alias(c) for c in FEATURES],
         *[v.alias(c) for c, v in legacy.items()],
-        name.alias("label"),
     )
+    return with_attack_label(rows) if label is None else rows.withColumn("label", label)
 
 
 def conversion_summary(converted: DataFrame) -> DataFrame:
