@@ -169,10 +169,10 @@ def explain_batch(paths: list[Path], x: np.ndarray) -> np.ndarray:
     for path in paths:
         if not len(path.features):
             continue
-        taken = path.taken(x)
-        turns, which = np.unique(taken, axis=0, return_inverse=True)
-        values = path.value * leaf_shares(turns.astype(float), path.share)
-        np.add.at(out, (slice(None), path.features), values[which.reshape(-1)])
+        bits = 1 << np.arange(len(path.features))
+        codes, which = np.unique(path.taken(x) @ bits, return_inverse=True)
+        turns = (codes[:, None] & bits > 0).astype(float)
+        out[:, path.features] += (path.value * leaf_shares(turns, path.share))[which]
     return out
 
 
@@ -205,18 +205,17 @@ def contributions(
 
     ``only`` names a boolean column; other rows get null and cost nothing.
     """
-    shared = df.sparkSession.sparkContext.broadcast(paths)
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in cells:
-            wanted = batch.notna()
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            if wanted.any():
+            out = [None] * len(batch)
+            wanted = np.flatnonzero(batch.notna())
+            if len(wanted):
                 # Log-odds are twice the margin.
-                values = 2 * explain_batch(shared.value, np.stack(batch[wanted].to_list()))
-                out[wanted] = list(values)
-            yield out
+                values = 2 * explain_batch(paths, np.stack(batch.iloc[wanted].to_list()))
+                for place, row in zip(wanted, values):
+                    out[place] = row
+            yield pd.Series(out, dtype=object)
 
     cells = F.array(*[F.col(c).cast("double") for c in features])
     return df.withColumn(name, explain(F.when(F.col(only), cells) if only else cells))

@@ -1,8 +1,10 @@
 """Whole jobs composed from the operators, and the adapters that feed them from given tables."""
 
 from flowsight.plans import (  # noqa: F401
+    model_queries,
     policy_queries,
     quality_queries,
+    streaming_queries,
     traffic_queries,
     training_queries,
 )
