@@ -183,20 +183,27 @@ def score_totals(scores: DataFrame, score: str = "score", buckets: int = CURVE_B
     above = every.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(
         "_bucket",
-        F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_pos_above"),
-        F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("_neg_above"),
-        F.sum("_pos").over(every).alias("all_pos"),
-        F.sum("_neg").over(every).alias("all_neg"),
+        "_pos",
+        "_neg",
+        F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("neg"),
+    ).agg(
+        F.struct(
+            F.map_from_entries(F.collect_list(F.struct("_bucket", F.struct("pos", "neg")))).alias("above"),
+            F.sum("_pos").alias("pos"),
+            F.sum("_neg").alias("neg"),
+        )
     )
     down = W.partitionBy("_bucket").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return placed.join(F.broadcast(starts), "_bucket").select(
+    start = F.col("_starts.above")[F.col("_bucket")]
+    return placed.withColumn("_starts", starts.scalar()).select(
         "score",
         "pos",
         "neg",
-        (F.col("_pos_above") + F.sum("pos").over(down)).alias("tp"),
-        (F.col("_neg_above") + F.sum("neg").over(down)).alias("fp"),
-        "all_pos",
-        "all_neg",
+        (start["pos"] + F.sum("pos").over(down)).alias("tp"),
+        (start["neg"] + F.sum("neg").over(down)).alias("fp"),
+        F.col("_starts.pos").alias("all_pos"),
+        F.col("_starts.neg").alias("all_neg"),
     )
 
 
