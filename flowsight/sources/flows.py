@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsight.functions.scalars import first_of, parse_timestamp
 from flowsight.schema import FLOW_EVENT_SCHEMA, KEY, SIMPLE_EVENT_SCHEMA
@@ -87,11 +88,18 @@ def as_events(flows: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
+def json_objects(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Parsed rows of the text lines that hold a JSON object; blank and broken lines are left out."""
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.select(F.from_json("value", marked, options).alias("o"))
+    whole = parsed.filter(F.col("o").isNotNull() & F.col("o._corrupt_record").isNull())
+    return whole.select(*[F.col(f"o.{c}").alias(c) for c in schema.fieldNames()])
+
+
 def read_simple_events(spark: SparkSession, path: str) -> DataFrame:
-    """Flat events for :func:`event_to_features`; lines that are not JSON objects are left out."""
-    schema = SIMPLE_EVENT_SCHEMA.add("_corrupt_record", "string")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """Flat events for :func:`event_to_features`."""
+    return json_objects(spark.read.text(path), SIMPLE_EVENT_SCHEMA)
 
 
 def event_to_features(events: DataFrame) -> DataFrame:

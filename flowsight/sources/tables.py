@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from flowsight.operators.alerts import export_rows
 from flowsight.schema import ALERT_SCHEMA, FEATURE_SCHEMA, FEATURES
+from flowsight.sources.flows import json_objects
 
 
 def read_features(
@@ -44,13 +45,11 @@ def write_feature_csv(df: DataFrame, path: str) -> None:
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alert events; blank and broken lines are left out."""
-    schema = T.StructType(ALERT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return json_objects(spark.read.text(path), ALERT_SCHEMA)
 
 
 def read_alerts_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(ALERT_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    return json_objects(spark.readStream.text(path), ALERT_SCHEMA)
 
 
 def write_alerts(alerts: DataFrame, path: str) -> DataStreamWriter | None:
