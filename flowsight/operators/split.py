@@ -30,9 +30,14 @@ SIMULATED_BENIGN, SIMULATED_BENIGN_SHARE = "benign_sim_15f", 0.5
 POSITION_BUCKET = 1_000_000
 
 
-def dataset_stem(name: Column) -> Column:
-    """Dataset name of a raw or converted file."""
-    return F.regexp_replace(name, r"(\.pcap)?(_converted)?(\.csv)?$", "")
+def is_dataset(name: Column, stems: Sequence[str]) -> Column:
+    """Whether a file name is one of the datasets, raw or converted.
+
+    Compares whole names, which a scan can check against its statistics, instead of cleaning the
+    name of every row.
+    """
+    endings = ["", ".csv", ".pcap.csv", "_converted.csv", ".pcap_converted.csv", ".pcap"]
+    return name.isin([stem + ending for stem in stems for ending in endings])
 
 
 def head_or_tail(
@@ -58,13 +63,13 @@ def split_by_file(df: DataFrame, order: str = "row_position", file: str = "sourc
     benign traffic is labelled benign whatever its label was; a missing label is inferred from the
     file name.
     """
-    stem = dataset_stem(F.col(file))
-    real = stem.startswith(REAL_BENIGN)
-    simulated = stem == SIMULATED_BENIGN
+    name = F.col(file)
+    real = name.startswith(REAL_BENIGN)
+    simulated = is_dataset(name, [SIMULATED_BENIGN])
     share = F.when(F.col("_real"), REAL_BENIGN_SHARE).otherwise(SIMULATED_BENIGN_SHARE)
     given = F.col("label") if "label" in df.columns else F.lit(None).cast("string")
     rows = (
-        df.filter(~stem.isin(SKIPPED))
+        df.filter(~is_dataset(name, SKIPPED))
         .withColumn("_real", real)
         .withColumn("_positional", real | simulated)
         .withColumn(
@@ -84,7 +89,7 @@ def split_by_file(df: DataFrame, order: str = "row_position", file: str = "sourc
     ).select(file, F.col("cut").alias("_cut"))
     part = F.when(
         F.when(F.col("_positional"), F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False))).otherwise(
-            ~stem.isin(HOLDOUT)
+            ~is_dataset(name, HOLDOUT)
         ),
         F.lit("train"),
     ).otherwise(F.lit("test"))

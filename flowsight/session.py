@@ -11,8 +11,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every operator relies on: UTC wall clock and RocksDB streaming state."""
+    """Runtime settings the operators rely on: UTC wall clock and RocksDB streaming state.
+
+    The JVM does not compile methods beyond 8000 bytes of bytecode. Fusing a wide projection (13
+    features, the label rules) into one such method leaves it interpreted, many times slower than
+    the same projection as a stage of its own, so fused stages stop at that size.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
