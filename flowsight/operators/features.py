@@ -58,9 +58,10 @@ CONTEXT = ["top_src_ip", "http_flows", "dns_flows", "tls_flows", "app_protos"]
 def summarize_flows(flows: DataFrame, by: list[str]) -> DataFrame:
     """The 13 features and the context columns per group of flows.
 
-    Three hash aggregations, coarser each time. The first groups on everything countable (source
-    and protocols as well), so map-side it already shrinks the flows and a busy window is spread
-    over its sources; only then do the distinct protocol lists and the top source get built.
+    Three aggregations, coarser each time. The first groups on everything that tells flows apart
+    (source and protocols as well), so it shrinks the flows before they are shuffled and spreads a
+    busy window over its sources. The second counts those groups in two ways, per source and per
+    pair of protocols, and only the last builds lists and picks the top source, per window.
     """
     state = F.upper("state")
     flow = flows.select(
@@ -76,44 +77,44 @@ def summarize_flows(flows: DataFrame, by: list[str]) -> DataFrame:
         _flagged(state.contains("FIN")).alias("fin"),
         _flagged(state.contains("RST")).alias("rst"),
     )
-    by_protocol = flow.groupBy(*by, "src", "proto", "app_proto").agg(
+    sums = ["n", "bytes", "pkts", "syn", "ack", "fin", "rst", "squares"]
+    by_all = flow.groupBy(*by, "src", "proto", "app_proto").agg(
         F.count(F.lit(1)).alias("n"),
-        *[_total(c) for c in ["bytes", "pkts", "syn", "ack", "fin", "rst"]],
+        *[_total(c) for c in sums[1:-1]],
         F.sum(squared(F.col("bytes"))).alias("squares"),
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
     )
+    none = F.lit(None).cast("string")
+    views = F.array(
+        F.struct(F.lit(True).alias("of_source"), F.col("src").alias("src"), none.alias("proto"), none.alias("app_proto")),
+        F.struct(F.lit(False).alias("of_source"), none.alias("src"), F.col("proto"), F.col("app_proto")),
+    )
+    viewed = by_all.withColumn("_view", F.explode(views)).select(
+        *by, "_view.*", *sums, "first_at", "last_at"
+    )
+    counted = viewed.groupBy(*by, "of_source", "src", "proto", "app_proto").agg(
+        *[_total(c) for c in sums], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
 
     def flows_where(hit: Column, name: str) -> Column:
         return F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0))).alias(name)
 
-    named = lambda c: F.nullif(F.col(c), F.lit(""))
     http = F.col("app_proto").isin(HTTP_APPS) | (F.col("proto") == "HTTP")
-    by_source = by_protocol.groupBy(*by, "src").agg(
-        *[_total(c) for c in ["n", "bytes", "pkts", "syn", "ack", "fin", "rst", "squares"]],
-        F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"),
+    source = F.col("of_source") & F.col("src").isNotNull()
+    ranked = F.struct((-F.col("n")).alias("rank"), F.col("src").alias("src"))
+    names = lambda c: F.collect_set(F.nullif(F.col(c), F.lit("")))
+    total = counted.groupBy(*by).agg(
+        *[F.sum(F.when(~F.col("of_source"), F.col(c))).alias(c) for c in sums],
         flows_where(http, "http"),
         flows_where(F.col("app_proto") == "dns", "dns"),
         flows_where(F.col("app_proto") == "tls", "tls"),
         flows_where(F.col("proto") == "TCP", "tcp"),
-        F.array_sort(F.collect_set(named("proto"))).alias("protos"),
-        F.array_sort(F.collect_set(named("app_proto"))).alias("apps"),
-    )
-    busiest = F.when(
-        F.col("src").isNotNull(), F.struct((-F.col("n")).alias("rank"), F.col("src").alias("src"))
-    )
-    total = by_source.groupBy(*by).agg(
-        *[
-            _total(c)
-            for c in ["n", "bytes", "pkts", "syn", "ack", "fin", "rst", "squares"]
-            + ["http", "dns", "tls", "tcp"]
-        ],
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
-        F.min(busiest).alias("busiest"),
-        F.array_distinct(F.flatten(F.collect_set("protos"))).alias("protos"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("apps")))).alias("apps"),
+        F.min(F.when(source, ranked)).alias("busiest"),
+        names("proto").alias("protos"),
+        F.array_sort(names("app_proto")).alias("apps"),
     )
     n = F.col("n")
     share = lambda c: ratio(F.col(c).cast("double"), n.cast("double"))

@@ -60,10 +60,11 @@ def by_event(event_type: Column, choices: dict[str, str]) -> Column:
 
 def flows_from_events(events: DataFrame) -> DataFrame:
     """Events as network flows of eight sensors."""
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = F.col("_k")
     user = F.col("user_id")
     kind = F.col("event_type")
-    return events.select(
+    keyed = events.withColumn("_k", F.get_json_object("props", "$.k").cast("long"))
+    return keyed.select(
         (user % 8).alias(KEY),
         F.col("event_id").alias("arrival_seq"),
         F.col("ts").cast("timestamp").alias("ts"),
