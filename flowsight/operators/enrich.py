@@ -38,20 +38,21 @@ def enrich_threat(
 
     ``reputation`` (ip, threat; one row per address) replaces the built-in list.
     """
-    known = reputation if reputation is not None else reputation_table(rows.sparkSession)
-    known = known.select(F.col("ip").alias(ip), F.col("threat").alias("_threat"))
+    renamed = [F.col("ip").alias(ip), F.col("threat").alias("_threat")]
+    if reputation is None:
+        joined = rows.join(F.broadcast(reputation_table(rows.sparkSession).select(renamed)), [ip], "left")
+    else:
+        joined = lookup(rows, reputation.select(renamed), [ip])
     place = place_of(F.col(ip))
     return (
-        lookup(rows, known, [ip])
-        .withColumn(
+        joined.withColumn(
             "threat",
             F.struct(
                 place["country"].alias("country"),
                 place["flag"].alias("flag"),
                 F.col("_threat").alias("threat"),
             ),
-        )
-        .select(*rows.columns, "threat")
+        ).select(*rows.columns, "threat")
     )
 
 

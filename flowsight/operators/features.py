@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowsight.functions.scalars import exact_variance, ratio, round_even, squared
+from flowsight.functions.scalars import (
+    exact_variance,
+    join_square,
+    ratio,
+    round_even,
+    split_square,
+    squared,
+)
+from flowsight.operators.lookups import lookup
 from flowsight.operators.ordering import count_bucket, time_bucket, with_running_max
 from flowsight.schema import FEATURES, KEY, MAX_PROTOCOLS
 
@@ -206,15 +214,14 @@ def window_features_by(
 def closed_windows(rows: DataFrame, key: str = KEY, order: str = "window_start") -> DataFrame:
     """Feature rows without each sensor's last window."""
     last = rows.groupBy(key).agg(F.max(order).alias("_last"))
-    return rows.join(last, key).filter(F.col(order) < F.col("_last")).drop("_last")
+    known = lookup(rows, last, [key], "inner", derived=True)
+    return known.filter(F.col(order) < F.col("_last")).drop("_last")
 
 
 def assign_anchored_windows(
     flows: DataFrame, anchors: DataFrame, seconds: int, key: str = KEY
 ) -> DataFrame:
     """Window index by event time, counted from each sensor's anchor."""
-    from flowsight.operators.lookups import lookup
-
     return lookup(flows, anchors, [key], how="inner", derived=True).withColumn(
         "window_index", anchored_index(F.col("ts"), F.col("anchor"), seconds)
     )
@@ -261,7 +268,7 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
         "bytes": flow_bytes(),
         "pkts": flow_packets(),
         "syn": F.upper("state").contains("SYN").cast("long"),
-        "squares": squared(flow_bytes()),
+        **split_square(flow_bytes()),
     }
     at = F.unix_micros("ts")
     rows = flows.select(
@@ -288,7 +295,7 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
         syn.alias("tcp_ratio"),
         F.lit(1).alias("protocol_diversity"),
         round_even(
-            F.sqrt(exact_variance(F.col("n"), F.col("bytes"), F.col("squares"))), 2
+            F.sqrt(exact_variance(F.col("n"), F.col("bytes"), join_square())), 2
         ).alias("std_bytes"),
         zero.alias("iat_mean"),
     )

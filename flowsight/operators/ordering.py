@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowsight.operators.lookups import lookup
+
 
 def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
@@ -81,7 +83,7 @@ def head_cuts(
 
     ``take`` gives the head size from the column ``total`` (rows of the group). A group whose head
     is empty has no row. ``order`` must be unique within a group. Only the order column is read,
-    and only the one bucket that holds the cut is ever sorted.
+    and only the one bucket that holds the cut is ever shuffled and sorted. Runs a small job.
     """
     keys = list(keys)
     slim = df.select(*keys, order, bucket.alias("_bucket"))
@@ -102,7 +104,7 @@ def head_cuts(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order)
     return (
-        slim.join(cut_bucket, [*keys, "_bucket"])
+        lookup(slim, cut_bucket, [*keys, "_bucket"], "inner", derived=True)
         .withColumn("_row", F.row_number().over(inside))
         .filter(F.col("_row") == F.col("_rank"))
         .select(*keys, F.col(order).alias("cut"))

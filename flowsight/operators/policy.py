@@ -129,7 +129,10 @@ def chunk_steps(at: np.ndarray, certain: np.ndarray, wait: np.ndarray):
     # No entry is later than the chunk's first row, so the first block is never past this place.
     settled = bounds > at[:1]
     count = int(np.argmax(settled)) + 1 if settled.any() else len(at)
-    return bounds[:count], exits[:count]
+    bounds, exits = bounds[:count], exits[:count]
+    # Chains soon run together; of neighbours with one exit only the last bound matters.
+    kept = np.append(exits[1:] != exits[:-1], True)[:count]
+    return bounds[kept], exits[kept]
 
 
 def step_through(last: int, bounds, exits) -> int:

@@ -69,6 +69,7 @@ def detect(
 ) -> DataFrame:
     """Alert events of feature rows: score, decide, explain the attacks, add threat context."""
     scored = md.score(clean.prepare_features(windows, features), trained.model, features)
+    scored = materialize(scored, "scored")
     decided = po.decide(scored, policy, key, staged=True)
     nodes = md.tree_nodes(windows.sparkSession, f"{trained.path}/model")
     paths = md.model_paths(nodes, trained.model.treeWeights)

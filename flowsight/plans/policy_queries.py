@@ -16,6 +16,7 @@ from flowsight.plans.reference_sql import FLOWS, WINDOWED, features
 from flowsight.plans.registry import query, rounded
 from flowsight.plans.traffic_queries import ATTACK_TYPE_SQL
 from flowsight.schema import Policy
+from flowsight.session import materialize
 
 # Windows are six hours long here, so the cooldown spans three of them.
 POLICY = Policy(cooldown_sec=64_800)
@@ -103,7 +104,8 @@ CODE_SUM_SQL = "CAST(list_sum(list_transform(string_split({ip}, ''), lambda x: u
 
 
 def scored(spark, sf_dir):
-    return adapters.scored_windows(spark, sf_dir)
+    """Scored windows as a stored table, which the policy operators go through more than once."""
+    return materialize(adapters.scored_windows(spark, sf_dir), "scored")
 
 
 def alerts(spark, sf_dir, policy=POLICY):

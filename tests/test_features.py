@@ -160,3 +160,14 @@ def test_approximate_endpoints(spark):
     for r in ft.approx_unique_endpoints(df).collect():
         assert abs(r.uniq_src - exact[(r.sensor_id, r.window_start)]) <= 1
     assert df.filter(F.col("src").isNull()).isEmpty()
+
+
+def test_split_squares_are_exact(spark):
+    from flowsight.functions.scalars import join_square, split_square, squared
+
+    values = [0, 1, 99_999, 100_000, 100_001, 2**31 + 7, 10**12 + 3, 987_654_321_012]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    parts = df.select("v", *[c.alias(n) for n, c in split_square(F.col("v")).items()])
+    sums = parts.agg(F.sum("square_high").alias("square_high"), F.sum("square_low").alias("square_low"))
+    assert int(sums.select(join_square()).first()[0]) == sum(v * v for v in values)
+    assert [int(r[0]) for r in df.select(squared(F.col("v"))).collect()] == [v * v for v in values]
