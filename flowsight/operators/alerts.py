@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsight.functions.decision import threat_text
 from flowsight.functions.scalars import iso_utc
-from flowsight.schema import ALERT_SCHEMA, KEY, THREAT_TYPE
+from flowsight.schema import KEY, THREAT_TYPE
 
 EXPORT_COLUMNS = [
     "ts", "index", "score", "state", "hits_in_window", "action", "pred_class", "reason", "threat",
@@ -92,7 +92,3 @@ def export_rows(alerts: DataFrame) -> DataFrame:
     return alerts.withColumns(
         {"threat": threat_text(F.col("threat")), "reason": F.coalesce("reason", F.lit(""))}
     ).select(*EXPORT_COLUMNS)
-
-
-def alert_columns() -> list[str]:
-    return ALERT_SCHEMA.fieldNames()

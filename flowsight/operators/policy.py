@@ -16,12 +16,15 @@ from flowsight.functions.decision import (
     no_block_reason,
     predicted_class,
     severity,
+    top_class,
 )
 from flowsight.operators.lookups import lookup
 from flowsight.operators.ordering import time_bucket, with_position
 from flowsight.schema import KEY, Policy
 from flowsight.session import materialize
 
+CLASSES = ["benign", "attack"]  # fixed values: classes of the two-class model, benign first
+
 CHUNK_ROWS = 50_000
 POSITION_BUCKET_SEC = 86_400
 
@@ -242,13 +245,20 @@ def decide(
 
 
 def finish(rows: DataFrame, key: str = KEY) -> DataFrame:
-    """Severity, action and texts from the state columns."""
+    """Severity, action and texts from the state columns.
+
+    The predicted class is the model's most probable one (``model_class`` if the rows carry it),
+    replaced by the attack type from the base threshold on.
+    """
     attack, score = F.col("is_attack"), F.col("score")
     cooled = F.col("_last_at").isNull() | (F.col("_at") - F.col("_last_at") > F.col("_wait"))
     burst = (F.col("hits_in_window") >= F.col("grace")) & cooled
     rows = rows.withColumn("severity", severity(attack, score, F.col("instant_block"), burst))
     level = F.col("severity")
-    model_class = F.when(score >= F.col("threshold"), F.lit("attack")).otherwise(F.lit("benign"))
+    if "model_class" in rows.columns:
+        model_class = F.col("model_class")
+    else:
+        model_class = top_class(F.array(1 - score, score), CLASSES, vector=False)
     ip = F.col("top_src_ip") if "top_src_ip" in rows.columns else F.lit(None).cast("string")
     ok, how = block_outcome(ip, F.col("dry_run"), level)
     rows = rows.withColumns(

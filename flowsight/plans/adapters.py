@@ -118,6 +118,20 @@ def late_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simple_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as flat packet events, with some of the alternative fields missing."""
+    k, kind = F.col("_k"), F.col("event_type")
+    flags = F.when(kind == "click", "S").when(kind == "view", "A")
+    keyed = table(spark, sf_dir, "events").withColumn("_k", F.get_json_object("props", "$.k").cast("long"))
+    return keyed.select(
+        F.when(k % 3 > 0, k % 9).alias("pktcnt"),
+        F.when(k % 2 == 0, k).alias("packet_count"),
+        F.when(k % 5 > 0, k * 100).alias("bytecnt"),
+        F.when(k % 4 == 0, k + 1).alias("bytes"),
+        F.when(flags.isNotNull(), F.struct(flags.alias("flags"))).alias("tcp"),
+    )
+
+
 def fixed_score() -> Column:
     """A deterministic stand-in for the model score, so policy results have one right answer."""
     margin = 12 * F.col("syn_ratio") + 6 * F.col("rst_ratio") - 10 * F.col("ack_ratio")

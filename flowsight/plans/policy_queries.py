@@ -11,7 +11,6 @@ from flowsight.operators import policy as po
 from flowsight.operators.enrich import attach_context_asof, enrich_threat
 from flowsight.operators.features import window_features
 from flowsight.plans import adapters
-from flowsight.plans.adapters import WINDOW
 from flowsight.plans.reference_sql import FLOWS, WINDOWED, features
 from flowsight.plans.registry import query, rounded
 from flowsight.plans.traffic_queries import ATTACK_TYPE_SQL
@@ -72,7 +71,8 @@ def decided_sql(policy: Policy) -> str:
   SELECT s.*, w.severity,
          CASE WHEN s.is_attack THEN 'ATTACK' ELSE 'benign' END AS state,
          CASE WHEN w.severity = 'NONE' THEN 'NONE' ELSE 'BLOCK-' || w.severity END AS action,
-         CASE WHEN s.score >= s.threshold THEN {ATTACK_TYPE_SQL} ELSE 'benign' END AS pred_class,
+         CASE WHEN s.score >= s.threshold THEN {ATTACK_TYPE_SQL}
+              WHEN s.score > 0.5 THEN 'attack' ELSE 'benign' END AS pred_class,
          CASE WHEN NOT s.is_attack THEN 'benign'
               WHEN NOT w.cooled THEN 'cooldown {int(p.cooldown_sec)}s'
               WHEN w.severity = 'NONE' THEN format('below criteria (hits={{}}<{p.grace}, score={{:.3f}}<{p.instant_block})',

@@ -10,7 +10,7 @@ from flowsight.operators.alerts import as_alerts
 from flowsight.plans import adapters
 from flowsight.plans.adapters import WINDOW, WINDOW_SEC
 from flowsight.plans.policy_queries import DECISION_COLUMNS, POLICY, decided_sql
-from flowsight.plans.reference_sql import CONTEXT, COUNTED, FLOWS, ROUNDED, WINDOWED
+from flowsight.plans.reference_sql import CONTEXT, COUNTED, ROUNDED, WINDOWED
 from flowsight.plans.registry import SQL, query, rounded
 from flowsight.session import scratch_dir
 from flowsight.sources.flows import as_events, read_flows_stream

@@ -10,6 +10,7 @@ from flowsight.plans import adapters
 from flowsight.plans.adapters import WINDOW, WINDOW_SEC
 from flowsight.plans.reference_sql import CONTEXT, COUNTED, FLOWS, ROUNDED, WINDOWED, features
 from flowsight.plans.registry import query, rounded
+from flowsight.sources.flows import event_to_features
 
 ATTACK_TYPE_SQL = """
 CASE WHEN http_ratio > 0.5 THEN 'Web Attack (HTTP)'
@@ -167,3 +168,28 @@ SELECT sensor_id, arrival_seq, ts,
 FROM flows""")
 def interarrival_gaps(spark, sf_dir):
     return ft.interarrival_gaps(adapters.flows(spark, sf_dir), 3600)
+
+
+@query(f"""
+WITH {FLOWS}, single AS (
+  SELECT event_id, k, event_type, CASE WHEN k % 3 > 0 THEN k % 9 END AS pktcnt, CASE WHEN k % 2 = 0 THEN k END AS packet_count,
+         CASE WHEN k % 5 > 0 THEN k * 100 END AS bytecnt, CASE WHEN k % 4 = 0 THEN k + 1 END AS bytes
+  FROM event_k
+), filled AS (
+  SELECT *, coalesce(pktcnt, packet_count, 1) AS p, coalesce(bytecnt, bytes, 200) AS b FROM single
+), rows AS (
+  SELECT event_type, p, b, greatest(1, b // greatest(1, p)) AS mean_bytes,
+         CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS syn,
+         CASE WHEN event_type IN ('click', 'view') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tcp
+  FROM filled
+)
+SELECT syn AS syn_ratio, tcp AS tcp_ratio, mean_bytes AS mean_bytes_flow, count(*) AS rows,
+       CAST(sum(p) AS BIGINT) AS pkts_total, CAST(sum(b) AS BIGINT) AS bytes_total
+FROM rows GROUP BY 1, 2, 3""")
+def single_event_features(spark, sf_dir):
+    rows = event_to_features(adapters.simple_events(spark, sf_dir))
+    return rows.groupBy("syn_ratio", "tcp_ratio", "mean_bytes_flow").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("pkts_total").alias("pkts_total"),
+        F.sum("bytes_total").alias("bytes_total"),
+    )
