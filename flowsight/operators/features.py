@@ -308,32 +308,34 @@ def sliding_totals(rows: DataFrame, keys: list[str], measures: list[str], second
     ``seconds`` plus one microsecond later.
     """
     slice_us = seconds * 1_000_000
-    first_slice = F.floor(F.col("at") / F.lit(slice_us)).cast("long")
-    next_start = (first_slice + 1) * F.lit(slice_us)
-    # Every row enters its own slice. A row still present when the next slice starts is carried
-    # into it and leaves there; one that leaves within its own slice leaves there too.
-    enters = rows.withColumn("_slice", first_slice).withColumn("_kind", F.lit("in"))
-    leaves = (
-        rows.withColumn("_carried", F.col("leaves_at") > next_start)
-        .withColumn("_slice", first_slice + F.col("_carried").cast("long"))
-        .withColumn("_kind", F.when(F.col("_carried"), F.lit("carried")).otherwise(F.lit("out")))
-        .withColumn("at", F.col("leaves_at"))
-        .drop("_carried")
+    first = F.col("_first")
+    start_of_next = (first + 1) * F.lit(slice_us)
+    stays = F.col("leaves_at") > start_of_next
+
+    def move(in_slice: Column, at: Column, sign: int, own: bool) -> Column:
+        return F.struct(
+            in_slice.alias("_slice"), at.alias("_at"), F.lit(sign).alias("_sign"), F.lit(own).alias("_own")
+        )
+
+    # Every row enters its own slice. A row still present when the next slice starts enters that
+    # too, just before its first instant, and leaves there; other rows leave in their own slice.
+    enter = move(first, F.col("at"), 1, True)
+    stay = F.array(
+        enter,
+        move(first + 1, start_of_next - 1, 1, False),
+        move(first + 1, F.col("leaves_at"), -1, False),
     )
-    moves = enters.unionByName(leaves)
+    go = F.array(enter, move(first, F.col("leaves_at"), -1, False))
+    placed = rows.withColumn("_first", F.floor(F.col("at") / F.lit(slice_us)).cast("long"))
+    moves = placed.select(
+        *rows.columns, F.explode(F.when(stays, stay).otherwise(go)).alias("_move")
+    ).select(*rows.columns, "_move.*")
     task = W.partitionBy(*keys, "_slice")
-    so_far = task.orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    entering = F.col("_kind") == "in"
-    carried = F.col("_kind") == "carried"
-    for m in measures:
-        signed = F.when(entering, F.col(m)).otherwise(-F.col(m))
-        moves = moves.withColumn(
-            f"_{m}",
-            F.sum(signed).over(so_far)
-            + F.coalesce(F.sum(F.when(carried, F.col(m))).over(task), F.lit(0)),
-        )
+    so_far = task.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
     kept = [c for c in rows.columns if c not in measures and c != "leaves_at"]
-    return moves.filter(entering).select(*kept, *[F.col(f"_{m}").alias(m) for m in measures])
+    return moves.select(
+        *kept, "_own", *[F.sum(F.col(m) * F.col("_sign")).over(so_far).alias(m) for m in measures]
+    ).filter("_own").drop("_own")
 
 
 def trailing_unique(

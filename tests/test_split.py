@@ -121,3 +121,20 @@ def test_running_max_over_buckets(spark):
     for r in out.collect():
         seen = [v for g, o, v in rows if g == r.g and o <= r.o and v is not None]
         assert r.m == (max(seen) if seen else None)
+
+
+class Session:
+    """Just enough of a session to ask for its settings."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_scratch_folder():
+    from flowsight.session import scratch_dir
+
+    assert scratch_dir(Session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session("yarn"), "x")
+    assert "flowsight-" in scratch_dir(Session("local[2]"), "x")
