@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from flowsight.session import materialize
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def small_enough(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``dim`` has at most ``rows`` rows (runs one job that stops counting past that)."""
-    return dim.limit(rows + 1).count() <= rows
+def small_enough(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``dim`` has at most ``rows`` rows and, written as text, at most ``size`` bytes.
+
+    Runs one job that looks at no more than ``rows`` + 1 rows.
+    """
+    text = F.length(F.to_json(F.struct("*")))
+    found = dim.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= size
 
 
 def lookup(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,7 @@ from flowsight.session import materialize
 CLASSES = ["benign", "attack"]  # fixed values: classes of the two-class model, benign first
 
 CHUNK_ROWS = 50_000
-POSITION_BUCKET_SEC = 86_400
+POSITION_BUCKET_SEC = 600
 
 
 def attach_policy(
@@ -51,18 +53,19 @@ def attach_policy(
 
 
 def in_chunks(
-    rows: DataFrame, key: str, order: str, reach: int, chunk_rows: int = CHUNK_ROWS
+    rows: DataFrame, key: str, order: str | Sequence[str], reach: int, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Cut each sensor's rows, in order, into chunks that can be worked on apart.
 
+    ``order`` is a time column, or several of which the first is one and the others settle ties.
     Adds ``index`` (row position in the sensor), ``_chunk``, and ``_own``. The last ``reach`` rows
     of a chunk are repeated in the next one with ``_own`` false, so a frame of that many preceding
     rows sees the same rows as over the whole sensor.
     """
     chunk_rows = max(chunk_rows, reach, 1)
-    placed = with_position(
-        rows, [key], [order], time_bucket(F.col(order), POSITION_BUCKET_SEC), "index"
-    )
+    order = [order] if isinstance(order, str) else list(order)
+    bucket = time_bucket(F.col(order[0]), POSITION_BUCKET_SEC)
+    placed = with_position(rows, [key], order, bucket, "index")
     chunk = F.floor(F.col("index") / F.lit(chunk_rows)).cast("long")
     tail = F.col("index") % chunk_rows >= chunk_rows - reach
     copies = F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
@@ -89,7 +92,10 @@ def with_state(chunked: DataFrame, policy: Policy, key: str = KEY) -> DataFrame:
 
 
 def adaptive_threshold(
-    scored: DataFrame, policy: Policy, key: str = KEY, order: str = "window_start",
+    scored: DataFrame,
+    policy: Policy,
+    key: str = KEY,
+    order: str | Sequence[str] = "window_start",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``effective_threshold``, ``is_attack`` and ``hits_in_window`` for every scored row."""
@@ -211,7 +217,7 @@ def decide(
     scored: DataFrame,
     policy: Policy | DataFrame = Policy(),
     key: str = KEY,
-    order: str = "window_start",
+    order: str | Sequence[str] = "window_start",
     clock: str = "window_end",
     default: Policy = Policy(),
     chunk_rows: int = CHUNK_ROWS,
@@ -219,6 +225,7 @@ def decide(
 ) -> DataFrame:
     """Apply the policy to scored windows, in order per sensor.
 
+    Scored single flows work too, with ``order=("ts", "arrival_seq")`` and ``clock="ts"``.
     Per row: ``index``, ``effective_threshold``, ``state``, ``hits_in_window``, ``severity``
     (KILL and HARD by score alone; SOFT for a burst of hits outside the cooldown), ``action``,
     ``pred_class``, ``no_block_reason`` and the block outcome. Any block restarts the cooldown.

@@ -183,3 +183,18 @@ def test_attack_type_ladder(spark):
     df = spark.createDataFrame([(*{**base, **c}.values(),) for c, _ in cases], ", ".join(f"{c} double" for c in base))
     assert [r.t for r in df.select(attack_type().alias("t")).collect()] == [n for _, n in cases]
     assert df.select(F.count("*")).first()[0] == len(cases)
+
+
+def test_scored_flows_with_equal_times(spark):
+    """Single flows can be decided too; their arrival settles the order of equal times."""
+    rng = random.Random(3)
+    scores = [round(rng.random() ** 0.3, 6) for _ in range(200)]
+    times = sorted(rng.randrange(300) for _ in range(200))
+    data = [(1, i, START + timedelta(seconds=t), s, *([0.0] * len(FEATURES))) for i, (s, t) in enumerate(zip(scores, times))]
+    schema = "sensor_id long, arrival_seq long, ts timestamp, score double, " + ", ".join(f"{c} double" for c in FEATURES)
+    policy = Policy(cooldown_sec=7)
+    out = po.decide(
+        spark.createDataFrame(data, schema), policy, order=("ts", "arrival_seq"), clock="ts", chunk_rows=9
+    ).orderBy("index").collect()
+    assert [r.arrival_seq for r in out] == list(range(200))
+    assert [r.severity for r in out] == [level for _, _, level, _ in loop(scores, times, policy)]

@@ -138,3 +138,11 @@ def test_scratch_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(Session("yarn"), "x")
     assert "flowsight-" in scratch_dir(Session("local[2]"), "x")
+
+
+def test_broadcasts_are_limited_in_rows_and_bytes(spark):
+    dim = spark.range(50).withColumn("text", F.repeat(F.lit("x"), 100))
+    assert lookups.small_enough(dim)
+    assert not lookups.small_enough(dim, rows=49)
+    assert not lookups.small_enough(dim, size=1000)
+    assert lookups.small_enough(dim.limit(0), rows=0, size=0)
