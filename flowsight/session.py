@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +22,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="flowsight-")
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
 
-    The cluster names that folder. Only a local session may go without: there the driver and the
-    tasks share one disk.
+    Both are folders that the cluster names and that the driver and all executors share.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _local_scratch()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
