@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import byte_bpe, token_counts
+from flowsight.llm import ann, byte_bpe, exact_topk, token_counts
 from flowsight.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector by integer inner product."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_topk.search(vectors, "vec_id", "embedding", F.col("id") % 50 == 0, k=5)
+
+
+SQL["op5_exact_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND NOT list_contains(list_transform(embedding, x -> coalesce(isfinite(x), false)), false)
+), ranked AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score,
+           row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS rank
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 nearest other vectors of every twentieth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
