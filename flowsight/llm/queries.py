@@ -42,10 +42,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op5_exact_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
     FROM embeddings
     WHERE embedding IS NOT NULL
-      AND NOT list_contains(list_transform(embedding, x -> coalesce(isfinite(x), false)), false)
+      AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
 ), ranked AS (
     SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score,
            row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS rank
