@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, token_counts
+from flowsight.llm import ann, byte_bpe, exact_topk, pii, token_counts
 from flowsight.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the strict spans, and all spans, of every document."""
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("strict", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.listing(F.col("strict")).cast("binary"), 256).alias("base_sha256"),
+        pii.listing(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every fiftieth vector by integer inner product."""
