@@ -37,7 +37,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, BREAK, BORDER = range(9)
 FREE, WORD, DIGITS, SYMBOLS, ONE, TWO, LEAD, WHITE = range(8)
 
 #: Distinct pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 400_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:

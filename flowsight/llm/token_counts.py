@@ -25,7 +25,7 @@ from flowsight.llm.common import text_chunks, worker_cache
 MARK = "▁"
 #: Units of more symbols go through a heap: rounds over arrays would take quadratic time there.
 LONG_UNIT = 256
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 400_000
 NONE = np.iinfo(np.int64).max
 
 
