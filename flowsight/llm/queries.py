@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, pii, token_counts
+from flowsight.llm import ann, byte_bpe, exact_topk, pii, substring_dedup, token_counts
 from flowsight.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return make
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 35 words that occur twice."""
+    cut = substring_dedup.remove_repeats(documents(spark, sf_dir), length=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, tokens of the piece vocabulary and the long-text mark of every document."""
