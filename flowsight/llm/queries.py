@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, pii, substring_dedup, token_counts
+from flowsight.llm import ann, byte_bpe, exact_topk, jaccard_join, pii, substring_dedup, token_counts
 from flowsight.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-duplicate group of every document."""
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), n=5, percent=80)
