@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowsight.llm.common import numbered, text_chunks
 from flowsight.llm.components import components
-from flowsight.llm.hashing import ODD, Sequence, WordHashes, mixed, word_hashes
+from flowsight.llm.hashing import ODD, Sequence, mixed, word_hashes
 from flowsight.session import materialize
 
 #: Shared shingles whose places in the order are sent to all tasks: 16 bytes each.
@@ -42,14 +42,13 @@ SENT_PAIRS = 1_000_000
 CELLS = 2_000_000
 
 
-def shingles(text: str, n: int, known: WordHashes) -> np.ndarray:
+def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words, or of the whole text if it has fewer."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    sequence = Sequence(word_hashes(words, known))
+    words = word_hashes(text.encode().lower())
+    if not len(words):
+        return words
     size = min(n, len(words))
-    return np.unique(sequence.runs(np.arange(len(words) - size + 1), size))
+    return np.unique(Sequence(words).runs(np.arange(len(words) - size + 1), size))
 
 
 def width_of(n: int) -> int:
@@ -80,7 +79,7 @@ def node_of(tokens: np.ndarray) -> int:
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows (token, seen) of the shingles that some of them share."""
-    known, pending, waiting = WordHashes(), [], 0
+    pending, waiting = [], 0
     names = ["_row", "size", "node", "bits", "token", "seen"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
@@ -93,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for rows, texts in text_chunks(batch):
-            sets = [shingles(t, n, known) for t in texts]
+            sets = [shingles(t, n) for t in texts]
             columns = [
                 rows.column("_row"),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -128,13 +127,13 @@ def prefix(tokens: np.ndarray, shared: np.ndarray, places: np.ndarray, percent:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Broadcast) -> Iterator[pa.RecordBatch]:
-    known, done = WordHashes(), set()
+    done = set()
     shared, places = order.value
     for batch in batches:
         for _, texts in text_chunks(batch):
             out = []
             for text in texts:
-                tokens = shingles(text, n, known)
+                tokens = shingles(text, n)
                 node = node_of(tokens) if len(tokens) else None
                 if node is None or node in done:
                     continue  # copies in this task
@@ -262,13 +261,13 @@ def _pairs(rows: list[dict], percent: int) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose exact similarity is high enough; texts of one side often repeat in a row."""
-    known, last, tokens = WordHashes(), None, None
+    last, tokens = None, None
     for batch in batches:
         kept = []
         for key, left, right in zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
             if key != last:
-                last, tokens = key, shingles(right, n, known)
-            own = shingles(left, n, known)
+                last, tokens = key, shingles(right, n)
+            own = shingles(left, n)
             both = len(np.intersect1d(own, tokens, assume_unique=True))
             kept.append(both > 0 and 100 * both >= percent * (len(own) + len(tokens) - both))
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, jaccard_join, pii, substring_dedup, token_counts
-from flowsight.llm.common import documents
+from flowsight.llm import ann, byte_bpe, exact_topk, jaccard_join, pii, substring_dedup, token_counts, toxicity
+from flowsight.llm.common import crc_part, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +20,22 @@ def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return make
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two thirds of the document numbers."""
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(crc_part("doc_id", 3) == 1, F.lit(False))
+    chain = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.score(docs, chain)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+        F.size("toxic_spans").cast("long").alias("n_spans"),
+    )
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the windows of 35 words that occur twice."""

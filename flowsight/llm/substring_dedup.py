@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.llm.common import numbered, text_chunks, words_of
-from flowsight.llm.hashing import ODD, Sequence, WordHashes, mixed, word_hashes
+from flowsight.llm.hashing import ODD, Sequence, mixed, word_hashes
 from flowsight.session import materialize
 
 ANCHOR_WORDS = 8
+#: Windows of most occurrences that are sent to all tasks: 16 bytes each.
+HOT_WINDOWS = 1000
 
 
 def anchors(sequence: Sequence, n_words: int, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +53,14 @@ def stretches(sequence: Sequence, n_words: int, length: int, k: int) -> tuple[np
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
     for batch in batches:
         for rows, texts in text_chunks(batch):
             keys = rows.column(0).to_pylist()
             out = []
             for key, text in zip(keys, texts, strict=True):
-                words = words_of(text)
-                if len(words) >= length:
-                    found = stretches(Sequence(word_hashes(words, known)), len(words), length, k)
+                hashes = word_hashes(text.encode())
+                if len(hashes) >= length:
+                    found = stretches(Sequence(hashes), len(hashes), length, k)
                     out.append((np.full(len(found[0]), key), *found))
             if out:
                 key, first, count, anchor, whole = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -77,12 +78,11 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterat
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the single windows of the listed stretches."""
-    known = WordHashes()
     for batch in batches:
         for rows, texts in text_chunks(batch):
             out = []
             for key, text, listed in zip(rows.column("_row").to_pylist(), texts, rows.column("stretches").to_pylist(), strict=True):
-                sequence = Sequence(word_hashes(words_of(text), known))
+                sequence = Sequence(word_hashes(text.encode()))
                 for s in listed:
                     start = np.arange(s["first"], s["first"] + s["count"])
                     n = len(start)
@@ -137,7 +137,8 @@ def repeated_windows(rows: DataFrame, length: int, k: int = ANCHOR_WORDS) -> Dat
     found = rows.mapInArrow(
         partial(_stretches, length=length, k=k), "_row long, first int, count short, anchor long, whole long"
     )
-    seeds = found.groupBy("anchor").count().filter(F.col("count") > 1).select("anchor")
+    # Written, so that the join below is a plain one whose hot anchors Spark can split.
+    seeds = materialize(found.groupBy("anchor").count().filter(F.col("count") > 1).select("anchor"), "seeds")
     found = materialize(found.join(seeds, "anchor", "left_semi"), "stretches")
     place = F.struct("_row", "first", "count")
     texts = found.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
@@ -147,6 +148,7 @@ def repeated_windows(rows: DataFrame, length: int, k: int = ANCHOR_WORDS) -> Dat
 
     # Anchors within different stretches: their windows, one occurrence of each stretch.
     mixed_seeds = texts.groupBy("anchor").count().filter(F.col("count") > 1).select("anchor")
+    mixed_seeds = materialize(mixed_seeds, "mixed-seeds")
     unclear = texts.join(mixed_seeds, "anchor", "left_semi").select(
         F.col("one._row").alias("_row"),
         F.struct("one.first", "one.count", "anchor", (F.col("n") == 1).alias("lone")).alias("stretch"),
@@ -155,9 +157,14 @@ def repeated_windows(rows: DataFrame, length: int, k: int = ANCHOR_WORDS) -> Dat
     windows = rows.join(listed, "_row").mapInArrow(
         partial(_windows, length=length), "_row long, first int, window long, anchor long, lone boolean"
     )
-    twice = windows.groupBy("anchor", "window").count().filter(F.col("count") > 1).select("anchor", "window")
-    single = windows.filter("lone").join(twice, ["anchor", "window"], "left_semi")
-    return whole.unionByName(single.select("_row", "first", F.lit(1).cast("short").alias("count")))
+    twice = windows.groupBy("anchor", "window").count().filter(F.col("count") > 1)
+    # The most frequent windows are known to every task; their rows join on a number of their own.
+    hot = twice.orderBy(F.desc("count"), "anchor", "window").limit(HOT_WINDOWS).select("anchor", "window")
+    lone = windows.filter("lone").join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["anchor", "window"], "left")
+    own = F.when(F.col("hot"), F.xxhash64("_row", "first")).otherwise(F.col("anchor"))
+    again = twice.select(F.col("anchor").alias("own"), "window", F.lit(True).alias("twice"))
+    lone = lone.withColumn("own", own).join(again, ["own", "window"], "left").filter("hot OR twice")
+    return whole.unionByName(lone.select("_row", "first", F.lit(1).cast("short").alias("count")))
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", column: str = "text", length: int = 35) -> DataFrame:
