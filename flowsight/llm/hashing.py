@@ -19,29 +19,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, in order.
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after the other, and the words per text.
 
     Words are what ``bytes.split`` gives: runs without space and U+0009 to U+000D. Eight bytes are
     mixed in at a time, for all words that have so many.
     """
-    data = np.frombuffer(text + bytes(8), dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    joined = b"\n".join([*texts, bytes(8)])
+    data = np.frombuffer(joined, dtype=np.uint8)
+    blank = (data == 32) | (data - np.uint8(9) < 5)
     blank[-8:] = True
-    edges = np.flatnonzero(np.diff(blank, prepend=True))
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edges = np.concatenate([[0], edges])
     start, end = edges[::2], edges[1::2]
     size = end - start
-    eights = np.lib.stride_tricks.as_strided(data.view("u1"), (len(data) - 7, 8), (1, 1))
-    out = mixed(size.astype(np.uint64) + ODD)
-    at = np.arange(len(start))
-    done = 0
+    eights = np.ndarray(len(data) - 7, dtype="<u8", buffer=joined, strides=(1,))
     with np.errstate(over="ignore"):
+        out = mixed(size.astype(np.uint64) + ODD) * ODD
+        out = mixed(out ^ (eights[start] & KEEP[np.minimum(size, 8)]))
+        done, at = 8, np.flatnonzero(size > 8)
         while len(at):
-            part = np.ascontiguousarray(eights[start[at] + done]).view("<u8")[:, 0]
-            out[at] = mixed(out[at] * ODD ^ (part & KEEP[np.minimum(size[at] - done, 8)]))
+            part = eights[start[at] + done] & KEEP[np.minimum(size[at] - done, 8)]
+            out[at] = mixed(out[at] * ODD ^ part)
             done += 8
             at = at[size[at] > done]
-    return out
+    lengths = np.array([len(t) for t in texts], dtype=np.int64) + 1
+    return out, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)])))
 
 
 class Sequence:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import numbered, text_chunks
+from flowsight.llm.common import numbered, ragged, text_chunks
 from flowsight.llm.components import components
 from flowsight.llm.hashing import ODD, Sequence, mixed, word_hashes
 from flowsight.session import materialize
@@ -42,13 +42,15 @@ SENT_PAIRS = 1_000_000
 CELLS = 2_000_000
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``n`` words, or of the whole text if it has fewer."""
-    words = word_hashes(text.encode().lower())
-    if not len(words):
-        return words
-    size = min(n, len(words))
-    return np.unique(Sequence(words).runs(np.arange(len(words) - size + 1), size))
+def shingles(texts: list[str], n: int) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of its runs of ``n`` words, or of all its words if fewer."""
+    hashes, counts = word_hashes([t.encode().lower() for t in texts])
+    sequence = Sequence(hashes)
+    begin = np.cumsum(counts) - counts
+    size = np.minimum(counts, n)
+    own = np.where(counts > 0, counts - size + 1, 0)
+    runs = sequence.runs(ragged(own, begin), np.repeat(size, own))
+    return [np.unique(x) for x in np.split(runs, np.cumsum(own)[:-1])]
 
 
 def width_of(n: int) -> int:
@@ -92,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for rows, texts in text_chunks(batch):
-            sets = [shingles(t, n) for t in texts]
+            sets = shingles(texts, n)
             columns = [
                 rows.column("_row"),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -132,8 +134,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Br
     for batch in batches:
         for _, texts in text_chunks(batch):
             out = []
-            for text in texts:
-                tokens = shingles(text, n)
+            for tokens in shingles(texts, n):
                 node = node_of(tokens) if len(tokens) else None
                 if node is None or node in done:
                     continue  # copies in this task
@@ -263,14 +264,15 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
     """Pairs whose exact similarity is high enough; texts of one side often repeat in a row."""
     last, tokens = None, None
     for batch in batches:
-        kept = []
-        for key, left, right in zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            if key != last:
-                last, tokens = key, shingles(right, n)
-            own = shingles(left, n)
-            both = len(np.intersect1d(own, tokens, assume_unique=True))
-            kept.append(both > 0 and 100 * both >= percent * (len(own) + len(tokens) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        for rows, lefts in text_chunks(batch, "text_a"):
+            kept = []
+            sides = zip(shingles(lefts, n), rows.column("b").to_pylist(), rows.column("text_b"), strict=True)
+            for own, key, right in sides:
+                if key != last:
+                    last, tokens = key, shingles([right.as_py()], n)[0]
+                both = len(np.intersect1d(own, tokens, assume_unique=True))
+                kept.append(both > 0 and 100 * both >= percent * (len(own) + len(tokens) - both))
+            yield rows.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
 def _sent(pairs: DataFrame, few: bool) -> DataFrame:

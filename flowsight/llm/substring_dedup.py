@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import numbered, text_chunks, words_of
+from flowsight.llm.common import numbered, ragged, text_chunks, words_of
 from flowsight.llm.hashing import ODD, Sequence, mixed, word_hashes
 from flowsight.session import materialize
 
@@ -32,67 +32,82 @@ HOT_WINDOWS = 1000
 
 
 def anchors(sequence: Sequence, n_words: int, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``length`` words: the place of its anchor and the anchor's hash."""
+    """Place of the anchor of every window of ``length`` words, and the k-grams' hashes.
+
+    The window of grams doubles until it is wide enough; of equal hashes the last one stays.
+    """
     grams = sequence.runs(np.arange(n_words - k + 1), k)
-    width = length - k + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    place = np.arange(len(view)) + (width - 1 - np.argmin(view[:, ::-1], axis=1))
-    return place, grams[place]
+    place, width, full = np.arange(len(grams)), 1, length - k + 1
+    while width < full:
+        step = min(width, full - width)
+        left, right = place[:-step], place[step:]
+        place = np.where(grams[right] <= grams[left], right, left)
+        width += step
+    return place, grams
 
 
-def stretches(sequence: Sequence, n_words: int, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """First window, number of windows, anchor hash and text hash of each stretch."""
-    place, hashes = anchors(sequence, n_words, length, k)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    count = np.diff(np.r_[first, len(place)])
+def stretches(hashes: np.ndarray, counts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Text, first window, number of windows, anchor hash and text hash of each stretch.
+
+    ``hashes`` are the words of several texts, one text after the other, ``counts`` of each.
+    """
+    ends = np.cumsum(counts)
+    usable = np.maximum(counts - length + 1, 0)
+    at = ragged(usable, ends - counts)  # the windows within one text
+    if not len(at):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(2))
+    sequence = Sequence(hashes)
+    place, grams = anchors(sequence, len(hashes), length, k)
+    place = place[at]
+    head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    count = np.diff(np.r_[head, len(place)])
+    first, anchor = at[head], place[head]
     # where the anchor lies counts too, as equal words with another anchor place are other windows
-    inside = (place[first] - first).astype(np.uint64)
     with np.errstate(over="ignore"):
-        text = mixed(sequence.runs(first, count + length - 1) + inside * ODD + count.astype(np.uint64))
-    return first, count, hashes[first], text
+        whole = sequence.runs(first, count + length - 1) + (anchor - first).astype(np.uint64) * ODD + count.astype(np.uint64)
+    text = np.searchsorted(ends, first, "right")
+    return text, first - (ends - counts)[text], count, grams[anchor], mixed(whole)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in text_chunks(batch):
-            keys = rows.column(0).to_pylist()
-            out = []
-            for key, text in zip(keys, texts, strict=True):
-                hashes = word_hashes(text.encode())
-                if len(hashes) >= length:
-                    found = stretches(Sequence(hashes), len(hashes), length, k)
-                    out.append((np.full(len(found[0]), key), *found))
-            if out:
-                key, first, count, anchor, whole = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key, pa.int64()),
-                        pa.array(first, pa.int32()),
-                        pa.array(count, pa.int16()),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(whole.view(np.int64)),
-                    ],
-                    names=["_row", "first", "count", "anchor", "whole"],
-                )
+            text, first, count, anchor, whole = stretches(*word_hashes([t.encode() for t in texts]), length, k)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("_row").take(pa.array(text)),
+                    pa.array(first, pa.int32()),
+                    pa.array(count, pa.int16()),
+                    pa.array(anchor.view(np.int64)),
+                    pa.array(whole.view(np.int64)),
+                ],
+                names=["_row", "first", "count", "anchor", "whole"],
+            )
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the single windows of the listed stretches."""
     for batch in batches:
         for rows, texts in text_chunks(batch):
-            out = []
-            for key, text, listed in zip(rows.column("_row").to_pylist(), texts, rows.column("stretches").to_pylist(), strict=True):
-                sequence = Sequence(word_hashes(text.encode()))
-                for s in listed:
-                    start = np.arange(s["first"], s["first"] + s["count"])
-                    n = len(start)
-                    out.append((np.full(n, key), start, sequence.runs(start, length), np.full(n, s["anchor"]), np.full(n, s["lone"])))
-            if out:
-                key, start, window, anchor, lone = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(window.view(np.int64)), pa.array(anchor, pa.int64()), pa.array(lone, pa.bool_())],
-                    names=["_row", "first", "window", "anchor", "lone"],
-                )
+            hashes, counts = word_hashes([t.encode() for t in texts])
+            listed = rows.column("stretches")
+            text = np.repeat(np.arange(len(texts)), listed.value_lengths().to_numpy())
+            fields = dict(zip(("first", "count", "anchor", "lone"), listed.flatten().flatten(), strict=True))
+            first, count = (fields[c].to_numpy().astype(np.int64) for c in ("first", "count"))
+            start = ragged(count, first)
+            begin = np.repeat((np.cumsum(counts) - counts)[text], count)
+            window = Sequence(hashes).runs(begin + start, length)
+            each = pa.array(np.repeat(np.arange(len(text)), count))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("_row").take(pa.array(np.repeat(text, count))),
+                    pa.array(start, pa.int32()),
+                    pa.array(window.view(np.int64)),
+                    fields["anchor"].take(each),
+                    fields["lone"].take(each),
+                ],
+                names=["_row", "first", "window", "anchor", "lone"],
+            )
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -102,13 +117,18 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             totals, removed, kept, spans = [], [], [], []
             for text, listed in zip(texts, rows.column("repeats").to_pylist(), strict=True):
                 words = words_of(text)
+                totals.append(len(words))
+                if not listed:
+                    removed.append(0)
+                    spans.append([])
+                    kept.append(b" ".join(words).decode())
+                    continue
                 change = np.zeros(len(words) + 1, dtype=np.int32)
-                for r in listed or ():
+                for r in listed:
                     change[r["first"]] += 1
                     change[r["first"] + r["count"] + length - 1] -= 1
                 covered = np.cumsum(change[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
-                totals.append(len(words))
                 removed.append(int(covered.sum()))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
                 kept.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]).decode())

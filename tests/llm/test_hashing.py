@@ -10,14 +10,17 @@ from flowsight.llm.hashing import Sequence, word_hashes
 def test_words_and_their_hashes():
     rng = random.Random(2)
     seen = {}
+    texts = []
     for _ in range(300):
-        text = "".join(rng.choice("ab é\n\t\x0b\x1c🙂 c\0") for _ in range(rng.randint(0, 80))) + rng.choice(["", "x" * 5000, " "])
-        words = text.encode().split()
-        hashes = word_hashes(text.encode())
-        assert len(hashes) == len(words)
-        for w, h in zip(words, hashes.tolist(), strict=True):
-            assert seen.setdefault(w, h) == h
+        text = "".join(rng.choice("ab é\n\t\x0b\x1c🙂 c\0") for _ in range(rng.randint(0, 80)))
+        texts.append((text + rng.choice(["", "x" * 5000, " "])).encode())
+    hashes, counts = word_hashes(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    for w, h in zip([w for t in texts for w in t.split()], hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+    assert [len(x) for x in word_hashes([])] == [0, 0]
+    assert word_hashes([b"", b" "])[1].tolist() == [0, 0]
 
 
 def test_runs_depend_on_their_words_only():
