@@ -20,7 +20,12 @@ KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one text after the other, and the words per text.
+    """64-bit hashes of the words of all texts, one text after the other, and the words per text."""
+    return word_hashes_and_ends(texts)[:2]
+
+
+def word_hashes_and_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, words per text, and the last two bytes of each word as a number.
 
     Words are what ``bytes.split`` gives: runs without space and U+0009 to U+000D. Eight bytes are
     mixed in at a time, for all words that have so many.
@@ -45,7 +50,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             done += 8
             at = at[size[at] > done]
     lengths = np.array([len(t) for t in texts], dtype=np.int64) + 1
-    return out, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)])))
+    last = data[end - 1].astype(np.int64) << 8 | np.where(size > 1, data[end - 2], 0)
+    return out, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))), last
 
 
 class Sequence:

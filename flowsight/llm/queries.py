@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, jaccard_join, pii, substring_dedup, token_counts, toxicity
+from flowsight.llm import ann, byte_bpe, exact_topk, hpylm, jaccard_join, pii, substring_dedup, token_counts, toxicity
 from flowsight.llm.common import crc_part, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of nine tenths of the document numbers."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(crc_part("doc_id", 10) == 0, F.lit(False))
+    scored = hpylm.score(docs, hpylm.train(docs.filter(~held_out)))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and near-duplicate group of every document."""
