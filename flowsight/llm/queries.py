@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, hpylm, jaccard_join, pii, substring_dedup, token_counts, toxicity
+from flowsight.llm import ann, byte_bpe, exact_topk, hpylm, jaccard_join, mixing, pii, substring_dedup, token_counts, toxicity
 from flowsight.llm.common import crc_part, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,13 @@ def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
 
 
+@query
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs of a mixture half way between the sources' shares and equal shares."""
+    mixed, _ = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), evenness=0.5, max_epochs=4.0)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_order")
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
