@@ -397,3 +397,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", column: str = "text", n:
     found = found.join(rows.select("_row", "_key"), "_row")
     names = found.groupBy("component").agg(F.min("_key").alias("component_id"))
     return found.join(names, "component").select(F.col("_key").alias(key), F.col("size").alias("n_shingles"), "component_id")
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of every group the one of smallest key stays.
+
+    All columns come back as they are. Of equal keys in one group any one row stays; documents
+    without words and rows with a null text stay.
+    """
+    packed = df.select(
+        F.struct("*").alias("_document"), F.col(key).alias("_key"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")
+    )
+    rows, _ = numbered(packed)
+    found, _ = similar_components(rows.select("_row", "text"), n, percent)
+    gone = materialize(found.filter(F.col("_row") != F.col("component")).select("_row"), "near-duplicates")
+    few = gone.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS
+    return rows.join(_sent(gone, few), "_row", "left_anti").select("_document.*")

@@ -30,12 +30,14 @@ WORD = re.compile(r"\w+")
 BLOCK = 64
 #: Words whose scores a task remembers.
 CACHE_WORDS = 300_000
+#: How far beyond chance a form must be to explain toxic texts that nothing else explains.
+COVER_GAIN = 5.0
 
 
 def forms(word: str) -> list[str]:
     """The features of a word: itself, its beginnings and its end."""
     w = word.lower()
-    return [f"={w}", *[f"^{w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k], f"${w[-3:]}"]
+    return [f"={w}", *[f"^{w[:k]}" for k in (3, 4, 5, 6, 8) if len(w) >= k], f"${w[-3:]}"]
 
 
 @dataclass
@@ -138,42 +140,69 @@ def backward(x: np.ndarray, last: np.ndarray, steps: tuple[float, float, float])
     return seen_clean[::-1], seen_toxic[::-1]
 
 
-def bound_to(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
-    """Which of the counted forms occur in toxic texts more often than chance explains.
+def beyond_chance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """How unlikely it is that so many of a form's texts are toxic by chance.
 
-    A binomial tail bound, corrected for the number of forms that are tried.
+    The exponent of a binomial tail bound; 0 for forms that clean texts hold too often.
     """
     n = toxic + clean
     q = toxic / np.maximum(n, 1)
     rest = np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - share)), 0.0)
-    gain = n * (q * np.log(np.maximum(q, 1e-12) / share) + rest)
-    return (q > max(share, 0.8)) & (gain > np.log((toxic > 0).sum() + 1) + 2)
+    return np.where(q > max(share, 0.8), n * (q * np.log(np.maximum(q, 1e-12) / share) + rest), 0.0)
 
 
 def toxic_words(types: list[str], texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Which words mark a toxic text: bound words, and words with a bound beginning.
 
-    Beginnings are counted over the words that aren't bound themselves, so that one frequent word
-    doesn't speak for all that begin like it.
+    A form is bound if its count is beyond chance for all forms that are tried: the texts that hold
+    it, or, for beginnings, those that hold it twice. Beginnings are
+    counted over the words that aren't bound themselves, so that one frequent word doesn't speak for
+    all that begin like it. Toxic texts that are still without a mark are then explained one form at
+    a time, by the one that covers most of them.
     """
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return np.zeros(len(types), dtype=bool)
 
-    def counts(texts: list[np.ndarray], size: int) -> list[np.ndarray]:
+    def counts(texts: list[np.ndarray], size: int, labels: np.ndarray = y, times: int = 1) -> list[np.ndarray]:
+        """Clean and toxic texts that hold each form so many times."""
         out = [np.zeros(size, dtype=np.int64) for _ in range(2)]
-        for own, label in zip(texts, y, strict=True):
-            out[label][np.unique(own)] += 1
+        for own, label in zip(texts, labels, strict=True):
+            form, n = np.unique(own, return_counts=True)
+            out[label][form[n >= times]] += 1
         return out
 
+    def bound(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        return beyond_chance(toxic, clean, share) > np.log((toxic > 0).sum() + 1) + 2
+
     clean, toxic = counts(texts, len(types))
-    marked = bound_to(toxic, clean, share)
+    clean_words, marked = clean, bound(toxic, clean)
+    words = np.array([len(w) for w in types])
+    forms = []
     for k in (4, 5, 6):
         names: dict[str, int] = {}
-        stem = np.array([-1 if m or len(w) < k else names.setdefault(w[:k], len(names)) for w, m in zip(types, marked, strict=True)])
-        clean, toxic = counts([s[s >= 0] for s in (stem[t] for t in texts)], len(names))
-        found = np.append(bound_to(toxic, clean, share), False)
-        marked = marked | found[stem]
+        stem = np.array([names.setdefault(w[:k], len(names)) if len(w) >= k else -1 for w in types], dtype=np.int64)
+        forms.append((stem, len(names)))
+        rest = np.where(marked, -1, stem)
+        # A beginning that clean texts have by chance too is bound if only toxic ones repeat it.
+        for times in (1, 2):
+            clean, toxic = counts([s[s >= 0] for s in (rest[t] for t in texts)], len(names), times=times)
+            marked = marked | np.append(bound(toxic, clean), False)[rest]
+
+    cleans = [counts([s[s >= 0] for s in (stem[t] for t in texts)], n)[0] for stem, n in forms]
+    forms.append((np.where(words > 1, np.arange(len(types)), -1), len(types)))
+    cleans.append(clean_words)
+    while open_ := [t for t, label in zip(texts, y, strict=True) if label and not marked[t].any()]:
+        best = (COVER_GAIN, None, None)
+        for (stem, n), clean in zip(forms, cleans, strict=True):
+            toxic = counts([s[s >= 0] for s in (stem[t] for t in open_)], n, np.ones(len(open_), dtype=np.int64))[1]
+            gain = np.where(toxic >= 3, beyond_chance(toxic, clean, share), 0.0)
+            at = int(np.argmax(gain)) if n else 0
+            if n and gain[at] > best[0]:
+                best = (gain[at], stem, at)
+        if best[1] is None:
+            break
+        marked = marked | (best[1] == best[2])
     return marked
 
 
