@@ -7,11 +7,11 @@ table of them only sets the order; any order is exact). Every node has a bitmap:
 one bit, so the bits in which two bitmaps differ are at most the shingles in which the sets differ,
 and the bit count bounds the overlap from above. Its width follows the size of the set.
 
-First every node is compared with one node of a tile that it shares most (its star), so the members
-of a group of copies become one component without all their pairs. Then, in the tiles that still hold
-different components, nodes of neighbouring size bands and different components are compared by
-bitmap, in blocks of bounded size, and only pairs within the bound are kept. Both rounds end in the
-exact intersection of sorted arrays, made from the documents' texts.
+First every node is compared with one central node of its tiles (its star), so the members of a group
+of copies become one component without all their pairs. Then, in the tiles that still hold different
+components, nodes of neighbouring size bands and different components are compared by bitmap, in
+blocks of bounded size: two rounds for the nearest ones, and one for all that is still apart. Every
+round ends in the exact intersection of sorted arrays, made from the documents' texts.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ COUNTED_SHINGLES = 2_000_000
 TILE_ROWS = 1000
 #: Pairs whose numbers may travel to all tasks instead of the texts to the pairs: 16 bytes each.
 SENT_PAIRS = 1_000_000
+#: Nearest nodes of other components that a node is compared with, round by round, before all are.
+NEAREST = (1, 2)
 #: Bitmap words compared at a time.
 CELLS = 2_000_000
 
@@ -210,21 +212,24 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of different components in each tile; rows come sorted by tile, then size."""
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of different components in each tile; rows come sorted by tile.
+
+    All of them, or for each node those with its ``nearest`` nodes by bitmap.
+    """
     rest: list[dict] = []
     for batch in batches:
         rows = rest + batch.to_pylist()
         tile = lambda r: (r["token"], r["left"], r["right"])
         edges = [0, *[i for i in range(1, len(rows)) if tile(rows[i]) != tile(rows[i - 1])], len(rows)]
         for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-            yield from _pairs(rows[a:b], percent)
+            yield from _pairs(rows[a:b], percent, nearest)
         rest = rows[edges[-2] :] if rows else []
     if rest:
-        yield from _pairs(rest, percent)
+        yield from _pairs(rest, percent, nearest)
 
 
-def _pairs(rows: list[dict], percent: int) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: list[dict], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
     """``rows`` are one tile: a block with itself, or two blocks of a shared shingle."""
     size = np.array([r["size"] for r in rows], dtype=np.int64)
     component = np.array([r["component"] for r in rows])
@@ -232,6 +237,7 @@ def _pairs(rows: list[dict], percent: int) -> Iterator[pa.RecordBatch]:
     block = np.array([r["block"] for r in rows])
     crossing = rows[0]["left"] != rows[0]["right"]
     widths = np.array([len(r["bits"]) for r in rows])
+    found = [np.zeros((3, 0))]
     for w in np.unique(widths).tolist():
         own = np.flatnonzero(widths == w)
         bits = np.frombuffer(b"".join(rows[i]["bits"] for i in own), dtype=np.uint64).reshape(len(own), -1)
@@ -255,9 +261,18 @@ def _pairs(rows: list[dict], percent: int) -> Iterator[pa.RecordBatch]:
                     continue
                 differ = np.bitwise_count(bits[start : start + step][:, None, :] ^ more[None, :, :]).sum(-1, dtype=np.int64)
                 i, j = np.nonzero(maybe & within(a, b, differ, percent))
-                x, y = node[part[i]], node[theirs[j]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                found.append(np.array([part[i], theirs[j], differ[i, j] / (size[part[i]] + size[theirs[j]])]))
+    left, right, apart = np.hstack(found)
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    if nearest is not None and len(left):
+        own = np.concatenate([left, right])
+        order = np.lexsort((np.concatenate([apart, apart]), own))
+        rank = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+        kept = np.unique(order[rank < nearest] % len(left))
+        left, right = left[kept], right[kept]
+    if len(left):
+        x, y = node[left], node[right]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -311,9 +326,9 @@ def similar_components(rows: DataFrame, n: int = 5, percent: int = 80) -> tuple[
         .agg(F.sum("seen").alias("seen"))
         .orderBy(F.desc("seen"), "token")
         .limit(ORDERED_SHINGLES)
-        .toPandas()
+        .toArrow()
     )
-    tokens = common.token.to_numpy(dtype=np.int64).view(np.uint64)
+    tokens = common["token"].to_numpy().view(np.uint64)
     by_hash = np.argsort(tokens)
     order = spark.sparkContext.broadcast((tokens[by_hash], -by_hash))  # the rarer of them first
     met = rows.mapInArrow(
@@ -327,12 +342,18 @@ def similar_components(rows: DataFrame, n: int = 5, percent: int = 80) -> tuple[
     first = filled.groupBy("node").agg(F.min("_row").alias("row"))
     nodes = materialize(filled.join(first.withColumnRenamed("row", "_row"), ["node", "_row"]), "nodes")
 
-    # Stars: in each tile and size band the smallest node is the head.
+    # Stars: in each tile and size band the most central node is the head, the one whose shingles
+    # most others share: the original of a group of edited copies rather than one of them.
     band = F.floor(F.log(F.col("size")) / F.log(F.lit(100 / percent)))
-    banded = met.withColumn("band", band)
-    heads = banded.groupBy("token", "band").agg(F.min("node").alias("head"))
+    held = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "tile-sizes")
+    pull = met.join(held, "token").groupBy("node").agg((F.sum("rows") / F.first("size")).alias("pull"))
+    banded = met.join(materialize(pull, "pull"), "node").withColumn("band", band)
+    banded = materialize(banded.select("token", "band", "node", "pull"), "banded")
+    heads = banded.groupBy("token", "band").agg(F.max(F.struct("pull", "node")).alias("head"))
+    heads = materialize(heads.select("token", "band", F.col("head.node").alias("head")), "heads")
     meetings = banded.join(heads, ["token", "band"]).filter(F.col("node") != F.col("head")).groupBy("node", "head").count()
-    stars = meetings.groupBy("node").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
+    stars = meetings.groupBy("node").agg(F.max(F.struct("count", "head")).alias("best"))
+    stars = stars.select("node", F.col("best.head").alias("head"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs of nodes within the bit-count bound, as pairs of rows."""
@@ -345,18 +366,43 @@ def similar_components(rows: DataFrame, n: int = 5, percent: int = 80) -> tuple[
     links = materialize(verified(rows, pairs, n, percent), "links")
     labels = components(links)
 
-    # Tiles with different components: bitmaps of the nodes, in blocks of bounded size.
-    named = nodes.join(labels.withColumnRenamed("node", "_row"), "_row", "left").select(
-        "node", "_row", "bits", F.coalesce("label", "_row").alias("component")
+    # Tiles with different components: first each node's nearest ones, round after round, then all
+    # that is still apart.
+    by_row = nodes.select("node", "_row")
+    for nearest in (*NEAREST, None):
+        named = nodes.join(labels.withColumnRenamed("node", "_row"), "_row", "left").select(
+            "node", "bits", F.coalesce("label", "_row").alias("component")
+        )
+        rest = possible_in_tiles(met, materialize(named, "components"), percent, nearest)
+        rest = rest.join(by_row.select(F.col("node").alias("a"), F.col("_row").alias("x")), "a").join(
+            by_row.select(F.col("node").alias("b"), F.col("_row").alias("y")), "b"
+        )
+        rest = materialize(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
+        more = materialize(verified(rows, rest, n, percent), "links")
+        links = links.unionByName(more)
+        labels = components(links)
+    final = nodes.join(labels.withColumnRenamed("node", "_row"), "_row", "left").select(
+        "node", F.coalesce("label", "_row").alias("component")
     )
-    held = met.join(named.select("node", "component"), "node")
+    sized = documents.select("_row", "size", "node").join(final, "node", "left")
+    own = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("_row"))
+    return sized.select("_row", "size", own.alias("component")), links
+
+
+def possible_in_tiles(met: DataFrame, named: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs of nodes of different components that meet in a tile and that the bit counts allow.
+
+    ``met`` has (token, node, size), ``named`` (node, bits, component). The tile of a shingle that
+    many nodes share is cut into blocks, and every two blocks are a tile.
+    """
     mixed_tiles = (
-        held.groupBy("token")
+        met.join(named.select("node", "component"), "node")
+        .groupBy("token")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
         .filter(F.col("low") != F.col("high"))
         .select("token", F.ceil(F.col("rows") / TILE_ROWS).alias("blocks"))
     )
-    open_rows = met.join(mixed_tiles, "token").join(named.drop("_row"), "node")
+    open_rows = met.join(materialize(mixed_tiles, "mixed-tiles"), "token").join(named, "node")
     blocked = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
         "with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
@@ -364,21 +410,8 @@ def similar_components(rows: DataFrame, n: int = 5, percent: int = 80) -> tuple[
         "token", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"),
         "size", "node", "component", "block", "bits",
     )
-    tiled = tiled.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "size")
-    rest = tiled.mapInArrow(partial(_tiles, percent=percent), "a long, b long").distinct()
-    by_row = nodes.select("node", "_row")
-    rest = rest.join(by_row.select(F.col("node").alias("a"), F.col("_row").alias("x")), "a").join(
-        by_row.select(F.col("node").alias("b"), F.col("_row").alias("y")), "b"
-    )
-    rest = materialize(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
-    links = materialize(links.unionByName(verified(rows, rest, n, percent)), "links")
-    labels = components(links)
-    final = nodes.join(labels.withColumnRenamed("node", "_row"), "_row", "left").select(
-        "node", F.coalesce("label", "_row").alias("component")
-    )
-    sized = documents.select("_row", "size", "node").join(final, "node", "left")
-    own = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("_row"))
-    return sized.select("_row", "size", own.alias("component")), links
+    tiled = tiled.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
+    return tiled.mapInArrow(partial(_tiles, percent=percent, nearest=nearest), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
