@@ -66,12 +66,12 @@ def no_block_reason(
     cooldown_sec: Column,
     instant_block: Column,
 ) -> Column:
-    """Why a row was not blocked; null when nothing stood in the way."""
+    """Why a row was not blocked; null when it was."""
     return (
-        F.when(~is_attack, F.lit("benign"))
+        F.when(level != "NONE", F.lit(None).cast("string"))
+        .when(~is_attack, F.lit("benign"))
         .when(~cooled_down, F.concat(F.lit("cooldown "), plain_number(cooldown_sec), F.lit("s")))
-        .when(
-            level == "NONE",
+        .otherwise(
             F.concat(
                 F.lit("below criteria (hits="),
                 hits.cast("string"),
@@ -82,7 +82,7 @@ def no_block_reason(
                 F.lit("<"),
                 instant_block.cast("string"),
                 F.lit(")"),
-            ),
+            )
         )
     )
 

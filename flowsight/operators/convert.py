@@ -69,7 +69,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def packet_and_byte_columns(df: DataFrame, allow_proxy: bool = False) -> tuple[str, str]:
+def packet_and_byte_columns(df: DataFrame, allow_proxy: bool = True) -> tuple[str, str]:
     """Names of the packet and byte columns, by alias or (if allowed) by position among numbers."""
     packets = resolve_column(df.columns, PACKETS)
     size = resolve_column(df.columns, BYTES)
@@ -150,7 +150,7 @@ def mean_gap(columns: Sequence[str]) -> Column:
 def convert_packet_summaries(
     df: DataFrame,
     label: Column | None = None,
-    allow_proxy: bool = False,
+    allow_proxy: bool = True,
     with_legacy: bool = False,
     keep: Sequence[str] = ("source_file",),
 ) -> DataFrame:

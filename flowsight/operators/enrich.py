@@ -34,7 +34,7 @@ def place_of(ip: Column) -> Column:
 def enrich_threat(
     rows: DataFrame, ip: str = "top_src_ip", reputation: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``threat`` (country, flag, threat label) for the address in ``ip``.
+    """Adds ``threat`` (country, flag, threat label) for the address in ``ip``; null without one.
 
     ``reputation`` (ip, threat; one row per address) replaces the built-in list.
     """
@@ -47,10 +47,13 @@ def enrich_threat(
     return (
         joined.withColumn(
             "threat",
-            F.struct(
-                place["country"].alias("country"),
-                place["flag"].alias("flag"),
-                F.col("_threat").alias("threat"),
+            F.when(
+                F.coalesce(F.col(ip), F.lit("")) != "",
+                F.struct(
+                    place["country"].alias("country"),
+                    place["flag"].alias("flag"),
+                    F.col("_threat").alias("threat"),
+                ),
             ),
         ).select(*rows.columns, "threat")
     )

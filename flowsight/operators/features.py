@@ -14,7 +14,7 @@ from flowsight.functions.scalars import (
     split_square,
     squared,
 )
-from flowsight.operators.lookups import lookup
+from flowsight.operators.lookups import lookup, match
 from flowsight.operators.ordering import count_bucket, time_bucket, with_running_max
 from flowsight.schema import FEATURES, KEY, MAX_PROTOCOLS
 
@@ -214,7 +214,7 @@ def window_features_by(
 def closed_windows(rows: DataFrame, key: str = KEY, order: str = "window_start") -> DataFrame:
     """Feature rows without each sensor's last window."""
     last = rows.groupBy(key).agg(F.max(order).alias("_last"))
-    known = lookup(rows, last, [key], "inner", derived=True)
+    known = lookup(rows, last, [key], "inner")
     return known.filter(F.col(order) < F.col("_last")).drop("_last")
 
 
@@ -222,7 +222,7 @@ def assign_anchored_windows(
     flows: DataFrame, anchors: DataFrame, seconds: int, key: str = KEY
 ) -> DataFrame:
     """Window index by event time, counted from each sensor's anchor."""
-    return lookup(flows, anchors, [key], how="inner", derived=True).withColumn(
+    return lookup(flows, anchors, [key], how="inner").withColumn(
         "window_index", anchored_index(F.col("ts"), F.col("anchor"), seconds)
     )
 
@@ -359,13 +359,11 @@ def trailing_unique(
         .withColumn("_slice", F.col("_slice") - 1)
         .withColumn("_head", F.lit(True))
     )
-    # Grouping by the endpoint alone would sort a busy endpoint's slice in one task; a slice of a
-    # sensor is the unit of work here as in sliding_totals, so partition by it and order within.
-    task = W.partitionBy(key, "_slice").orderBy("_endpoint", "at", "_head")
+    # An endpoint's flows of one slice are the unit of work: finer than the slice of a busy sensor.
+    task = W.partitionBy(key, "_endpoint", "_slice").orderBy("at", "_head")
     listed = rows.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
-    following = F.when(F.lead("_endpoint").over(task).eqNullSafe(F.col("_endpoint")), F.lead("at").over(task))
     standing = (
-        listed.withColumn("_next", following)
+        listed.withColumn("_next", F.lead("at").over(task))
         .filter(~F.col("_head"))
         .withColumn("leaves_at", F.least(F.col("_next"), F.col("at") + width + 1))
         .withColumn("n", F.col("_endpoint").isNotNull().cast("long"))
@@ -391,6 +389,6 @@ def interarrival_gaps(flows: DataFrame, seconds: int = 3600, key: str = KEY) ->
     inside = W.partitionBy(key, "_slice").orderBy("ts", "arrival_seq")
     previous = F.coalesce(F.lag("ts").over(inside), F.col("_carried"))
     gap = (F.unix_micros("ts") - F.unix_micros(previous)) / F.lit(1e6)
-    return rows.join(carried, [key, "_slice"]).select(
+    return match(rows, carried, [key, "_slice"]).select(
         key, "arrival_seq", "ts", gap.alias("gap_sec")
     )

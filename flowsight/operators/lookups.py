@@ -1,49 +1,30 @@
-"""Left lookups that broadcast only what was counted and salt the rest."""
+"""Joins that keep rows whose key is null, and left lookups that salt the keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.session import materialize
-
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def small_enough(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``dim`` has at most ``rows`` rows and, written as text, at most ``size`` bytes.
+def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
 
-    Runs one job that looks at no more than ``rows`` + 1 rows.
-    """
-    text = F.length(F.to_json(F.struct("*")))
-    found = dim.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
-    return found[0] <= rows and found[1] <= size
-
-
-def lookup(
-    left: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    max_broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    derived: bool = False,
-) -> DataFrame:
-    """Join ``left`` to a table with one row per key.
-
-    A counted small table is broadcast. A larger one is shuffled, with the rows of every key
-    (missing keys too) spread over ``salts`` tasks, so a key that holds much of ``left`` does not
-    end in one of them. Say ``derived`` if ``dim`` is itself the result of work on large data: it
-    is then written to the scratch folder first, so that counting it does not do that work twice.
+
+def lookup(left: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join ``left`` to a table with one row per key (null is a key like any other).
+
+    The rows of every key are spread over ``salts`` tasks, so a key that holds much of ``left`` does
+    not end in one of them. No job runs here; whether the table is broadcast is left to Spark.
     """
     on = list(on)
-    dim = materialize(dim, "lookup") if derived else dim
-    if small_enough(dim, max_broadcast_rows):
-        return left.join(F.broadcast(dim), on, how)
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return match(salted_left, salted_dim, [*on, "_salt"], how).drop("_salt")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowsight.operators.lookups import lookup
+from flowsight.operators.lookups import lookup, match
 
 
 def time_bucket(ts: Column, seconds: int) -> Column:
@@ -43,7 +43,7 @@ def with_position(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        df.join(starts, [*keys, "_bucket"])
+        match(df, starts, [*keys, "_bucket"])
         .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_start")
     )
@@ -70,7 +70,7 @@ def with_running_max(
         .rangeBetween(W.unboundedPreceding, W.currentRow)
     )
     return (
-        df.join(carried, [*keys, "_bucket"])
+        match(df, carried, [*keys, "_bucket"])
         .withColumn(name, F.greatest(F.max("_value").over(inside), "_carried"))
         .drop("_bucket", "_value", "_carried")
     )
@@ -83,7 +83,7 @@ def head_cuts(
 
     ``take`` gives the head size from the column ``total`` (rows of the group). A group whose head
     is empty has no row. ``order`` must be unique within a group. Only the order column is read,
-    and only the one bucket that holds the cut is ever shuffled and sorted. Runs a small job.
+    and only the one bucket that holds the cut is ever shuffled and sorted.
     """
     keys = list(keys)
     slim = df.select(*keys, order, bucket.alias("_bucket"))
@@ -104,7 +104,7 @@ def head_cuts(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order)
     return (
-        lookup(slim, cut_bucket, [*keys, "_bucket"], "inner", derived=True)
+        lookup(slim, cut_bucket, [*keys, "_bucket"], "inner")
         .withColumn("_row", F.row_number().over(inside))
         .filter(F.col("_row") == F.col("_rank"))
         .select(*keys, F.col(order).alias("cut"))

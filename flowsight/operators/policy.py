@@ -20,7 +20,7 @@ from flowsight.functions.decision import (
     severity,
     top_class,
 )
-from flowsight.operators.lookups import lookup
+from flowsight.operators.lookups import lookup, match
 from flowsight.operators.ordering import time_bucket, with_position
 from flowsight.schema import KEY, Policy
 from flowsight.session import materialize
@@ -209,7 +209,7 @@ def with_cooldown(rows: DataFrame, key: str = KEY) -> DataFrame:
     summaries = marked.drop("_first").groupBy(key, "_chunk").applyInArrow(steps, steps_type)
     # One row per chunk of a sensor.
     entered = summaries.groupBy(key).applyInPandas(entries, entry_type)
-    rows = rows.join(entered, [key, "_chunk"]).select(*rows.columns, "_entry")
+    rows = match(rows, entered, [key, "_chunk"]).select(*rows.columns, "_entry")
     return rows.groupBy(key, "_chunk").applyInArrow(run, out_type)
 
 

@@ -73,9 +73,10 @@ def decided_sql(policy: Policy) -> str:
          CASE WHEN w.severity = 'NONE' THEN 'NONE' ELSE 'BLOCK-' || w.severity END AS action,
          CASE WHEN s.score >= s.threshold THEN {ATTACK_TYPE_SQL}
               WHEN s.score > 0.5 THEN 'attack' ELSE 'benign' END AS pred_class,
-         CASE WHEN NOT s.is_attack THEN 'benign'
+         CASE WHEN w.severity <> 'NONE' THEN NULL
+              WHEN NOT s.is_attack THEN 'benign'
               WHEN NOT w.cooled THEN 'cooldown {int(p.cooldown_sec)}s'
-              WHEN w.severity = 'NONE' THEN format('below criteria (hits={{}}<{p.grace}, score={{:.3f}}<{p.instant_block})',
+              ELSE format('below criteria (hits={{}}<{p.grace}, score={{:.3f}}<{p.instant_block})',
                                                    s.hits_in_window, s.score) END AS no_block_reason,
          CASE WHEN w.severity <> 'NONE' THEN s.top_src_ip IS NOT NULL END AS block_ok,
          CASE WHEN w.severity <> 'NONE' THEN CASE WHEN s.top_src_ip IS NULL THEN 'no-ip'
@@ -85,6 +86,7 @@ def decided_sql(policy: Policy) -> str:
 )"""
 
 
+# As in operators/enrich.py.
 COUNTRY_SQL = "['US', 'CN', 'RU', 'DE', 'BR', 'IN']"
 FLAG_SQL = "['🇺🇸', '🇨🇳', '🇷🇺', '🇩🇪', '🇧🇷', '🇮🇳']"
 REPUTATION_SQL = """CASE {ip} WHEN '192.168.1.105' THEN 'Mirai Botnet Node'
@@ -93,9 +95,9 @@ REPUTATION_SQL = """CASE {ip} WHEN '192.168.1.105' THEN 'Mirai Botnet Node'
 
 def threat_sql(ip: str) -> str:
     """Columns code_sum, country, flag and threat of an address column."""
-    place = f"CASE WHEN coalesce({ip}, '') = '' THEN '{{}}' ELSE {{}}[1 + code_sum % 6] END"
+    place = f"CASE WHEN coalesce({ip}, '') <> '' THEN {{}}[1 + code_sum % 6] END"
     return (
-        f"{place.format('Unknown', COUNTRY_SQL)} AS country, {place.format('🏳️', FLAG_SQL)} AS flag, "
+        f"{place.format(COUNTRY_SQL)} AS country, {place.format(FLAG_SQL)} AS flag, "
         f"{REPUTATION_SQL.format(ip=ip)} AS threat"
     )
 
@@ -173,7 +175,7 @@ WITH {FLOWS}, coded AS (
   SELECT *, {CODE_SUM_SQL.format(ip="dst")} AS code_sum FROM flows
 ), placed AS (SELECT *, {threat_sql("dst")} FROM coded)
 SELECT arrival_seq, dst, code_sum, country, flag, threat,
-       trim(concat_ws(' ', flag, country, coalesce(threat, ''))) AS threat_text
+       trim(concat_ws(' ', coalesce(flag, ''), coalesce(country, ''), coalesce(threat, ''))) AS threat_text
 FROM placed""")
 def threat_context(spark, sf_dir):
     rows = enrich_threat(adapters.flows(spark, sf_dir).select("arrival_seq", "dst"), "dst")
@@ -216,7 +218,7 @@ WITH {ALERTS}, placed AS (
   FROM (SELECT *, {CODE_SUM_SQL.format(ip="src_ip")} AS code_sum FROM decided)
 )
 SELECT ts, index, score, state, hits_in_window, action, pred_class, '' AS reason,
-       trim(concat_ws(' ', flag, country, coalesce(threat, ''))) AS threat
+       trim(concat_ws(' ', coalesce(flag, ''), coalesce(country, ''), coalesce(threat, ''))) AS threat
 FROM placed""")
 def alert_export(spark, sf_dir):
     return al.export_rows(alerts(spark, sf_dir))

@@ -17,6 +17,9 @@ from flowsight.sources.flows import as_events, read_flows_stream
 from flowsight.streaming import decisions as sd
 from flowsight.streaming import features as sf
 
+#: The given tables are read as one file in order of time, so no flow comes late.
+LATENESS = "0 seconds"
+
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything a stream gives for the input there is now, as a table."""
@@ -43,7 +46,7 @@ def flow_stream(spark, sf_dir) -> DataFrame:
 
 
 def feature_table(spark, sf_dir) -> DataFrame:
-    return run_to_end(sf.stream_window_features(flow_stream(spark, sf_dir), WINDOW), "features")
+    return run_to_end(sf.stream_window_features(flow_stream(spark, sf_dir), WINDOW, lateness=LATENESS), "features")
 
 
 def decision_stream(spark, sf_dir) -> DataFrame:
@@ -73,14 +76,14 @@ def stream_json_features(spark, sf_dir):
     """The whole live path: JSON event lines, parsed flows, feature rows."""
     path = scratch_dir(spark, "events")
     as_events(adapters.flows(spark, sf_dir)).write.json(path)
-    rows = run_to_end(sf.stream_window_features(read_flows_stream(spark, path), WINDOW), "features")
+    rows = run_to_end(sf.stream_window_features(read_flows_stream(spark, path), WINDOW, lateness=LATENESS), "features")
     rows = rows.withColumn("sensor_id", F.col("sensor_id").cast("long"))
     return rounded(rows.drop("window_end", "top_src_ip", "http_flows", "dns_flows", "tls_flows", "app_protos"))
 
 
 @query(SQL["trailing_features"])
 def stream_trailing_features(spark, sf_dir):
-    return run_to_end(sf.stream_trailing_features(flow_stream(spark, sf_dir), WINDOW_SEC), "trailing")
+    return run_to_end(sf.stream_trailing_features(flow_stream(spark, sf_dir), WINDOW_SEC, lateness=LATENESS), "trailing")
 
 
 @query(f"WITH {decided_sql(POLICY)} SELECT {', '.join(DECISION_COLUMNS)} FROM decided WHERE {CLOSED}")
@@ -96,7 +99,7 @@ SELECT time_bucket(INTERVAL '1 day', window_end, TIMESTAMP '1970-01-01') AS wind
 FROM decided WHERE {CLOSED} GROUP BY 1, 2""")
 def stream_alert_counts(spark, sf_dir):
     alerts = stored_alerts(spark, sf_dir)
-    rows = run_to_end(sd.alert_counts_stream(alerts, "1 day"), "counts", "update")
+    rows = run_to_end(sd.alert_counts_stream(alerts, "1 day", lateness=LATENESS), "counts", "update")
     return latest(rows, ["window_start", "pred_class"])
 
 

@@ -10,6 +10,10 @@ from flowsight.functions.scalars import first_of, parse_timestamp
 from flowsight.schema import FLOW_EVENT_SCHEMA, KEY, SIMPLE_EVENT_SCHEMA
 
 
+#: The sensor of events that name none.
+DEFAULT_SENSOR = "default"
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLOW_EVENT_SCHEMA).option("mode", "PERMISSIVE").json(path)
 
@@ -29,7 +33,8 @@ def parse_flows(
 ) -> DataFrame:
     """Flat flow rows of the flow events; lines that are no such event are left out.
 
-    A missing or unreadable time drops the row, or with ``on_bad_ts="now"`` becomes the current
+    Events that name no sensor belong to one implicit stream, the sensor ``DEFAULT_SENSOR``. A
+    missing or unreadable time drops the row, or with ``on_bad_ts="now"`` becomes the current
     time (and missing addresses ``0.0.0.0``). ``arrival`` numbers the rows in reading order; a
     stream has no such number, nor does the default give one there.
     """
@@ -39,10 +44,13 @@ def parse_flows(
     count = lambda c: F.coalesce(F.col(f"flow.{c}"), F.lit(0).cast("long")).alias(c)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = events.filter(F.col("event_type") == "flow")
+    sensor = [F.col(key)] if key in events.columns else []
+    if sensor and isinstance(events.schema[key].dataType, T.StringType):
+        sensor = [F.coalesce(F.col(key), F.lit(DEFAULT_SENSOR)).alias(key)]
     if arrival is None and not events.isStreaming:
         arrival = F.monotonically_increasing_id()
     rows = rows.select(
-        *([F.col(key)] if key in events.columns else []),
+        *sensor,
         *([arrival.alias("arrival_seq")] if arrival is not None else []),
         (F.coalesce(ts, F.current_timestamp()) if lenient else ts).alias("ts"),
         address("src_ip").alias("src"),

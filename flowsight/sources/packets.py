@@ -87,7 +87,7 @@ def read_packet_summaries(
 
 
 def convert_files(
-    frames: Sequence[DataFrame], allow_proxy: bool = False
+    frames: Sequence[DataFrame], allow_proxy: bool = True
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(converted rows of all readable files, names of the files that had to be rejected)."""
     good, bad = [], []

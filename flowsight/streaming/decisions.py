@@ -120,7 +120,7 @@ def attach_policy_each_batch(
     return scored.writeStream.foreachBatch(write)
 
 
-def alert_counts_stream(alerts: DataFrame, window: str = "1 hour", lateness: str = "0 seconds") -> DataFrame:
+def alert_counts_stream(alerts: DataFrame, window: str = "1 hour", *, lateness: str) -> DataFrame:
     """Running totals, attacks and blocks per window of event time, and per class."""
     timed = alerts.withColumn("at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
     return (

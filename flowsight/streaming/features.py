@@ -17,18 +17,19 @@ from flowsight.schema import KEY
 
 
 def stream_window_features(
-    flows: DataFrame, window: str = "10 seconds", lateness: str = "0 seconds", key: str = KEY
+    flows: DataFrame, window: str = "10 seconds", *, lateness: str, key: str = KEY
 ) -> DataFrame:
     """Feature rows of windows that the event time has passed by ``lateness``.
 
-    A late flow still counts in its own window while that is open. Empty windows give no row, and
+    ``lateness`` has no default, as flows that come later than that are left out: it is the time
+    within which all flows are known to arrive. Until then a late flow counts in its own window. Empty windows give no row, and
     the last window stays open until later flows close it.
     """
     return window_features(flows.withWatermark("ts", lateness), window, key)
 
 
 def stream_unique_endpoints(
-    flows: DataFrame, window: str = "10 seconds", lateness: str = "0 seconds", key: str = KEY
+    flows: DataFrame, window: str = "10 seconds", *, lateness: str, key: str = KEY
 ) -> DataFrame:
     return approx_unique_endpoints(flows.withWatermark("ts", lateness), window, key)
 
@@ -100,10 +101,12 @@ class TrailingWindow(StatefulProcessor):
 
 
 def stream_trailing_features(
-    flows: DataFrame, seconds: int = 30, lateness: str = "0 seconds", key: str = KEY
+    flows: DataFrame, seconds: int = 30, *, lateness: str, key: str = KEY
 ) -> DataFrame:
     """Trailing-window features for every flow, from the flows that have arrived by then."""
     width = seconds * 1_000_000
+    if "arrival_seq" not in flows.columns:  # a stream of files has no reading order
+        flows = flows.withColumn("arrival_seq", F.lit(0).cast("long"))
     rows = flows.withWatermark("ts", lateness).select(
         key,
         "ts",

@@ -67,11 +67,11 @@ def test_syn_guess_needs_a_flag_column(spark):
     assert (ratio("urg_flag"), ratio("other"), ratio("syn count")) == (0.1, 0.0, 1.0)
 
 
-def test_proxies_are_opt_in(spark):
+def test_proxies_are_opt_out(spark):
     df = summaries(spark, ["name", "first", "second"], [("a", "3", "8"), ("b", " 4 ", "")])
     with pytest.raises(convert.UnresolvedColumns):
-        convert.convert_packet_summaries(df)
-    rows = convert.convert_packet_summaries(df, allow_proxy=True).collect()
+        convert.convert_packet_summaries(df, allow_proxy=False)
+    rows = convert.convert_packet_summaries(df).collect()
     assert [(r.flows, r.bytes_total) for r in rows] == [(3, 8.0), (4, 0.0)]
     assert convert.packet_and_byte_columns(summaries(spark, ["Number", "size"], []), True) == ("Number", "size")
 

@@ -99,16 +99,17 @@ def test_replay(spark):
     assert split.replay_feed(df, cycles=0).count() == df.count()
 
 
-def test_salted_lookup_equals_broadcast(spark, plan_of):
+def test_lookup_keeps_null_keys_and_runs_no_job(spark):
     left = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), "id"
     )
-    dim = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = lookups.lookup(left, dim, ["k"])
-    large = lookups.lookup(left, dim, ["k"], max_broadcast_rows=10, salts=4)
-    assert small.exceptAll(large.select(small.columns)).isEmpty() and large.count() == 300
-    assert "BroadcastHashJoin" in plan_of(small)
-    assert lookups.lookup(left, dim, ["k"], "inner", 10, 4).count() == left.filter("k < 200").count()
+    dim = spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    found = {r.id: (r.k, r.v) for r in lookups.lookup(left, dim, ["k"]).collect()}
+    want = {r.id: (r.k, 0 if r.k is None else r.k * 2 if r.k < 200 else None) for r in left.collect()}
+    assert found == want
+    inner = lookups.lookup(left, dim, ["k"], "inner", salts=4)
+    assert inner.columns == ["k", "id", "v"]
+    assert inner.count() == left.filter("k IS NULL OR k < 200").count()
 
 
 def test_running_max_over_buckets(spark):
@@ -126,23 +127,14 @@ def test_running_max_over_buckets(spark):
 class Session:
     """Just enough of a session to ask for its settings."""
 
-    def __init__(self, master, folder=None):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master})
+    def __init__(self, **settings):
+        self.conf = settings
 
 
 def test_scratch_folder():
     from flowsight.session import scratch_dir
 
-    assert scratch_dir(Session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_dir(Session("yarn"), "x")
-    assert "flowsight-" in scratch_dir(Session("local[2]"), "x")
-
-
-def test_broadcasts_are_limited_in_rows_and_bytes(spark):
-    dim = spark.range(50).withColumn("text", F.repeat(F.lit("x"), 100))
-    assert lookups.small_enough(dim)
-    assert not lookups.small_enough(dim, rows=49)
-    assert not lookups.small_enough(dim, size=1000)
-    assert lookups.small_enough(dim.limit(0), rows=0, size=0)
+    folders = {"spark.checkpoint.dir": "hdfs:///shared/", "spark.sql.warehouse.dir": "hdfs:///warehouse"}
+    assert scratch_dir(Session(**folders), "x").startswith("hdfs:///shared/x-")
+    del folders["spark.checkpoint.dir"]
+    assert scratch_dir(Session(**folders), "x").startswith("hdfs:///warehouse/x-")

@@ -46,7 +46,7 @@ def test_windows_over_restarts_equal_the_batch(spark, tmp_path):
     feed = Feed(spark, tmp_path, SCHEMA)
     for part in (rows[:100], rows[100:220], rows[220:]):
         feed.put(part)
-        out = feed.run(sf.stream_window_features(feed.stream()))
+        out = feed.run(sf.stream_window_features(feed.stream(), lateness="0 seconds"))
     df = spark.createDataFrame(rows, SCHEMA)
     newest = max(r[2] for r in rows)
     batch = ft.window_features(df).filter(F.col("window_end") <= F.lit(newest))
@@ -135,16 +135,16 @@ def test_incomplete_input_waits(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = read_flows_stream(spark, str(tmp_path / "in"))
     feed = Feed(spark, tmp_path, None)
-    out = feed.run(sf.stream_window_features(stream.withColumn("arrival_seq", F.lit(0))))
+    out = feed.run(sf.stream_window_features(stream.withColumn("arrival_seq", F.lit(0)), lateness="0 seconds"))
     assert out.count() == 0
     (tmp_path / "in" / "a.json").write_text('{"event_type":"flow"}\n{"src_ip":"x"}\n')
-    assert feed.run(sf.stream_window_features(read_flows_stream(spark, str(tmp_path / "in")))).count() == 0
+    assert feed.run(sf.stream_window_features(read_flows_stream(spark, str(tmp_path / "in")), lateness="0 seconds")).count() == 0
 
 
 def test_alert_stream_sinks(spark, sf_dir, tmp_path):
     path = str(tmp_path / "events")
     as_events(adapters.flows(spark, sf_dir)).write.json(path)
-    windows = sf.stream_window_features(read_flows_stream(spark, path), "6 hours")
+    windows = sf.stream_window_features(read_flows_stream(spark, path), "6 hours", lateness="0 seconds")
     job = tables.write_features(windows, "").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start(str(tmp_path / "features"))
     job.awaitTermination()
     stored = tables.read_features_stream(spark, str(tmp_path / "features"), windows.schema)
@@ -160,5 +160,5 @@ def test_alert_stream_sinks(spark, sf_dir, tmp_path):
 def test_approximate_endpoint_stream(spark, tmp_path):
     feed = Feed(spark, tmp_path, SCHEMA)
     feed.put([flow(0, 1, src="a"), flow(1, 2, src="b"), flow(2, 30)])
-    out = feed.run(sf.stream_unique_endpoints(feed.stream())).collect()
+    out = feed.run(sf.stream_unique_endpoints(feed.stream(), lateness="0 seconds")).collect()
     assert [(r.uniq_src, r.uniq_dst) for r in out] == [(2, 1)]
