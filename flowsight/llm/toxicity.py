@@ -121,6 +121,18 @@ def marginals(emission: np.ndarray, first: np.ndarray, steps: tuple[float, float
     return p, (flows / total).sum(1)
 
 
+def chained_marginals(emission: np.ndarray, flat: np.ndarray, first: np.ndarray, steps: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words given by number, some whole chains at a time to save memory."""
+    begins = np.flatnonzero(first)
+    at = np.searchsorted(begins, np.arange(0, len(flat), 200_000))
+    edges = np.unique(np.concatenate([begins[at[at < len(begins)]], [len(flat)]]))
+    p, expected = np.empty(len(flat)), np.zeros(3)
+    for a, b in zip(edges, edges[1:], strict=False):
+        p[a:b], flows = marginals(emission[flat[a:b]], first[a:b], steps)
+        expected += flows
+    return p, expected
+
+
 def backward(x: np.ndarray, last: np.ndarray, steps: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
     """Scaled backward sums: what follows each position, given its state."""
     # Mirrored, with (clean, toxic) after a position's own factor: one forward run whose entry from
@@ -247,10 +259,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 30) -> Chain:
     truth = marked[flat] & np.repeat(y == 1, lengths)
 
     names: dict[str, int] = {}
-    features = [[names.setdefault(f, len(names)) for f in forms(w)] for w in types]
-    rows = np.repeat(np.arange(len(types)), [len(f) for f in features])
-    columns = np.fromiter((i for f in features for i in f), dtype=np.int64, count=len(rows))
-    del features
+    sizes = np.fromiter((len(forms(w)) for w in types), dtype=np.int64, count=len(types))
+    rows = np.repeat(np.arange(len(types)), sizes)
+    columns = np.fromiter((names.setdefault(f, len(names)) for w in types for f in forms(w)), dtype=np.int64, count=len(rows))
     observed = np.bincount(flat[truth], minlength=len(types))
     before, here = truth[:-1][~first[1:]], truth[1:][~first[1:]]
     seen = np.array([(~before & here).sum(), (before & ~here).sum(), (before & here).sum()], dtype=float)
@@ -260,7 +271,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30) -> Chain:
     moment, spread = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
     for r in range(1, rounds + 1):
         emission = bias + np.bincount(rows, weights=weights[columns], minlength=len(types))
-        p, expected = marginals(emission[flat], first, tuple(steps))
+        p, expected = chained_marginals(emission, flat, first, tuple(steps))
         expected[0] += p[first].sum()
         miss = observed - np.bincount(flat, weights=p, minlength=len(types))
         by_form = np.bincount(columns, weights=miss[rows], minlength=len(names)) - 0.02 * weights
@@ -274,7 +285,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30) -> Chain:
     kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}
     chain = Chain(kept, float(bias), tuple(map(float, steps)))
     emission = bias + np.bincount(rows, weights=weights[columns], minlength=len(types))
-    p, _ = marginals(emission[flat], first, chain.steps)
+    p, _ = chained_marginals(emission, flat, first, chain.steps)
     chain.document = calibrate(evidence(p, lengths), y)
     return chain
 
@@ -346,7 +357,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent: Broadcast, column: str) -> I
             )
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", rows_per_label: tuple[int, int] = (2500, 1200)) -> Chain:
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", rows_per_label: tuple[int, int] = (2000, 1000)) -> Chain:
     """Trains on at most ``rows_per_label`` clean and toxic documents, those of smallest key hash.
 
     The bound keeps the training texts in the driver's memory; labels other than 0 and 1 and labels
