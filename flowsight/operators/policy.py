@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from flowsight.session import materialize
 
 CLASSES = ["benign", "attack"]  # fixed values: classes of the two-class model, benign first
 
+FRAMES = ("window", "adaptive_window")  # policy columns that are frame lengths
 CHUNK_ROWS = 50_000
 POSITION_BUCKET_SEC = 600
 
@@ -74,21 +76,49 @@ def in_chunks(
     )
 
 
-def with_state(chunked: DataFrame, policy: Policy, key: str = KEY) -> DataFrame:
-    """Effective threshold, attack state and hits of each row (policy columns attached)."""
+def longest_frames(policy: Policy | DataFrame, default: Policy = Policy()) -> Policy:
+    """``default`` with the longest frame lengths that a policy table gives to any sensor."""
+    if isinstance(policy, Policy):
+        return policy
+    given = [c for c in FRAMES if c in policy.columns]
+    if not given:
+        return default
+    longest = policy.agg(*[F.max(c).cast("int").alias(c) for c in given]).first()
+    return replace(default, **{c: max(longest[c] or 0, getattr(default, c)) for c in given})
+
+
+def with_state(chunked: DataFrame, policy: Policy, key: str = KEY, per_sensor: bool = False) -> DataFrame:
+    """Effective threshold, attack state and hits of each row (policy columns attached).
+
+    The frames are as long as ``policy`` says, or with ``per_sensor`` as each row's own columns say,
+    up to that length.
+    """
     order = W.partitionBy(key, "_chunk").orderBy("index")
     history = order.rowsBetween(-(max(policy.adaptive_window, 1) - 1), 0)
     recent = order.rowsBetween(-(max(policy.window, 1) - 1), 0)
-    lifted = F.avg("score").over(history) + F.col("adaptive_sensitivity") * F.stddev_pop("score").over(history)
-    active = F.col("use_adaptive") & (F.count("score").over(history) > 10)
+    if per_sensor:
+        own = lambda frame, size: F.slice(
+            frame, -F.greatest(F.least(F.size(frame), F.col(size)), F.lit(1)), F.greatest(F.col(size), F.lit(1))
+        )
+        chunked = chunked.withColumn("_scores", own(F.collect_list("score").over(history), "adaptive_window"))
+        n = F.size("_scores")
+        mean = F.aggregate("_scores", F.lit(0.0), lambda s, x: s + x) / n
+        spread = F.sqrt(F.aggregate("_scores", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+        lifted, active = mean + F.col("adaptive_sensitivity") * spread, F.col("use_adaptive") & (n > 10)
+    else:
+        lifted = F.avg("score").over(history) + F.col("adaptive_sensitivity") * F.stddev_pop("score").over(history)
+        active = F.col("use_adaptive") & (F.count("score").over(history) > 10)
     threshold = F.when(
         active, F.greatest(F.col("threshold"), F.greatest(lifted, F.col("adaptive_min")))
     ).otherwise(F.col("threshold"))
-    return (
-        chunked.withColumn("effective_threshold", threshold)
-        .withColumn("is_attack", F.col("score") >= F.col("effective_threshold"))
-        .withColumn("hits_in_window", F.sum(F.col("is_attack").cast("int")).over(recent).cast("int"))
+    rows = chunked.withColumn("effective_threshold", threshold).withColumn(
+        "is_attack", F.col("score") >= F.col("effective_threshold")
     )
+    hit = F.col("is_attack").cast("int")
+    if not per_sensor:
+        return rows.withColumn("hits_in_window", F.sum(hit).over(recent).cast("int"))
+    hits = F.aggregate(own(F.collect_list(hit).over(recent), "window"), F.lit(0), lambda s, x: s + x)
+    return rows.withColumn("hits_in_window", hits).drop("_scores")
 
 
 def adaptive_threshold(
@@ -229,13 +259,15 @@ def decide(
     Per row: ``index``, ``effective_threshold``, ``state``, ``hits_in_window``, ``severity``
     (KILL and HARD by score alone; SOFT for a burst of hits outside the cooldown), ``action``,
     ``pred_class``, ``no_block_reason`` and the block outcome. Any block restarts the cooldown.
-    With a policy table the frame lengths are those of ``default``. The rows are gone through twice
+    A policy table may set frame lengths per sensor; the longest of them is read from the table when
+    the plan is built. The rows are gone through twice
     (once for the cooldown carried between chunks); ``staged`` writes them to the shared scratch
     folder in between instead of working them out again.
     """
-    frames = policy if isinstance(policy, Policy) else default
+    frames = longest_frames(policy, default)
+    per_sensor = not isinstance(policy, Policy) and any(c in policy.columns for c in FRAMES)
     rows = in_chunks(attach_policy(scored, policy, key, default), key, order, frames.reach, chunk_rows)
-    rows = with_state(rows, frames, key).filter("_own").drop("_own")
+    rows = with_state(rows, frames, key, per_sensor).filter("_own").drop("_own")
     attack, score = F.col("is_attack"), F.col("score")
     instant = score >= F.least(F.col("instant_block"), F.lit(KILL_SCORE))
     rows = rows.withColumns(

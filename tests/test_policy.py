@@ -193,3 +193,21 @@ def test_scored_flows_with_equal_times(spark):
     ).orderBy("index").collect()
     assert [r.arrival_seq for r in out] == list(range(200))
     assert [r.severity for r in out] == [level for _, _, level, _ in loop(scores, times, policy)]
+
+
+def test_frame_lengths_per_sensor(spark):
+    rng = np.random.default_rng(6)
+    policies = {
+        1: Policy(threshold=0.6, window=1, cooldown_sec=15),
+        2: Policy(threshold=0.6, window=7, use_adaptive=True, adaptive_window=12, adaptive_sensitivity=0.4),
+        3: Policy(threshold=0.6, window=3, use_adaptive=True, adaptive_window=70, adaptive_sensitivity=0.2),
+    }
+    rows = [r for s in policies for r in rows_of(rng.random(120).tolist(), sensor=s)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    table = spark.createDataFrame([{"sensor_id": s, **{c: getattr(p, c) for c in Policy.columns()}} for s, p in policies.items()])
+    columns = ["sensor_id", "index", "hits_in_window", "severity", "action", "no_block_reason"]
+    decided = po.decide(df, table, chunk_rows=100).select(columns).collect()
+    found = {(r.sensor_id, r["index"]): tuple(r) for r in decided}
+    for s, p in policies.items():
+        for r in po.decide(df.filter(F.col("sensor_id") == s), p, chunk_rows=100).select(columns).collect():
+            assert found[s, r["index"]] == tuple(r)
