@@ -42,6 +42,30 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir), length=35)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
+SQL["op2_substring_dedup"] = r"""
+WITH texts AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), windows AS (
+    SELECT doc_id, first, sha256(array_to_string(list_slice(words, first, first + 34), ' ')) AS hash
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS first FROM texts WHERE len(words) >= 35)
+), again AS (
+    SELECT hash FROM windows GROUP BY hash HAVING count(*) > 1
+), covered AS (
+    SELECT doc_id, list(DISTINCT place) AS places
+    FROM (SELECT doc_id, unnest(range(first, first + 35)) AS place FROM windows JOIN again USING (hash))
+    GROUP BY doc_id
+), cut AS (
+    SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+           CASE WHEN places IS NULL THEN words
+                ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS kept
+    FROM texts LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM cut
+"""
+
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,3 +162,28 @@ def op9_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and near-duplicate group of every document."""
     return jaccard_join.near_duplicates(documents(spark, sf_dir), n=5, percent=80)
+
+SQL["op10_jaccard_join"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(words, first, first + 4), ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS first FROM texts WHERE len(words) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, m.n, n.n
+    HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+), reached AS (
+    SELECT doc_id AS x, doc_id AS y FROM texts
+    UNION
+    SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) LEFT JOIN sizes USING (doc_id)
+"""
