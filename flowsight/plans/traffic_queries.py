@@ -12,6 +12,7 @@ from flowsight.plans.reference_sql import CONTEXT, COUNTED, FLOWS, ROUNDED, WIND
 from flowsight.plans.registry import query, rounded
 from flowsight.sources.flows import event_to_features
 
+# As in functions/decision.py.
 ATTACK_TYPE_SQL = """
 CASE WHEN http_ratio > 0.5 THEN 'Web Attack (HTTP)'
      WHEN syn_ratio > 0.6 THEN 'DDoS: SYN Flood'

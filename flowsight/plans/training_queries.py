@@ -14,6 +14,7 @@ from flowsight.plans.registry import query, rounded
 from flowsight.schema import FEATURES
 
 # The label of each dataset name, spelled out (the queries work it out by rule).
+# As in functions/labels.py.
 LABELS = [
     "hijacking", "injection_command", "ddos_ack", "ddos_http", "ddos_icmp", "ddos_icmp", "ddos_ack",
     "ddos_other", "ddos_slowloris", "ddos_syn", "ddos_syn", "ddos_tcp", "ddos_udp", "ddos_udp",
