@@ -39,7 +39,9 @@ TILE_ROWS = 1000
 #: Pairs whose numbers may travel to all tasks instead of the texts to the pairs: 16 bytes each.
 SENT_PAIRS = 1_000_000
 #: Nearest nodes of other components that a node is compared with, round by round, before all are.
-NEAREST = (1, 2)
+NEAREST = (1,)
+#: Tiles of so few rows are compared pair by pair; arrays would cost more to set up.
+FEW_ROWS = 16
 #: Bitmap words compared at a time.
 CELLS = 2_000_000
 
@@ -231,9 +233,49 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None)
 
 def _pairs(rows: list[dict], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
     """``rows`` are one tile: a block with itself, or two blocks of a shared shingle."""
+    found = _few(rows, percent) if len(rows) <= FEW_ROWS else _many(rows, percent)
+    left, right, apart = found
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    if nearest is not None and len(left):
+        own = np.concatenate([left, right])
+        order = np.lexsort((np.concatenate([apart, apart]), own))
+        rank = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+        kept = np.unique(order[rank < nearest] % len(left))
+        left, right = left[kept], right[kept]
+    if len(left):
+        node = np.array([r["node"] for r in rows])
+        x, y = node[left], node[right]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _few(rows: list[dict], percent: int) -> np.ndarray:
+    """Possible pairs of a small tile: places of both rows and their distance per shingle."""
+    found = []
+    crossing = rows[0]["left"] != rows[0]["right"]
+    for i, r in enumerate(rows):
+        for j in range(i):
+            s = rows[j]
+            a, b = r["size"], s["size"]
+            apart = r["component"] != s["component"] and 100 * min(a, b) >= percent * max(a, b)
+            if apart and not (crossing and r["block"] == s["block"]):
+                x, y = r["bits"], s["bits"]
+                m, n = (int.from_bytes(v, "little") for v in (x, y))
+                for _ in range(len(x).bit_length() - len(y).bit_length()):
+                    x = x[len(x) // 2 :]
+                    m = (m & ((1 << 8 * len(x)) - 1)) ^ (m >> 8 * len(x))
+                for _ in range(len(y).bit_length() - len(x).bit_length()):
+                    y = y[len(y) // 2 :]
+                    n = (n & ((1 << 8 * len(y)) - 1)) ^ (n >> 8 * len(y))
+                differ = (m ^ n).bit_count()
+                if within(a, b, differ, percent):
+                    found.append((j, i, differ / (a + b)))
+    return np.array(found).reshape(-1, 3).T
+
+
+def _many(rows: list[dict], percent: int) -> np.ndarray:
+    """The same for a large tile, by arrays."""
     size = np.array([r["size"] for r in rows], dtype=np.int64)
     component = np.array([r["component"] for r in rows])
-    node = np.array([r["node"] for r in rows])
     block = np.array([r["block"] for r in rows])
     crossing = rows[0]["left"] != rows[0]["right"]
     widths = np.array([len(r["bits"]) for r in rows])
@@ -262,17 +304,7 @@ def _pairs(rows: list[dict], percent: int, nearest: int | None) -> Iterator[pa.R
                 differ = np.bitwise_count(bits[start : start + step][:, None, :] ^ more[None, :, :]).sum(-1, dtype=np.int64)
                 i, j = np.nonzero(maybe & within(a, b, differ, percent))
                 found.append(np.array([part[i], theirs[j], differ[i, j] / (size[part[i]] + size[theirs[j]])]))
-    left, right, apart = np.hstack(found)
-    left, right = left.astype(np.int64), right.astype(np.int64)
-    if nearest is not None and len(left):
-        own = np.concatenate([left, right])
-        order = np.lexsort((np.concatenate([apart, apart]), own))
-        rank = np.arange(len(own)) - np.searchsorted(own[order], own[order])
-        kept = np.unique(order[rank < nearest] % len(left))
-        left, right = left[kept], right[kept]
-    if len(left):
-        x, y = node[left], node[right]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    return np.hstack(found)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
