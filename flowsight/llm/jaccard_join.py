@@ -10,7 +10,7 @@ and the bit count bounds the overlap from above. Its width follows the size of t
 First every node is compared with one central node of its tiles (its star), so the members of a group
 of copies become one component without all their pairs. Then, in the tiles that still hold different
 components, nodes of neighbouring size bands and different components are compared by bitmap, in
-blocks of bounded size: two rounds for the nearest ones, and one for all that is still apart. Every
+blocks of bounded size: a round for the nearest ones, and one for all that is still apart. Every
 round ends in the exact intersection of sorted arrays, made from the documents' texts.
 """
 
