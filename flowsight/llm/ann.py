@@ -182,7 +182,7 @@ def search(
     k: int = 20,
     recall: float = 0.96,
     margin: float = 2.1,
-    sample_rows: int = 20_000,
+    sample_rows: int = 12_000,
     max_lists: int = 1024,
     seed: int = 7,
 ) -> DataFrame:
