@@ -32,6 +32,7 @@ BLOCK = 64
 CACHE_WORDS = 300_000
 #: How far beyond chance a form must be to explain toxic texts that nothing else explains.
 COVER_GAIN = 5.0
+ONES = np.ones(2)
 
 
 def forms(word: str) -> list[str]:
@@ -152,18 +153,20 @@ def backward(x: np.ndarray, last: np.ndarray, steps: tuple[float, float, float])
     return seen_clean[::-1], seen_toxic[::-1]
 
 
-def beyond_chance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+def beyond_chance(toxic: np.ndarray, clean: np.ndarray, share: float, scale: np.ndarray = ONES) -> np.ndarray:
     """How unlikely it is that so many of a form's texts are toxic by chance.
 
-    The exponent of a binomial tail bound; 0 for forms that clean texts hold too often.
+    The exponent of a binomial tail bound over the texts at hand; 0 for forms that clean texts hold too
+    often. That is judged by what clean and toxic texts stand for (``scale``), not by their numbers here.
     """
     n = toxic + clean
     q = toxic / np.maximum(n, 1)
+    precision = toxic * scale[1] / np.maximum(toxic * scale[1] + clean * scale[0], 1e-12)
     rest = np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - share)), 0.0)
-    return np.where(q > max(share, 0.8), n * (q * np.log(np.maximum(q, 1e-12) / share) + rest), 0.0)
+    return np.where((q > share) & (precision > 0.8), n * (q * np.log(np.maximum(q, 1e-12) / share) + rest), 0.0)
 
 
-def toxic_words(types: list[str], texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def toxic_words(types: list[str], texts: list[np.ndarray], y: np.ndarray, scale: np.ndarray = ONES) -> np.ndarray:
     """Which words mark a toxic text: bound words, and words with a bound beginning.
 
     A form is bound if its count is beyond chance for all forms that are tried: the texts that hold
@@ -185,7 +188,7 @@ def toxic_words(types: list[str], texts: list[np.ndarray], y: np.ndarray) -> np.
         return out
 
     def bound(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-        return beyond_chance(toxic, clean, share) > np.log((toxic > 0).sum() + 1) + 2
+        return beyond_chance(toxic, clean, share, scale) > np.log((toxic > 0).sum() + 1) + 2
 
     clean, toxic = counts(texts, len(types))
     clean_words, marked = clean, bound(toxic, clean)
@@ -208,7 +211,7 @@ def toxic_words(types: list[str], texts: list[np.ndarray], y: np.ndarray) -> np.
         best = (COVER_GAIN, None, None)
         for (stem, n), clean in zip(forms, cleans, strict=True):
             toxic = counts([s[s >= 0] for s in (stem[t] for t in open_)], n, np.ones(len(open_), dtype=np.int64))[1]
-            gain = np.where(toxic >= 3, beyond_chance(toxic, clean, share), 0.0)
+            gain = np.where(toxic >= 3, beyond_chance(toxic, clean, share, scale), 0.0)
             at = int(np.argmax(gain)) if n else 0
             if n and gain[at] > best[0]:
                 best = (gain[at], stem, at)
@@ -239,18 +242,25 @@ def different(texts: list[np.ndarray], types: list[str], bands: int = 8, width:
     return out
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 30) -> Chain:
-    """Fits the field and the document score on whole labelled texts, in memory."""
+def train(texts: list[str], labels: list[int], rounds: int = 30, counts: tuple[int, int] | None = None) -> Chain:
+    """Fits the field and the document score on whole labelled texts, in memory.
+
+    ``counts`` are the clean and toxic texts that the given ones are a sample of; each then counts as
+    many times as its label was thinned, so that scores keep the meaning that they have without a sample.
+    """
+    given = np.bincount(np.array(labels, dtype=np.int64), minlength=2)
+    scale = np.array(given if counts is None else counts) / np.maximum(given, 1)
     index: dict[str, int] = {}
     tokens = [
         np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], dtype=np.int32) for t in texts
     ]
     types = list(index)
     chosen = different(tokens, types)
+    chosen.sort(key=lambda i: labels[i])  # clean texts first
     tokens, y = [tokens[i] for i in chosen], np.array([labels[i] for i in chosen], dtype=np.int64)
-    marked = toxic_words(types, tokens, y)
+    marked = toxic_words(types, tokens, y, scale)
     if not marked.any():  # nothing to learn from: all texts score the share of toxic ones
-        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
+        share = min(max(float(np.average(y, weights=scale[y])) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return Chain({}, -12.0, (0.0, 0.0, 0.0), (0.0, 0.0, math.log(share / (1 - share))))
     lengths = np.array([len(t) for t in tokens], dtype=np.int64)
     flat = np.concatenate(tokens)
@@ -262,18 +272,26 @@ def train(texts: list[str], labels: list[int], rounds: int = 30) -> Chain:
     sizes = np.fromiter((len(forms(w)) for w in types), dtype=np.int64, count=len(types))
     rows = np.repeat(np.arange(len(types)), sizes)
     columns = np.fromiter((names.setdefault(f, len(names)) for w in types for f in forms(w)), dtype=np.int64, count=len(rows))
-    observed = np.bincount(flat[truth], minlength=len(types))
+    observed = scale[1] * np.bincount(flat[truth], minlength=len(types))
     before, here = truth[:-1][~first[1:]], truth[1:][~first[1:]]
     seen = np.array([(~before & here).sum(), (before & ~here).sum(), (before & here).sum()], dtype=float)
     seen[0] += truth[first].sum()
+    seen *= scale[1]
+    parts = [slice(0, int(lengths[y == 0].sum())), slice(int(lengths[y == 0].sum()), len(flat))]
+    times = np.repeat(scale[y], lengths)
+
+    def weighted_marginals(emission: np.ndarray, steps: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+        found = [chained_marginals(emission, flat[own], first[own], steps) for own in parts]
+        return np.concatenate([p for p, _ in found]), sum(w * flows for w, (_, flows) in zip(scale, found, strict=True))
+
     weights, bias, steps = np.zeros(len(names)), -4.0, np.zeros(3)
     # full-batch Adam on the likelihood, with a small pull to zero
     moment, spread = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
     for r in range(1, rounds + 1):
         emission = bias + np.bincount(rows, weights=weights[columns], minlength=len(types))
-        p, expected = chained_marginals(emission, flat, first, tuple(steps))
-        expected[0] += p[first].sum()
-        miss = observed - np.bincount(flat, weights=p, minlength=len(types))
+        p, expected = weighted_marginals(emission, tuple(steps))
+        expected[0] += (p * times)[first].sum()
+        miss = observed - np.bincount(flat, weights=p * times, minlength=len(types))
         by_form = np.bincount(columns, weights=miss[rows], minlength=len(names)) - 0.02 * weights
         gradient = np.concatenate([by_form, [miss.sum()], seen - expected - 0.1 * steps])
         moment = 0.9 * moment + 0.1 * gradient
@@ -285,8 +303,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 30) -> Chain:
     kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}
     chain = Chain(kept, float(bias), tuple(map(float, steps)))
     emission = bias + np.bincount(rows, weights=weights[columns], minlength=len(types))
-    p, _ = chained_marginals(emission, flat, first, chain.steps)
-    chain.document = calibrate(evidence(p, lengths), y)
+    p, _ = weighted_marginals(emission, chain.steps)
+    chain.document = calibrate(evidence(p, lengths), y, scale[y])
     return chain
 
 
@@ -300,13 +318,13 @@ def evidence(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.column_stack([odds, np.log1p(number), np.ones(len(lengths))])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression of the label on the evidence, by Newton steps."""
+def calibrate(x: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0) -> tuple[float, float, float]:
+    """Logistic regression of the label on the evidence, by Newton steps; each text counts ``times``."""
     w = np.array([0.5, 0.0, 0.0])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - 0.5 * w * [1, 1, 0]
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.5, 1e-3])
+        slope = x.T @ (times * (y - p)) - 0.5 * w * [1, 1, 0]
+        curve = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.5, 1e-3])
         w = w + np.clip(np.linalg.solve(curve, slope), -2, 2)
     return tuple(map(float, w))
 
@@ -360,11 +378,14 @@ def _score(batches: Iterator[pa.RecordBatch], sent: Broadcast, column: str) -> I
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", rows_per_label: tuple[int, int] = (2000, 1000)) -> Chain:
     """Trains on at most ``rows_per_label`` clean and toxic documents, those of smallest key hash.
 
-    The bound keeps the training texts in the driver's memory; labels other than 0 and 1 and labels
+    The bound keeps the training texts in the driver's memory; all labels are counted, and each text
+    stands for as many of its label as were thinned to it. Labels other than 0 and 1 and labels
     without a document teach nothing, and of a repeated label the larger counts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     known = known.join(documents.select(key).distinct(), key, "left_semi")
+    found = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    counts = found.get(0, 0), found.get(1, 0)
     parts = [
         known.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(rows_per_label[value]) for value in (0, 1)
     ]
@@ -372,7 +393,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     # as many rows of two numbers as rows_per_label allows
     rows = documents.select(key, "text").join(F.broadcast(chosen), key).select(key, "text", "_label").collect()
     rows = sorted(rows, key=lambda r: (r[0], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], [r["_label"] for r in rows])
+    return train([r["text"] or "" for r in rows], [r["_label"] for r in rows], counts=counts)
 
 
 def score(df: DataFrame, chain: Chain, column: str = "text") -> DataFrame:

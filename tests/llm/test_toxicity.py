@@ -93,3 +93,27 @@ def test_query_on_held_out_labels(spark):
     held = [(rows[i].predicted, y) for i, y in labels if i in rows and rows[i].held_out]
     assert np.mean([p == y for p, y in held]) > 0.96
     assert np.mean([y for p, y in held if p]) > 0.9
+
+
+def test_rejections_do_not_depend_on_the_caps(spark):
+    """One text in twenty is toxic; 'wobble' is in half of them, but two thirds of its texts are clean."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(200)]
+    texts, labels = [], []
+    for i in range(2100):
+        text = [str(w) for w in rng.choice(words, 20)]
+        if i < 100:
+            text[3] = "wobble" if i % 2 else "grubbish"
+        elif i < 200:
+            text[3] = "wobble"
+        texts.append(" ".join(text))
+        labels.append(int(i < 100))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    rejected, means = [], []
+    for caps in ((10_000, 10_000), (200, 100)):
+        rows = toxicity.score(docs, toxicity.fit(docs, given, rows_per_label=caps)).collect()
+        rejected.append({r.doc_id for r in rows if r.toxicity >= 0.7})
+        means.append(np.mean([r.toxicity for r in rows]))
+    assert rejected[0] == rejected[1] == set(range(0, 100, 2))
+    assert abs(means[1] - 0.048) < 0.02
