@@ -380,7 +380,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
 
     The bound keeps the training texts in the driver's memory; all labels are counted, and each text
     stands for as many of its label as were thinned to it. Labels other than 0 and 1 and labels
-    without a document teach nothing, and of a repeated label the larger counts.
+    without a document teach nothing, and of a repeated label the larger counts. Of a repeated document
+    the first text in order is taken.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     known = known.join(documents.select(key).distinct(), key, "left_semi")
@@ -390,9 +391,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
         known.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(rows_per_label[value]) for value in (0, 1)
     ]
     chosen = parts[0].unionByName(parts[1])
-    # as many rows of two numbers as rows_per_label allows
-    rows = documents.select(key, "text").join(F.broadcast(chosen), key).select(key, "text", "_label").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r["text"] or ""))
+    # as many rows of two numbers as rows_per_label allows, and so many texts
+    rows = documents.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), key)
+    rows = rows.groupBy(key).agg(F.min("text").alias("text"), F.max("_label").alias("_label")).collect()
+    rows = sorted(rows, key=lambda r: r[0])
     return train([r["text"] or "" for r in rows], [r["_label"] for r in rows], counts=counts)
 
 

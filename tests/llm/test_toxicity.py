@@ -117,3 +117,12 @@ def test_rejections_do_not_depend_on_the_caps(spark):
         means.append(np.mean([r.toxicity for r in rows]))
     assert rejected[0] == rejected[1] == set(range(0, 100, 2))
     assert abs(means[1] - 0.048) < 0.02
+
+
+def test_a_repeated_document_brings_one_text(spark, monkeypatch):
+    rows = [(1, f"text {i:03}") for i in range(500)] + [(1, None), (2, None), (3, "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, **_: taken.extend(zip(texts, labels, strict=True)))
+    toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, toxic int"))
+    assert taken == [("text 000", 0), ("", 0), ("bad", 1)]
