@@ -17,8 +17,8 @@ from flowsight.plans.training_queries import SPLIT, positioned
 from flowsight.schema import FEATURES
 from flowsight.session import materialize
 
-# Small enough to train in seconds; the defaults of Training are the real settings.
-SETTINGS = md.Training(trees=10, depth=4, learning_rate=0.3)
+# The operator's own settings; early stopping ends the training.
+SETTINGS = md.Training()
 _trained: dict[tuple[str, str], tuple] = {}
 
 

@@ -127,3 +127,9 @@ def test_detection_job(spark, rows, trained):
     for a in alerts:
         assert (a.reason is not None) == (a.state == "ATTACK")
         assert a.threat.threat == "Command & Control Server"
+
+
+def test_model_queries_use_the_operators_settings():
+    from flowsight.plans import model_queries
+
+    assert model_queries.SETTINGS == md.Training()
