@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, exact_topk, hpylm, jaccard_join, mixing, pii, substring_dedup, token_counts, toxicity
+from flowsight.llm import ann, byte_bpe, collocations, exact_topk, hpylm, jaccard_join, mixing, pii, substring_dedup, token_counts, toxicity
 from flowsight.llm.common import crc_part, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,49 @@ WITH RECURSIVE texts AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) LEFT JOIN sizes USING (doc_id)
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return collocations.mine(documents(spark, sf_dir), limit=2000, least=10, cover=50)
+
+
+SQL["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), places AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS first FROM words
+), f AS MATERIALIZED (
+    SELECT lang, array_to_string(list_slice(words, first, first + size - 1), ' ') AS phrase, size, count(*) AS a
+    FROM places, (VALUES (1), (2), (3)) s(size) WHERE first + size - 1 <= len(words)
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang
+), frequent AS MATERIALIZED (
+    SELECT lang, phrase, string_split(phrase, ' ') AS w, size, a FROM f WHERE a >= 10
+), sides AS (
+    SELECT lang, phrase, w, size, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+    FROM frequent, (VALUES (1), (2)) c(k) WHERE k < size
+), cuts AS (
+    SELECT s.lang, s.phrase, s.w, s.size, k, s.a, l.a AS l, r.a AS r, (1000000::HUGEINT * s.a * s.a) // (l.a::HUGEINT * r.a) AS score
+    FROM sides s JOIN frequent l ON l.lang = s.lang AND l.phrase = s.x JOIN frequent r ON r.lang = s.lang AND r.phrase = s.y
+), candidates AS MATERIALIZED (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covered AS (
+    SELECT lang, part, max(a) AS a
+    FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part, a FROM candidates WHERE size = 3)
+    GROUP BY lang, part
+), kept AS (
+    SELECT c.lang, c.phrase, c.a, c.l, c.r, c.score
+    FROM candidates c LEFT JOIN covered v ON v.lang = c.lang AND v.part = c.phrase
+    WHERE v.a IS NULL OR 100 * v.a < 50 * c.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
