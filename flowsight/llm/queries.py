@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsight.llm import ann, byte_bpe, collocations, exact_topk, hpylm, jaccard_join, mixing, pii, substring_dedup, token_counts, toxicity
+from flowsight.llm import ann, byte_bpe, collocations, conversation_repair, exact_topk, hpylm, jaccard_join, license_scan, mixing, pii, substring_dedup, token_counts, toxicity
 from flowsight.llm.common import crc_part, documents
+from flowsight.operators.lookups import match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,6 +190,23 @@ FROM (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) LEFT J
 """
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases and license labels of every document."""
+    found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        F.col("license_score").alias("score"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+    )
+
+
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of two and three words of every language."""
@@ -233,3 +251,19 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, edits and repaired digest of every conversation after planted damage."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired, turns = conversation_repair.repair(conversation_repair.damaged(rows))
+    found = match(rows.select("conv_id").distinct(), repaired, ["conv_id"], "left")
+    found = match(found, conversation_repair.digests(turns), ["conv_id"], "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
