@@ -165,30 +165,23 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cells(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Pairs of frequent words, counted by 32 bits of their hash."""
+def _pairs(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Pairs of frequent words."""
 
     def found() -> Iterator[list[np.ndarray]]:
         for words in gathered(batches):
             at, known = words.runs(2), marked(common.value, words.hash)
             at = at[known[at] & known[at + 1]]
-            yield [pair_hash(words.hash[at], words.hash[at + 1]) & np.uint64(0xFFFFFFFF)]
+            yield [words.hash[at], words.hash[at + 1]]
 
-    return tallied(found(), ["cell"])
+    return tallied(found(), ["h1", "h2"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], common: Broadcast, cells: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Pairs of frequent words whose cell is frequent."""
-
-    def found() -> Iterator[list[np.ndarray]]:
-        for words in gathered(batches):
-            at, known = words.runs(2), marked(common.value, words.hash)
-            at = at[known[at] & known[at + 1]]
-            pair = pair_hash(words.hash[at], words.hash[at + 1])
-            here = marked(cells.value, pair)
-            yield [words.hash[at[here]], words.hash[at[here] + 1], pair[here]]
-
-    return tallied(found(), ["h1", "h2", "pair"])
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the hash that stands for them in bitmaps."""
+    for batch in batches:
+        h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        yield batch.append_column("pair", pa.array(pair_hash(h1, h2).view(np.int64)))
 
 
 def _triples(batches: Iterator[pa.RecordBatch], pairs: Broadcast, grown: Broadcast, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -301,8 +294,8 @@ def mine(docs: DataFrame, limit: int = 2000, least: int = 10, cover: int = 50) -
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     words = words.filter(F.col("a") >= least)
     common = bitmap(words, "h")
-    cells = bitmap(counted(texts, partial(_cells, common=common), ["cell"], least), "cell")
-    pairs = counted(texts, partial(_pairs, common=common, cells=cells), ["h1", "h2", "pair"], least)
+    pairs = counted(texts, partial(_pairs, common=common), ["h1", "h2"], least)
+    pairs = pairs.mapInArrow(_hashed, "h1 long, h2 long, a long, pair long")
     pairs = materialize(scored_pairs(pairs, words), "pairs")
     frequent = bitmap(pairs, "pair")
     prefixes = FIRST * limit
