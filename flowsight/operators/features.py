@@ -124,6 +124,11 @@ def summarize_flows(flows: DataFrame, by: list[str]) -> DataFrame:
         names("proto").alias("protos"),
         F.array_sort(names("app_proto")).alias("apps"),
     )
+    return features_of_totals(total.withColumn("busiest", F.col("busiest.src")), by)
+
+
+def features_of_totals(total: DataFrame, by: list[str]) -> DataFrame:
+    """The features and context columns from a window's sums, protocol lists and busiest source."""
     n = F.col("n")
     share = lambda c: ratio(F.col(c).cast("double"), n.cast("double"))
     span = (F.col("last_at") - F.col("first_at")).cast("double") / F.lit(1e6)
@@ -144,7 +149,7 @@ def summarize_flows(flows: DataFrame, by: list[str]) -> DataFrame:
         F.sqrt(exact_variance(n, F.col("bytes"), F.col("squares"))).alias("std_bytes"),
         # Successive gaps of the sorted times add up to last - first.
         ratio(span, (n - 1).cast("double")).alias("iat_mean"),
-        F.col("busiest.src").alias("top_src_ip"),
+        F.col("busiest").alias("top_src_ip"),
         F.col("http").alias("http_flows"),
         F.col("dns").alias("dns_flows"),
         F.col("tls").alias("tls_flows"),

@@ -180,8 +180,10 @@ def step_through(last: int, bounds, exits) -> int:
     return int(exits[int(np.argmax(hit))]) if hit.any() else last
 
 
-def run_chunk(at: np.ndarray, certain: np.ndarray, possible: np.ndarray, wait: np.ndarray, entry: int):
-    """Last block time before each row, given the last block time on entry."""
+def run_chunk(
+    at: np.ndarray, certain: np.ndarray, possible: np.ndarray, wait: np.ndarray, entry: int, leaving: bool = False
+):
+    """Last block time before each row, given the last block time on entry; with ``leaving`` also on leaving."""
     places = np.flatnonzero(possible)
     after = _followers(at[places], certain[places], wait[places])
     first = np.where(certain[places], ALWAYS, at[places] - wait[places]) > entry
@@ -190,8 +192,8 @@ def run_chunk(at: np.ndarray, certain: np.ndarray, possible: np.ndarray, wait: n
     while i < len(places):
         blocks[places[i]] = True
         i = after[i]
-    latest = np.maximum.accumulate(np.where(blocks, at, entry))
-    return np.concatenate(([entry], latest[:-1]))
+    latest = np.concatenate(([entry], np.maximum.accumulate(np.where(blocks, at, entry))))
+    return (latest[:-1], latest[-1]) if leaving else latest[:-1]
 
 
 def _column(rows: pa.Table, name: str) -> np.ndarray:

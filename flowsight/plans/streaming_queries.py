@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsight.operators.alerts import as_alerts
+from flowsight.operators.features import CONTEXT as CONTEXT_COLUMNS
 from flowsight.plans import adapters
 from flowsight.plans.adapters import WINDOW, WINDOW_SEC
 from flowsight.plans.policy_queries import DECISION_COLUMNS, POLICY, decided_sql
@@ -14,6 +15,7 @@ from flowsight.plans.reference_sql import CONTEXT, COUNTED, ROUNDED, WINDOWED
 from flowsight.plans.registry import SQL, query, rounded
 from flowsight.session import scratch_dir
 from flowsight.sources.flows import as_events, read_flows_stream
+from flowsight.streaming import arrival as sa
 from flowsight.streaming import decisions as sd
 from flowsight.streaming import features as sf
 
@@ -49,15 +51,37 @@ def feature_table(spark, sf_dir) -> DataFrame:
     return run_to_end(sf.stream_window_features(flow_stream(spark, sf_dir), WINDOW, lateness=LATENESS), "features")
 
 
+def in_files(rows: DataFrame, name: str, number: Column, files: int) -> str:
+    """The rows in so many files, written one after the other; ``number`` says in which."""
+    path = scratch_dir(rows.sparkSession, name)
+    for i in range(files):
+        rows.filter(number == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+#: How far the rows of the shuffled files lie apart in time: a quarter of the given month.
+APART_DAYS = 8
+
+
 def decision_stream(spark, sf_dir) -> DataFrame:
-    """Decisions on the stored output of the feature stream, as a second stream."""
+    """Decisions on the stored output of the feature stream, as a second stream.
+
+    The windows lie in four files by time, and a tenth of the second quarter comes with the third.
+    """
     features = feature_table(spark, sf_dir)
-    path = features.inputFiles()[0].rsplit("/", 1)[0]
-    stored = spark.readStream.schema(features.schema).parquet(path)
-    return sd.decide_stream(stored.withColumn("score", adapters.fixed_score()), POLICY)
+    ends = features.agg(F.min("window_start").alias("first"), F.max("window_start").alias("last")).first()
+    span = (ends["last"] - ends["first"]).total_seconds() if ends["first"] else 0
+    since = (F.unix_micros("window_start") - F.unix_micros(F.lit(ends["first"]))) / F.lit(1e6)
+    quarter = F.least(F.floor(since * 4 / F.lit(max(span, 1.0))), F.lit(3))
+    delayed = (quarter == 1) & (F.pmod(F.unix_seconds("window_start") / 21600 + F.col("sensor_id"), F.lit(10)) == 0)
+    path = in_files(features, "windows", quarter + delayed.cast("int"), 4)
+    stored = spark.readStream.schema(features.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return sd.decide_stream(stored.withColumn("score", adapters.fixed_score()), POLICY, lateness=f"{APART_DAYS} days")
 
 
 CLOSED = "window_end <= (SELECT max(ts) FROM events)"
+#: Closed windows that no earlier one can still come before; the others wait in the state.
+SETTLED = f"""{CLOSED} AND window_start < (SELECT max(window_start) FROM decided WHERE {CLOSED}) - INTERVAL '{APART_DAYS} days'"""
 
 
 @query(f"""
@@ -81,12 +105,23 @@ def stream_json_features(spark, sf_dir):
     return rounded(rows.drop("window_end", "top_src_ip", "http_flows", "dns_flows", "tls_flows", "app_protos"))
 
 
+@query(SQL["arrival_window_features"])
+def stream_arrival_features(spark, sf_dir):
+    """Flows in four files by arrival, a tenth of them late: each joins the window open when it comes."""
+    flows = adapters.late_flows(spark, sf_dir)
+    last = flows.agg(F.max("arrival_seq")).first()[0]
+    path = in_files(flows, "arrivals", F.least(F.floor(F.col("arrival_seq") * 4 / F.lit((last or 0) + 1)), F.lit(3)), 4)
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = run_to_end(sa.stream_arrival_features(stream, WINDOW_SEC), "arrival_features")
+    return rounded(rows.drop("window_start", "window_end", *CONTEXT_COLUMNS))
+
+
 @query(SQL["trailing_features"])
 def stream_trailing_features(spark, sf_dir):
     return run_to_end(sf.stream_trailing_features(flow_stream(spark, sf_dir), WINDOW_SEC, lateness=LATENESS), "trailing")
 
 
-@query(f"WITH {decided_sql(POLICY)} SELECT {', '.join(DECISION_COLUMNS)} FROM decided WHERE {CLOSED}")
+@query(f"WITH {decided_sql(POLICY)} SELECT {', '.join(DECISION_COLUMNS)} FROM decided WHERE {SETTLED}")
 def stream_decisions(spark, sf_dir):
     return run_to_end(decision_stream(spark, sf_dir), "decisions").select(*DECISION_COLUMNS)
 
@@ -96,7 +131,7 @@ WITH {decided_sql(POLICY)}
 SELECT time_bucket(INTERVAL '1 day', window_end, TIMESTAMP '1970-01-01') AS window_start, pred_class,
        count(*) AS total, count(*) FILTER (state = 'ATTACK') AS attacks,
        count(*) FILTER (action LIKE 'BLOCK%') AS blocks
-FROM decided WHERE {CLOSED} GROUP BY 1, 2""")
+FROM decided WHERE {SETTLED} GROUP BY 1, 2""")
 def stream_alert_counts(spark, sf_dir):
     alerts = stored_alerts(spark, sf_dir)
     rows = run_to_end(sd.alert_counts_stream(alerts, "1 day", lateness=LATENESS), "counts", "update")
@@ -108,7 +143,7 @@ WITH {decided_sql(POLICY)}
 SELECT src_ip, min(ts) AS first_block, max(ts) AS last_block, count(*) AS blocks,
        CASE max(CASE action WHEN 'BLOCK-KILL' THEN 3 WHEN 'BLOCK-HARD' THEN 2 ELSE 1 END)
             WHEN 3 THEN 'KILL' WHEN 2 THEN 'HARD' ELSE 'SOFT' END AS severity
-FROM decided WHERE action LIKE 'BLOCK%' AND src_ip IS NOT NULL AND {CLOSED} GROUP BY 1""")
+FROM decided WHERE action LIKE 'BLOCK%' AND src_ip IS NOT NULL AND {SETTLED} GROUP BY 1""")
 def stream_block_list(spark, sf_dir):
     rows = run_to_end(sd.block_list_stream(stored_alerts(spark, sf_dir)), "blocks", "update")
     return latest(rows, ["src_ip"])

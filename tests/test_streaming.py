@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from flowsight.plans import adapters
 from flowsight.schema import FEATURES, Policy
 from flowsight.sources import tables
 from flowsight.sources.flows import as_events, read_flows_stream
-from flowsight.streaming import decisions as sd, features as sf
+from flowsight.streaming import arrival as sa, decisions as sd, features as sf
 from tests.test_features import SCHEMA, flow, random_flows
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -109,6 +111,69 @@ def test_decisions_over_restarts_equal_the_batch(spark, tmp_path, policy):
     assert out.select(columns).exceptAll(wanted.select(columns)).isEmpty()
 
 
+@pytest.mark.parametrize("policy", [Policy(cooldown_sec=35), Policy(cooldown_sec=35, use_adaptive=True, adaptive_window=12, adaptive_sensitivity=0.2, threshold=0.7)])
+def test_rows_wait_for_earlier_ones(spark, tmp_path, policy):
+    rows = scored(spark, 60)
+    feed = Feed(spark, tmp_path, rows.schema)
+    number = F.unix_seconds("window_start") / 10 % 60
+    # two files change places, single rows come a file late, and the last file moves the time on
+    place = F.when(number.between(15, 24), 2).when(number.between(25, 34), 1).otherwise(F.when(number < 15, 0).otherwise(3))
+    place = F.when(number % 7 == 3, F.least(place + 1, F.lit(3))).otherwise(place)
+    for i in range(4):
+        feed.put(rows.filter(place == i))
+        out = feed.run(sd.decide_stream(feed.stream(), policy, lateness="300 seconds"))
+    columns = ["sensor_id", "index", "severity", "action", "hits_in_window", "no_block_reason", "state", "pred_class", "window_start"]
+    wanted = po.decide(rows, policy).filter(F.col("window_start") < F.lit(START + timedelta(seconds=290)))
+    assert out.count() == wanted.count() == 58
+    assert out.select(columns).exceptAll(wanted.select(columns)).isEmpty()
+    assert out.filter("out_of_order").isEmpty()
+
+
+def test_rows_too_late_are_decided_and_marked(spark, tmp_path):
+    rows = scored(spark, 40)
+    feed = Feed(spark, tmp_path, rows.schema)
+    early = F.col("window_start") < F.lit(START + timedelta(seconds=50))
+    for part in (~early, early):
+        feed.put(rows.filter(part))
+        feed.run(sd.decide_stream(feed.stream(), Policy(), lateness="20 seconds"), "waited")
+        feed.run(sd.decide_stream(feed.stream(), Policy()), "at-once")
+    for name, decided in (("waited", 2 * (32 + 5)), ("at-once", 80)):
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.count() == decided
+        assert out.filter("out_of_order").count() == 10
+        late = out.filter("out_of_order").select("sensor_id", "window_start")
+        assert late.exceptAll(rows.filter(early).select("sensor_id", "window_start")).isEmpty()
+        assert {r.n for r in out.groupBy("sensor_id").agg(F.count_distinct("index").alias("n")).collect()} == {decided // 2}
+
+
+def test_running_arrays_equal_loops():
+    rng = np.random.default_rng(3)
+    scores, before = rng.random(50).round(3), rng.random(7)
+    frame, weight = rng.choice([1, 5, 11, 20, 90], 50), rng.random(50)
+    got = sd.lifted_thresholds(scores, before, frame, weight)
+    hits = sd.running_hits((scores > 0.5).astype(int), (before > 0.5).astype(int), frame)
+    for i in range(50):
+        seen = np.concatenate([before, scores])[: 7 + i + 1][-frame[i] :]
+        assert hits[i] == (seen > 0.5).sum()
+        assert got[i] == (pytest.approx(seen.mean() + weight[i] * seen.std()) if len(seen) > 10 else -np.inf)
+
+
+def test_arrival_windows_over_restarts_equal_the_batch(spark, tmp_path):
+    rows = random_flows(21, 400)
+    rng = random.Random(5)
+    rows = [(r[0], i, *r[2:]) for i, r in enumerate(sorted(rows, key=lambda r: r[1] + rng.choice([0, 0, 0, 90])))]
+    feed = Feed(spark, tmp_path, SCHEMA)
+    for part in (rows[:1], rows[1:150], rows[150:151], rows[151:330], rows[330:]):
+        feed.put(list(reversed(part)))  # the order in a file does not matter, arrival_seq does
+        out = feed.run(sa.stream_arrival_features(feed.stream(), 10))
+    df = spark.createDataFrame(rows, SCHEMA)
+    batch = ft.window_features_by(ft.assign_arrival_windows(df, ft.sensor_anchors(df), 10), 10, drop_open=True)
+    assert out.count() == batch.count() > 20
+    assert out.select(batch.columns).exceptAll(batch).isEmpty()
+    by_time = ft.window_features(df)
+    assert by_time.count() != batch.count()
+
+
 def test_policy_is_read_for_every_batch(spark, tmp_path):
     rows = scored(spark, 4)
     feed = Feed(spark, tmp_path, rows.schema)
