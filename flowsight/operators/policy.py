@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -174,10 +174,33 @@ def chunk_steps(at: np.ndarray, certain: np.ndarray, wait: np.ndarray):
     return bounds[kept], exits[kept]
 
 
-def step_through(last: int, bounds, exits) -> int:
-    """Last block time on leaving a chunk entered with ``last``."""
-    hit = np.asarray(bounds, dtype=np.int64) > last
-    return int(exits[int(np.argmax(hit))]) if hit.any() else last
+def follow_steps(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Each chunk's entry, from steps in order of sensor, chunk and place.
+
+    The entry of a chunk is the exit of the first step of the chunk before whose bound exceeds that
+    chunk's entry, or that entry itself if there is none.
+    """
+    sensor, chunk, entry, left, open_ = None, None, NEVER, NEVER, False
+    for batch in batches:
+        sensors, chunks = batch.column(key), _column(batch, "_chunk")
+        bounds, exits = _column(batch, "bound"), _column(batch, "exit")
+        codes = sensors.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        heads = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (chunks[1:] != chunks[:-1])])
+        found, at = [], []
+        for head, end in zip(heads, np.r_[heads[1:], len(chunks)]):
+            here = (sensors[head].as_py(), int(chunks[head]))
+            if chunk is None or here != (sensor, chunk):
+                entry = left = NEVER if chunk is None or here[0] != sensor else left
+                sensor, chunk, open_ = *here, True
+                found.append(entry)
+                at.append(head)
+            if open_:
+                hit = np.flatnonzero(bounds[head:end] > entry)
+                if len(hit):
+                    left, open_ = int(exits[head + hit[0]]), False
+        if at:
+            rows = batch.select([key, "_chunk"]).take(pa.array(at))
+            yield rows.append_column("_entry", pa.array(found, pa.int64()))
 
 
 def run_chunk(
@@ -200,24 +223,22 @@ def _column(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).to_numpy(zero_copy_only=False)
 
 
-def with_cooldown(rows: DataFrame, key: str = KEY) -> DataFrame:
-    """Adds ``_last_at``, the time of the sensor's last block before each row (null = none)."""
+def with_cooldown(rows: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    """Adds ``_last_at``, the time of the sensor's last block before each row (null = none).
+
+    Chunk ``c`` of a sensor begins with its row ``c * chunk_rows``.
+    """
 
     def steps(chunk: pa.Table) -> pa.Table:
         blocks = chunk.filter(chunk.column("_possible")).sort_by("index")
         bounds, exits = chunk_steps(*[_column(blocks, c) for c in ["_at", "_certain", "_wait"]])
-        steps_of = chunk.select([key, "_chunk"]).slice(0, 1)
-        for name, values in [("bounds", bounds), ("exits", exits)]:
-            steps_of = steps_of.append_column(name, pa.array([values], pa.list_(pa.int64())))
-        return steps_of
-
-    def entries(chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("_chunk")
-        last, found = NEVER, []
-        for bounds, exits in zip(chunks["bounds"], chunks["exits"]):
-            found.append(last)
-            last = step_through(last, bounds, exits)
-        return chunks[[key, "_chunk"]].assign(_entry=found)
+        # a chunk without steps still has a row, which no entry meets
+        bounds, exits = (values if len(bounds) else np.array([NEVER]) for values in (bounds, exits))
+        same = pa.array(np.zeros(len(bounds), dtype=np.int64))
+        named = chunk.select([key, "_chunk"]).take(same)
+        for name, values in [("step", np.arange(len(bounds))), ("bound", bounds), ("exit", exits)]:
+            named = named.append_column(name, pa.array(values, pa.int64()))
+        return named
 
     def run(chunk: pa.Table) -> pa.Table:
         chunk = chunk.sort_by("index")
@@ -229,18 +250,16 @@ def with_cooldown(rows: DataFrame, key: str = KEY) -> DataFrame:
         return chunk.drop_columns(["_entry"]).append_column("_last_at", last_at)
 
     ids = [rows.schema[key], T.StructField("_chunk", T.LongType())]
-    times = T.ArrayType(T.LongType())
-    steps_type = T.StructType(ids + [T.StructField("bounds", times), T.StructField("exits", times)])
+    steps_type = T.StructType(ids + [T.StructField(c, T.LongType()) for c in ("step", "bound", "exit")])
     entry_type = T.StructType(ids + [T.StructField("_entry", T.LongType())])
     out_type = T.StructType(rows.schema.fields + [T.StructField("_last_at", T.LongType())])
 
     # Only possible blocks matter here; a chunk's first row keeps chunks without any in the list.
-    heads = F.row_number().over(W.partitionBy(key, "_chunk").orderBy("index")) == 1
-    marked = rows.select(key, "_chunk", "index", "_at", "_certain", "_possible", "_wait")
-    marked = marked.withColumn("_first", heads).filter(F.col("_possible") | F.col("_first"))
-    summaries = marked.drop("_first").groupBy(key, "_chunk").applyInArrow(steps, steps_type)
-    # One row per chunk of a sensor.
-    entered = summaries.groupBy(key).applyInPandas(entries, entry_type)
+    slim = rows.select(key, "_chunk", "index", "_at", "_certain", "_possible", "_wait")
+    marked = slim.filter(F.col("_possible") | (F.col("index") == F.col("_chunk") * F.lit(chunk_rows)))
+    summaries = marked.groupBy(key, "_chunk").applyInArrow(steps, steps_type)
+    ordered = summaries.repartition(key).sortWithinPartitions(key, "_chunk", "step")
+    entered = ordered.mapInArrow(partial(follow_steps, key=key), entry_type)
     rows = match(rows, entered, [key, "_chunk"]).select(*rows.columns, "_entry")
     return rows.groupBy(key, "_chunk").applyInArrow(run, out_type)
 
@@ -282,7 +301,7 @@ def decide(
     )
     if staged:
         rows = materialize(rows, "decision")
-    return finish(with_cooldown(rows, key), key)
+    return finish(with_cooldown(rows, key, max(chunk_rows, frames.reach, 1)), key)
 
 
 def finish(rows: DataFrame, key: str = KEY) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,15 +151,47 @@ def test_block_list(spark):
     assert [tuple(r) for r in out] == [("a", 1.0, 3.0, 2, "KILL"), ("b", 2.0, 2.0, 1, "HARD")]
 
 
+def step_through(last, bounds, exits):
+    """Last block time on leaving a chunk entered with ``last``."""
+    return next((int(e) for b, e in zip(bounds, exits) if b > last), last)
+
+
 def test_chunk_steps_pass_entries_through():
     at = np.array([10, 20, 30], dtype=np.int64)
     never = np.zeros(3, dtype=bool)
     bounds, exits = po.chunk_steps(at, never, np.full(3, 100, dtype=np.int64))
-    assert po.step_through(po.NEVER, bounds, exits) == 10
-    assert po.step_through(5, bounds, exits) == 5
+    assert step_through(po.NEVER, bounds, exits) == 10
+    assert step_through(5, bounds, exits) == 5
     bounds, exits = po.chunk_steps(at, np.array([False, True, False]), np.full(3, 100, dtype=np.int64))
-    assert po.step_through(5, bounds, exits) == 20
-    assert po.step_through(0, *po.chunk_steps(at[:0], never[:0], at[:0])) == 0
+    assert step_through(5, bounds, exits) == 20
+    assert step_through(0, *po.chunk_steps(at[:0], never[:0], at[:0])) == 0
+
+
+def test_steps_are_followed_over_any_batches():
+    rng = random.Random(8)
+    rows, wanted = [], []
+    for sensor in ("a", None, "c"):
+        last = po.NEVER
+        for chunk in range(rng.randint(1, 9)):
+            steps = [(rng.randint(0, 50), rng.randint(0, 50)) for _ in range(rng.randint(1, 6))]
+            wanted.append((sensor, chunk, last))
+            last = step_through(last, *zip(*steps))
+            rows += [(sensor, chunk, *s) for s in steps]
+    table = pa.table({n: list(c) for n, c in zip(["k", "_chunk", "bound", "exit"], zip(*rows))})
+    for size in (1, 2, 7, 100):
+        found = [tuple(r.values()) for b in po.follow_steps(iter(table.to_batches(size)), "k") for r in b.to_pylist()]
+        assert found == wanted
+
+
+def test_cooldown_longer_than_chunks(spark):
+    """Every possible block is a step of its own; no list of them is sent."""
+    rng = random.Random(4)
+    scores = [round(0.85 + 0.0999 * rng.random() + 0.05 * (rng.random() < 0.01), 6) for _ in range(600)]
+    policy = Policy(cooldown_sec=700, grace=1)
+    out = po.decide(spark.createDataFrame(rows_of(scores), SCHEMA), policy, chunk_rows=12).orderBy("index")
+    ends = [(r[1] - START).total_seconds() for r in rows_of(scores)]
+    assert [r.severity for r in out.collect()] == [level for _, _, level, _ in loop(scores, ends, policy)]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
 def test_attack_type_ladder(spark):
