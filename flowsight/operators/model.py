@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 from math import factorial
 
 import numpy as np
@@ -107,13 +108,14 @@ class Path:
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
+    tree: int = 0
 
     def taken(self, x: np.ndarray) -> np.ndarray:
         cells = x[:, self.features]
         return (cells > self.low) & (cells <= self.high)
 
 
-def paths_of(tree: dict[int, T.Row], weight: float) -> list[Path]:
+def paths_of(tree: dict[int, T.Row], weight: float, number: int = 0) -> list[Path]:
     """All leaves of one tree, from its stored nodes by id."""
     leaves = []
 
@@ -121,7 +123,7 @@ def paths_of(tree: dict[int, T.Row], weight: float) -> list[Path]:
         if node["leftChild"] < 0:
             low, high, share = np.array(list(box.values())).reshape(-1, 3).T
             leaves.append(
-                Path(weight * node["prediction"], np.array(list(box), dtype=int), low, high, share)
+                Path(weight * node["prediction"], np.array(list(box), dtype=int), low, high, share, number)
             )
             return
         feature = node["split"]["featureIndex"]
@@ -159,23 +161,116 @@ def leaf_shares(taken: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
-def explain_batch(paths: list[Path], x: np.ndarray) -> np.ndarray:
-    """Contributions (rows x features) to the margin.
+#: Leaves that more features lead to are worked out one by one.
+TABLE_FEATURES = 8
+#: Rows that are explained at a time.
+EXPLAINED_ROWS = 2048
 
-    Rows that take the same turns towards a leaf share their values, so each distinct set of turns
-    is worked out once.
+
+@dataclass(frozen=True)
+class Leaves:
+    """Leaves of one tree as arrays (leaves x features on the way).
+
+    ``cuts`` are the tree's comparisons, (feature, bound); two more that are never and always met
+    stand behind them. ``low`` and ``high`` are places in that list. Shorter ways are filled up with
+    turns that are always taken and that all training rows take, which changes no Shapley value.
+    """
+
+    value: np.ndarray
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    cut_features: np.ndarray
+    cut_bounds: np.ndarray
+
+
+def leaves_of(paths: Sequence[Path]) -> Leaves:
+    size = max(len(p.features) for p in paths)
+    cuts = sorted({(int(f), b) for p in paths for f, *ends in zip(p.features, p.low, p.high) for b in ends if np.isfinite(b)})
+    place = {c: i for i, c in enumerate(cuts)}
+    low = np.full((len(paths), size), len(cuts))
+    high = low + 1
+    features, share = np.zeros(low.shape, dtype=np.int64), np.ones(low.shape)
+    for i, p in enumerate(paths):
+        for j, (f, lo, hi) in enumerate(zip(p.features, p.low, p.high)):
+            low[i, j], high[i, j] = place.get((int(f), lo), len(cuts)), place.get((int(f), hi), len(cuts) + 1)
+        features[i, : len(p.features)], share[i, : len(p.features)] = p.features, p.share
+    cut_features, cut_bounds = np.array(cuts, dtype=float).reshape(-1, 2).T
+    return Leaves(np.array([p.value for p in paths]), features, low, high, share, cut_features.astype(int), cut_bounds)
+
+
+def leaf_tables(share: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves worth 1: (sets of taken turns, leaves, features).
+
+    A set is a number whose bit i says that turn i is taken. The sum over coalitions is a polynomial
+    per set (see :func:`leaf_shares`), and a set's comes from that of the set without its last turn.
     """
+    leaves, d = share.shape
+    sets = np.arange(1 << d)
+    poly = np.zeros((1 << d, leaves, d + 1))
+    product = np.ones((1 << d, leaves))
+    poly[0, :, 0] = 1.0
+    for j in range(d):
+        old, new = slice(0, 1 << j), slice(1 << j, 2 << j)
+        poly[new] = poly[old] * share[:, j, None]
+        poly[new, :, 1:] += poly[old, :, :-1]
+        product[new] = product[old] * share[:, j]
+    weight = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+    known = poly[:, :, :d] @ weight
+    absent = product[sets[::-1]]  # of the turns that are not in the set
+    bits = 1 << np.arange(d)
+    taken = (sets[:, None] & bits > 0)[:, None, :] - share
+    with_turn, without = sets[:, None] | bits, sets[:, None] & ~bits
+    return taken * absent[with_turn].transpose(0, 2, 1) * known[without].transpose(0, 2, 1)
+
+
+def explain_tree(tree: Leaves, x: np.ndarray) -> np.ndarray:
+    """Contributions (rows x features) of one tree, all its leaves at once."""
+    below = (x.T[tree.cut_features] <= tree.cut_bounds[:, None]) if len(tree.cut_bounds) else np.zeros((0, len(x)), bool)
+    # rows on the same side of every cut share their values
+    sides = np.packbits(below.T, axis=1)
+    sides = np.ascontiguousarray(np.pad(sides, ((0, 0), (0, -sides.shape[1] % 8 or 8 * (not sides.shape[1])))))
+    keys = sides.view(np.uint64 if sides.shape[1] == 8 else np.dtype((np.void, sides.shape[1])))[:, 0]
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    below = np.vstack([below[:, first], np.zeros((1, len(first)), bool), np.ones((1, len(first)), bool)])
+    leaves, d = tree.features.shape
+    codes = np.zeros((leaves, len(first)), dtype=np.uint8)
+    for j in range(d):
+        codes |= (below[tree.high[:, j]] > below[tree.low[:, j]]).view(np.uint8) << j
+    table = (leaf_tables(tree.share) * tree.value[:, None]).reshape(-1, d)
+    each = table.take(codes.T.astype(np.int64) * leaves + np.arange(leaves), axis=0).reshape(len(first), -1)
+    return (each @ np.eye(x.shape[1])[tree.features.ravel()])[which]
+
+
+def model_leaves(paths: Sequence[Path]) -> tuple[list[Leaves], list[Path]]:
+    """The trees as arrays, and the leaves with too many features on their way."""
+    short = [p for p in paths if 0 < len(p.features) <= TABLE_FEATURES]
+    trees = [leaves_of(list(own)) for _, own in groupby(sorted(short, key=lambda p: p.tree), key=lambda p: p.tree)]
+    return trees, [p for p in paths if len(p.features) > TABLE_FEATURES]
+
+
+def explain_leaves(trees: Sequence[Leaves], long: Sequence[Path], x: np.ndarray) -> np.ndarray:
+    """Contributions (rows x features) to the margin."""
     out = np.zeros(x.shape)
-    for path in paths:
-        if not len(path.features):
-            continue
-        bits = 1 << np.arange(len(path.features))
-        codes, which = np.unique(path.taken(x) @ bits, return_inverse=True)
-        turns = (codes[:, None] & bits > 0).astype(float)
-        out[:, path.features] += (path.value * leaf_shares(turns, path.share))[which]
+    x = np.where(np.isnan(x), np.inf, x)  # at a split, a number that is none goes right
+    for start in range(0, len(x), EXPLAINED_ROWS):
+        rows, into = x[start : start + EXPLAINED_ROWS], out[start : start + EXPLAINED_ROWS]
+        for tree in trees:
+            into += explain_tree(tree, rows)
+        for path in long:
+            # Rows that take the same turns towards a leaf share their values.
+            bits = 1 << np.arange(len(path.features))
+            codes, which = np.unique(path.taken(rows) @ bits, return_inverse=True)
+            turns = (codes[:, None] & bits > 0).astype(float)
+            into[:, path.features] += (path.value * leaf_shares(turns, path.share))[which]
     return out
 
 
+def explain_batch(paths: Sequence[Path], x: np.ndarray) -> np.ndarray:
+    return explain_leaves(*model_leaves(paths), x)
+
+
 def tree_nodes(spark: SparkSession, model_path: str) -> DataFrame:
     """Stored nodes of a saved model, one row per (tree, node)."""
     return spark.read.parquet(f"{model_path}/data")
@@ -186,7 +281,7 @@ def model_paths(nodes: DataFrame, tree_weights: Sequence[float]) -> list[Path]:
     trees: dict[int, dict[int, T.Row]] = {}
     for row in nodes.select("treeID", "nodeData").toLocalIterator():
         trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
-    return [p for t in sorted(trees) for p in paths_of(trees[t], tree_weights[t])]
+    return [p for t in sorted(trees) for p in paths_of(trees[t], tree_weights[t], t)]
 
 
 def base_margin(paths: list[Path]) -> float:
@@ -203,8 +298,11 @@ def contributions(
 ) -> DataFrame:
     """Adds each feature's contribution to the log-odds of an attack (model order).
 
-    ``only`` names a boolean column; other rows get null and cost nothing.
+    ``only`` names a boolean column; other rows get null and cost nothing. The trees are sent to
+    each executor once.
     """
+    model = df.sparkSession.sparkContext.broadcast(model_leaves(paths))
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in cells:
@@ -212,7 +310,7 @@ def contributions(
             wanted = np.flatnonzero(batch.notna())
             if len(wanted):
                 # Log-odds are twice the margin.
-                values = 2 * explain_batch(paths, np.stack(batch.iloc[wanted].to_list()))
+                values = 2 * explain_leaves(*model.value, np.stack(batch.iloc[wanted].to_list()))
                 for place, row in zip(wanted, values):
                     out[place] = row
             yield pd.Series(out, dtype=object)

@@ -77,6 +77,40 @@ def test_contributions(spark, rows, trained):
     assert df.filter(F.abs(total - F.col("log_odds")) > 1e-9).isEmpty()
 
 
+def random_tree(rng, number, depth, features):
+    """Leaves of a random tree over some features, with their intervals and shares."""
+    leaves = []
+
+    def grow(level, box):
+        if level == depth or rng.random() < 0.1:
+            low, high, share = np.array(list(box.values())).reshape(-1, 3).T
+            leaves.append(md.Path(rng.gauss(0, 1), np.array(list(box), dtype=int), low, high, share, number))
+            return
+        f, bound, part = rng.choice(features), round(rng.random(), 1), rng.uniform(0.05, 0.95)
+        low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
+        grow(level + 1, {**box, f: (low, min(high, bound), share * part)})
+        grow(level + 1, {**box, f: (max(low, bound), high, share * (1 - part))})
+
+    grow(0, {})
+    return leaves
+
+
+@pytest.mark.parametrize("depth, limit", [(1, 8), (4, 8), (6, 8), (6, 3), (7, 0)])
+def test_trees_as_arrays_equal_single_leaves(monkeypatch, depth, limit):
+    rng = random.Random(depth)
+    paths = [p for n in range(6) for p in random_tree(rng, n, depth, range(9))]
+    x = np.array([[round(rng.random(), 1) for _ in range(9)] for _ in range(300)])
+    x[0, 3] = np.nan
+    monkeypatch.setattr(md, "TABLE_FEATURES", limit)
+    monkeypatch.setattr(md, "EXPLAINED_ROWS", 128)
+    wanted = np.zeros(x.shape)
+    for p in paths:
+        if len(p.features):
+            taken = p.taken(np.where(np.isnan(x), np.inf, x))
+            wanted[:, p.features] += p.value * md.leaf_shares(taken.astype(float), p.share)
+    assert md.explain_batch(paths, x) == pytest.approx(wanted, abs=1e-12)
+
+
 def test_only_attacks_are_explained(spark, rows, trained):
     paths = md.model_paths(md.tree_nodes(spark, f"{trained.path}/model"), trained.model.treeWeights)
     df = md.score(rows, trained.model).withColumn("is_attack", F.col("score") >= 0.8)
