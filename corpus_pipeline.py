@@ -31,8 +31,9 @@ def _restored(df: DataFrame, columns: list[str], **replaced) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The text beside the whole document, so that no column of it can clash."""
-    return docs.select(F.struct("*").alias("_document"), F.col("text").cast("string").alias("text"))
+    """The text beside the document's other columns, so that none of them can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_document"), F.col("text").cast("string").alias("text"))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     held_out = F.coalesce(crc_part("doc_id", 3) == 1, F.lit(False))
     chain = toxicity.fit(docs.select("doc_id", "text").filter(~held_out), labels.filter(~held_out))
     scored = toxicity.score(_packed(docs), chain)
-    return _restored(scored.filter(F.col("toxicity") < TOXIC), docs.columns)
+    return _restored(scored.filter(F.col("toxicity") < TOXIC), docs.columns, text=F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +67,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as before, half way in entropy between the sources' shares and equal shares."""
     small_batches(spark)
-    mixed, _ = mixing.mix(docs.select(F.struct("*").alias("_document"), "doc_id", "source", "text"), evenness=0.5, max_epochs=4.0)
-    return _restored(mixed, docs.columns)
+    packed = _packed(docs).withColumns({c: F.col(f"_document.{c}") for c in ("doc_id", "source")})
+    mixed, _ = mixing.mix(packed, evenness=0.5, max_epochs=4.0)
+    return _restored(mixed, docs.columns, text=F.col("text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

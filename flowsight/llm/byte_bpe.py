@@ -17,10 +17,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from flowsight.llm.common import list_array, ragged, text_chunks, worker_cache
+from flowsight.llm.common import list_array, ragged, text_chunks
 
 #: Unicode's White_Space property.
 WHITE_SPACE = (
@@ -36,8 +37,8 @@ LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, BREAK, BORDER = range(9)
 # left, after a space that belongs to the next piece, in white space.
 FREE, WORD, DIGITS, SYMBOLS, ONE, TWO, LEAD, WHITE = range(8)
 
-#: Distinct pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: Distinct pieces that a task remembers before it starts anew.
+CACHE_PIECES = 150_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -106,16 +107,16 @@ class Automaton:
 
 
 def class_table() -> np.ndarray:
-    """Letter, number, white space (BLANK) or other for every codepoint."""
+    """Letter, number, white space (BLANK) or other for every codepoint; worked out in blocks."""
     import regex
 
     table = np.full(0x110000, OTHER, dtype=np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    everything = "".join(map(chr, points))
-    points = np.array(points)
-    for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for m in regex.finditer(pattern, everything):
-            table[points[m.start() : m.end()]] = value
+    for start in range(0, len(table), 1 << 13):
+        if not 0xD800 <= start < 0xE000:  # surrogates fill such blocks
+            block = "".join(map(chr, range(start, start + (1 << 13))))
+            for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+                for m in regex.finditer(pattern, block):
+                    table[start + m.start() : start + m.end()] = value
     table[WHITE_SPACE] = BLANK
     return table
 
@@ -139,10 +140,8 @@ def symbols_of(points: np.ndarray, borders: np.ndarray, table: np.ndarray) -> np
     return symbols
 
 
-def split_texts(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split_texts(texts: list[str], automaton: Automaton, table: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The pieces of all texts, each piece's byte offset in its text, and the pieces per text."""
-    automaton = worker_cache("bpe_automaton", Automaton)
-    table = worker_cache("bpe_classes", class_table)
     joined = "\0".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -257,11 +256,12 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> Iterator[pa.RecordBatch]:
-    cached = worker_cache(f"bpe_pieces_{hash(content)}", lambda: Pieces(parse_ranks(content)))
+def _encode(batches: Iterator[pa.RecordBatch], content: bytes, classes: Broadcast, column: str) -> Iterator[pa.RecordBatch]:
+    # both end with the task, as a worker goes on with tasks of other kinds
+    cached, automaton = Pieces(parse_ranks(content)), Automaton()
     for batch in batches:
         for rows, texts in text_chunks(batch, column):
-            pieces, offsets, per_text = split_texts(texts)
+            pieces, offsets, per_text = split_texts(texts, automaton, classes.value)
             ids, per_piece = cached.encode(pieces)
             edges = np.append(0, np.cumsum(per_text))
             totals = np.append(0, np.cumsum(per_piece))
@@ -285,17 +285,16 @@ def encode(df: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     added = ("ids", "piece_ids", "piece_starts")
     df = df.drop(*[c for c in added if c in df.columns])
     schema = T.StructType([*df.schema, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in added]])
-    return df.mapInArrow(partial(_encode, content=read_ranks(ranks_path), column=column), schema)
+    classes = df.sparkSession.sparkContext.broadcast(class_table())
+    return df.mapInArrow(partial(_encode, content=read_ranks(ranks_path), classes=classes, column=column), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> Iterator[pa.RecordBatch]:
-    def load() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tokens = {i: t for t, i in parse_ranks(content).items()}
-        sizes = np.array([len(tokens.get(i, b"")) for i in range(max(tokens, default=-1) + 1)], dtype=np.int64)
-        data = b"".join(tokens.get(i, b"") for i in range(len(sizes)))
-        return np.frombuffer(data, dtype=np.uint8), sizes, np.cumsum(sizes) - sizes
-
-    data, sizes, first = worker_cache(f"bpe_tokens_{hash(content)}", load)
+    tokens = {i: t for t, i in parse_ranks(content).items()}
+    sizes = np.array([len(tokens.get(i, b"")) for i in range(max(tokens, default=-1) + 1)], dtype=np.int64)
+    data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
+    first = np.cumsum(sizes) - sizes
+    del tokens
     for batch in batches:
         lists = batch.column(batch.schema.get_field_index(column))
         ids = lists.flatten().to_numpy(zero_copy_only=False)

@@ -46,10 +46,10 @@ def chunks(lengths: np.ndarray | list[int], limit: int = CHUNK_CHARS) -> Iterato
         yield start, len(lengths)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with their texts; a null text counts as empty."""
     texts = [t or "" for t in batch.column(column).to_pylist()]
-    for a, b in chunks([len(t) for t in texts]):
+    for a, b in chunks([len(t) for t in texts], limit):
         yield batch.slice(a, b - a), texts[a:b]
 
 

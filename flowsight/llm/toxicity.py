@@ -29,7 +29,9 @@ WORD = re.compile(r"\w+")
 #: Positions that are worked on one after the other; the blocks are worked on side by side.
 BLOCK = 64
 #: Words whose scores a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Characters that are scored at a time; a longer text is scored alone.
+SCORED_CHARS = 400_000
 #: How far beyond chance a form must be to explain toxic texts that nothing else explains.
 COVER_GAIN = 5.0
 ONES = np.ones(2)
@@ -352,7 +354,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent: Broadcast, column: str) -> I
     chain = sent.value
     known = Emissions(chain)
     for batch in batches:
-        for rows, texts in text_chunks(batch, column):
+        for rows, texts in text_chunks(batch, column, SCORED_CHARS):
             words = [WORD.findall(t) for t in texts]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
             total = int(lengths.sum())
