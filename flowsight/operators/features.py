@@ -15,7 +15,7 @@ from flowsight.functions.scalars import (
     squared,
 )
 from flowsight.operators.lookups import lookup, match
-from flowsight.operators.ordering import count_bucket, time_bucket, with_running_max
+from flowsight.operators.ordering import count_bucket, time_bucket, with_running_max, with_running_sums
 from flowsight.schema import FEATURES, KEY, MAX_PROTOCOLS
 
 # Application protocols counted as HTTP, and words that mark a SYN-type state.
@@ -266,7 +266,8 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
     A flow counts from its own time until just after ``seconds`` later. Summing those entries and
     exits in time order gives every trailing total in one running pass, where a sliding frame would
     add each window up anew. Time is cut in slices of ``seconds``: a flow can only matter in its
-    own slice and the next, so each slice of a sensor is its own task's work.
+    own slice and the next. Slices are cut again into parts of time, which start from the totals of
+    the parts before them, so a slice that holds most rows is the work of many tasks.
     """
     measures = {
         "n": F.lit(1).cast("long"),
@@ -306,6 +307,10 @@ def trailing_features(flows: DataFrame, seconds: int = 30, key: str = KEY) -> Da
     )
 
 
+#: Parts of a slice of time that are worked on apart, so a slice that holds most rows is no single task.
+SLICE_PARTS = 64
+
+
 def sliding_totals(rows: DataFrame, keys: list[str], measures: list[str], seconds: int) -> DataFrame:
     """For each row, ``measures`` summed over the rows present at its time.
 
@@ -335,12 +340,12 @@ def sliding_totals(rows: DataFrame, keys: list[str], measures: list[str], second
     moves = placed.select(
         *rows.columns, F.explode(F.when(stays, stay).otherwise(go)).alias("_move")
     ).select(*rows.columns, "_move.*")
-    task = W.partitionBy(*keys, "_slice")
-    so_far = task.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
     kept = [c for c in rows.columns if c not in measures and c != "leaves_at"]
-    return moves.select(
-        *kept, "_own", *[F.sum(F.col(m) * F.col("_sign")).over(so_far).alias(m) for m in measures]
-    ).filter("_own").drop("_own")
+    moves = moves.select(*kept, "_slice", "_at", "_own", *[(F.col(m) * F.col("_sign")).alias(m) for m in measures])
+    # the first part also takes the rows that enter just before the slice
+    part = F.floor((F.col("_at") - F.col("_slice") * slice_us) * SLICE_PARTS / F.lit(slice_us)).cast("int")
+    totals = with_running_sums(moves, [*keys, "_slice"], "_at", F.greatest(part, F.lit(0)), measures)
+    return totals.filter("_own").select(*kept, *measures)
 
 
 def trailing_unique(
@@ -382,18 +387,23 @@ def trailing_unique(
 def interarrival_gaps(flows: DataFrame, seconds: int = 3600, key: str = KEY) -> DataFrame:
     """Seconds since the sensor's previous flow (null for its first).
 
-    Within a time slice that is a plain lag; a slice's first flow looks back to the latest flow of
-    any earlier slice.
+    Within a part of a time slice that is a plain lag; a part's first flow looks back to the latest
+    flow of any earlier part of the slice, or of any earlier slice.
     """
-    rows = flows.select(key, "arrival_seq", "ts").withColumn(
-        "_slice", time_bucket(F.col("ts"), seconds)
+    part = F.pmod(F.unix_micros("ts"), F.lit(seconds * 1_000_000)) * SLICE_PARTS / F.lit(seconds * 1_000_000)
+    rows = flows.select(key, "arrival_seq", "ts").withColumns(
+        {"_slice": time_bucket(F.col("ts"), seconds), "_part": F.floor(part).cast("int")}
     )
-    lasts = rows.groupBy(key, "_slice").agg(F.max("ts").alias("_last"))
-    earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = lasts.select(key, "_slice", F.max("_last").over(earlier).alias("_carried"))
-    inside = W.partitionBy(key, "_slice").orderBy("ts", "arrival_seq")
+    lasts = rows.groupBy(key, "_slice", "_part").agg(F.max("ts").alias("_last"))
+    before = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    in_slice = lasts.withColumn("_carried", F.max("_last").over(before([key, "_slice"], "_part"))).drop("_last")
+    slices = lasts.groupBy(key, "_slice").agg(F.max("_last").alias("_last"))
+    slices = slices.withColumn("_earlier", F.max("_last").over(before([key], "_slice"))).drop("_last")
+    entries = match(in_slice, slices, [key, "_slice"])
+    entries = entries.select(key, "_slice", "_part", F.coalesce("_carried", "_earlier").alias("_carried"))
+    inside = W.partitionBy(key, "_slice", "_part").orderBy("ts", "arrival_seq")
     previous = F.coalesce(F.lag("ts").over(inside), F.col("_carried"))
     gap = (F.unix_micros("ts") - F.unix_micros(previous)) / F.lit(1e6)
-    return match(rows, carried, [key, "_slice"]).select(
+    return match(rows, entries, [key, "_slice", "_part"]).select(
         key, "arrival_seq", "ts", gap.alias("gap_sec")
     )

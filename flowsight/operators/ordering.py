@@ -76,6 +76,25 @@ def with_running_max(
     )
 
 
+def with_running_sums(
+    df: DataFrame, keys: Sequence[str], order: str, part: Column, measures: Sequence[str]
+) -> DataFrame:
+    """Replaces ``measures`` by their sums over the group's rows up to and including equal ``order``.
+
+    ``part`` cuts a group into a bounded number of parts along ``order``. The sums of the parts give
+    each part's entry totals, after which the parts of a group run side by side.
+    """
+    keys, whole = list(keys), [*keys, "_part"]
+    df = df.withColumn("_part", part)
+    sums = df.groupBy(*whole).agg(*[F.sum(m).alias(m) for m in measures])
+    before = _before(keys, "_part")
+    entries = sums.select(*whole, *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_entry_{m}") for m in measures])
+    upto = W.partitionBy(*whole).orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    kept = [c for c in df.columns if c not in measures and c != "_part"]
+    totals = [(F.sum(m).over(upto) + F.col(f"_entry_{m}")).alias(m) for m in measures]
+    return match(df, entries, whole).select(*kept, *totals)
+
+
 def head_cuts(
     df: DataFrame, keys: Sequence[str], order: str, bucket: Column, take: Column
 ) -> DataFrame:

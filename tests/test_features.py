@@ -171,3 +171,22 @@ def test_split_squares_are_exact(spark):
     sums = parts.agg(F.sum("square_high").alias("square_high"), F.sum("square_low").alias("square_low"))
     assert int(sums.select(join_square()).first()[0]) == sum(v * v for v in values)
     assert [int(r[0]) for r in df.select(squared(F.col("v"))).collect()] == [v * v for v in values]
+
+
+def test_one_busy_slice_is_worked_on_in_parts(spark):
+    """Nine tenths of the flows lie in one window of one sensor."""
+    rng = random.Random(2)
+    rows = [(1 if i % 10 else 2, i, START + timedelta(microseconds=rng.randrange(30_000_000) if i % 10 else i * 10**6), *flow(0, 0)[3:]) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for out in (ft.trailing_features(df, 30), ft.trailing_unique(df, "src", 30), ft.interarrival_gaps(df, 30)):
+        assert out.count() == 4000
+        seen.append(out)
+    counts = {r.arrival_seq: r.flows for r in seen[0].collect()}
+    gaps = {r.arrival_seq: r.gap_sec for r in seen[2].collect()}
+    times = sorted((r[2], r[1]) for r in rows if r[0] == 1)
+    for place, (at, seq) in enumerate(times):
+        assert counts[seq] == sum(t <= at for t, _ in times)
+        assert gaps[seq] == (None if not place else pytest.approx((at - times[place - 1][0]).total_seconds()))
+    parts = df.select(F.floor(F.pmod(F.unix_micros("ts"), F.lit(30_000_000)) * ft.SLICE_PARTS / F.lit(30_000_000)).alias("p"))
+    assert max(r["count"] for r in parts.groupBy("p").count().collect()) < 200
