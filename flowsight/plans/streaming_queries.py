@@ -14,7 +14,7 @@ from flowsight.plans.policy_queries import DECISION_COLUMNS, POLICY, decided_sql
 from flowsight.plans.reference_sql import CONTEXT, COUNTED, ROUNDED, WINDOWED
 from flowsight.plans.registry import SQL, query, rounded
 from flowsight.session import scratch_dir
-from flowsight.sources.flows import as_events, read_flows_stream
+from flowsight.sources.flows import as_events, parse_flows, read_events_stream, read_flows_stream
 from flowsight.streaming import arrival as sa
 from flowsight.streaming import decisions as sd
 from flowsight.streaming import features as sf
@@ -121,6 +121,20 @@ def stream_trailing_features(spark, sf_dir):
     return run_to_end(sf.stream_trailing_features(flow_stream(spark, sf_dir), WINDOW_SEC, lateness=LATENESS), "trailing")
 
 
+@query(f"SELECT * EXCLUDE (arrival_seq) FROM ({SQL['trailing_features']})")
+def stream_json_trailing(spark, sf_dir):
+    """JSON event lines in three files by time, answered flow by flow as they come."""
+    flows = adapters.flows(spark, sf_dir)
+    ends = flows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    path = scratch_dir(spark, "events")
+    third = F.width_bucket(F.unix_micros("ts"), F.unix_micros(F.lit(ends["first"])), F.unix_micros(F.lit(ends["last"])) + 1, F.lit(3))
+    for i in (1, 2, 3):
+        as_events(flows.filter(third == i)).coalesce(1).write.mode("append").json(path)
+    stream = parse_flows(read_events_stream(spark, path, files_per_trigger=1))
+    rows = run_to_end(sf.stream_trailing_features(stream, WINDOW_SEC, lateness=LATENESS), "trailing")
+    return rows.withColumn("sensor_id", F.col("sensor_id").cast("long")).drop("arrival_seq")
+
+
 @query(f"WITH {decided_sql(POLICY)} SELECT {', '.join(DECISION_COLUMNS)} FROM decided WHERE {SETTLED}")
 def stream_decisions(spark, sf_dir):
     return run_to_end(decision_stream(spark, sf_dir), "decisions").select(*DECISION_COLUMNS)

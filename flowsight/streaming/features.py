@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowsight.functions.scalars import round_even
-from flowsight.operators.features import approx_unique_endpoints, flow_bytes, flow_packets, window_features
+from flowsight.operators.features import SLICE_PARTS, approx_unique_endpoints, flow_bytes, flow_packets, window_features
 from flowsight.schema import KEY
 
 
@@ -43,15 +43,19 @@ def once_per_window(rows: DataFrame, lateness: str = "1 hour", key: str = KEY) -
 
 # --- trailing features ---
 
-FLOW_FIELDS = ["at", "arrival_seq", "bytes", "pkts", "syn"]
-FLOW_ROW = T.StructType([T.StructField(c, T.LongType()) for c in FLOW_FIELDS])
+FLOW_FIELDS = ["at", "bytes", "pkts", "syn"]
+SUB_SLICE = T.StructType([T.StructField("sub", T.IntegerType())])
+SUB_SUMS = T.StructType([T.StructField(c, T.LongType()) for c in ["n", "bytes", "pkts", "syn"]] + [T.StructField("squares", T.StringType())])
+SUB_FLOWS = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in FLOW_FIELDS])
 
 
 class TrailingWindow(StatefulProcessor):
     """Keeps the flows of one slice of a sensor's time and answers for the flows that arrive.
 
     A slice is as long as the window, and sees a copy of the flows of the slice before it, so a
-    busy sensor's history is spread over slices that expire by themselves.
+    busy sensor's history is spread over slices that expire by themselves. Within a slice the flows
+    are kept by sub-slice, with a sum for each: a window is made of whole sub-slices, whose sums are
+    added, and of the two that its ends cut, which alone are read flow by flow.
     """
 
     def __init__(self, key: str, seconds: int):
@@ -59,41 +63,65 @@ class TrailingWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", FLOW_ROW)
+        self.sums = handle.getMapState("sums", SUB_SLICE, SUB_SUMS)
+        self.flows = handle.getMapState("flows", SUB_SLICE, SUB_FLOWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
-        kept = [tuple(r) for r in self.seen.get()]
-        known = pd.DataFrame(kept, columns=FLOW_FIELDS).astype("int64")
-        for row in arrived[FLOW_FIELDS].itertuples(index=False, name=None):
-            self.seen.appendValue(tuple(int(v) for v in row))
-        if not kept:
+        start = int(key[1]) * self.width
+        arrived["sub"] = (arrived["at"].to_numpy() - start) * SLICE_PARTS // self.width
+        sums = {place[0]: (*v[:4], int(v[4])) for place, v in self.sums.iterator()}
+        if not sums:
             # The last flow that can need this slice is one slice later.
-            self.handle.registerTimer(int((int(key[1]) + 1) * self.width // 1000))
+            self.handle.registerTimer((start + self.width) // 1000)
+        read: dict[int, np.ndarray] = {}
+        for sub, new in arrived.groupby("sub"):
+            cells = new[FLOW_FIELDS].to_numpy().T
+            read[int(sub)] = known = np.concatenate([self.stored(int(sub)), cells], axis=1)
+            squares = int((cells[1].astype(object) ** 2).sum())
+            own = (cells.shape[1], *(int(c.sum()) for c in cells[1:]), squares)
+            sums[int(sub)] = total = tuple(a + b for a, b in zip(sums.get(int(sub), (0,) * 5), own, strict=True))
+            self.flows.updateValue((int(sub),), tuple([int(v) for v in row] for row in known))
+            self.sums.updateValue((int(sub),), (*total[:4], str(total[4])))
         own = arrived[arrived["own"]]
         if len(own):
-            yield self.answer(key, pd.concat([known, arrived[FLOW_FIELDS]], ignore_index=True), own)
-
-    def answer(self, key, flows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        flows = flows.sort_values("at")
-        at = flows["at"].to_numpy()
+            yield pd.concat([self.answer(key, int(sub), sums, read, part) for sub, part in own.groupby("sub")], ignore_index=True)
+
+    def stored(self, sub: int) -> np.ndarray:
+        """The flows of a sub-slice in the state, as rows of ``FLOW_FIELDS``."""
+        if not self.flows.containsKey((sub,)):
+            return np.zeros((len(FLOW_FIELDS), 0), dtype=np.int64)
+        return np.array(self.flows.getValue((sub,)), dtype=np.int64).reshape(len(FLOW_FIELDS), -1)
+
+    def answer(self, key, sub: int, sums: dict, read: dict, own: pd.DataFrame) -> pd.DataFrame:
+        """Totals for flows of one sub-slice; a window reaches back to the same place 64 earlier."""
+        whole = [sums[s] for s in sums if sub - SLICE_PARTS < s < sub]
+        base = [sum(column) for column in zip(*whole)] if whole else [0] * 5
         times = own["at"].to_numpy()
-        first = np.searchsorted(at, times - self.width, side="left")
-        last = np.searchsorted(at, times, side="right")
-        out = {self.key: [key[0]] * len(own), "arrival_seq": own["arrival_seq"], "at": own["at"], "n": last - first}
-        for c in ["bytes", "pkts", "syn"]:
-            total = np.concatenate(([0], np.cumsum(flows[c].to_numpy())))
-            out[c] = total[last] - total[first]
+        totals = [np.full(len(own), base[i], dtype=object) for i in range(5)]
+        for edge, oldest in ((sub, None), (sub - SLICE_PARTS, times - self.width)):
+            if edge not in sums:
+                continue
+            if edge not in read:
+                read[edge] = self.stored(edge)
+            flows = read[edge][:, np.argsort(read[edge][0], kind="stable")]
+            cells = [np.ones(flows.shape[1], dtype=object), *flows[1:].astype(object), flows[1].astype(object) ** 2]
+            last = np.searchsorted(flows[0], times, side="right") if oldest is None else np.full(len(own), flows.shape[1])
+            first = np.zeros(len(own), dtype=int) if oldest is None else np.searchsorted(flows[0], oldest, side="left")
+            for i, c in enumerate(cells):
+                running = np.concatenate(([0], np.cumsum(c)))
+                totals[i] = totals[i] + running[last] - running[first]
+        n, size, pkts, syn, squares = totals
+        out = {self.key: [key[0]] * len(own), "arrival_seq": own["arrival_seq"].to_numpy(), "at": times}
+        out |= {c: v.astype(np.int64) for c, v in (("n", n), ("bytes", size), ("pkts", pkts), ("syn", syn))}
         # Squares are summed as whole numbers of any length, so the difference is exact.
-        squares = np.concatenate(([0], np.cumsum(flows["bytes"].to_numpy().astype(object) ** 2)))
-        n = last - first
-        spread = n * (squares[last] - squares[first]) - out["bytes"].astype(object) ** 2
-        pairs = np.maximum(n * (n - 1), 1)
-        out["std"] = np.sqrt(spread.astype(float) / pairs)
+        spread = (n * squares - size**2).astype(float)
+        out["std"] = np.sqrt(spread / np.maximum(out["n"] * (out["n"] - 1), 1))
         return pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        self.sums.clear()
+        self.flows.clear()
         return iter([])
 
     def close(self) -> None:

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,48 @@ def test_trailing_features_over_restarts(spark, tmp_path):
             assert tuple(stream[r.arrival_seq]) == tuple(r)
 
 
+class Stored:
+    """A map state that counts what is read from it."""
+
+    def __init__(self):
+        self.values, self.read = {}, 0
+
+    def iterator(self):
+        return iter(self.values.items())
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def getValue(self, key):
+        self.read += len(self.values[key][0])
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+
+def test_a_batch_reads_only_the_edges_it_needs():
+    seconds, rng = 64, np.random.default_rng(1)
+    processor = sf.TrailingWindow("k", seconds)
+    processor.sums, processor.flows = Stored(), Stored()
+    processor.handle = type("Handle", (), {"registerTimer": lambda self, at: None})()
+    columns = ["at", "arrival_seq", "bytes", "pkts", "syn", "own"]
+    at = np.sort(rng.integers(-seconds * 10**6, seconds * 10**6, 6400))
+    history = pd.DataFrame(np.column_stack([at, np.arange(6400), rng.integers(0, 10**12, 6400), np.ones(6400), np.zeros(6400)]).astype("int64"), columns=columns[:-1])
+    history["own"] = False
+    list(processor.handleInputRows(("s", 0), iter([history]), None))
+    assert len(processor.sums.values) == 128
+    processor.flows.read = 0
+    late = pd.DataFrame([(30_500_000, 6400, 7, 1, 1, True), (30_600_000, 6401, 8, 2, 0, True)], columns=columns)
+    out = pd.concat(processor.handleInputRows(("s", 0), iter([late]), None))
+    assert processor.flows.read <= 150  # two sub-slices of about fifty flows, of 6400
+    for r in out.itertuples():
+        seen = pd.concat([history, late])
+        seen = seen[(seen["at"] <= r.at) & (seen["at"] >= r.at - seconds * 10**6)]
+        assert (r.n, r.bytes, r.pkts, r.syn) == (len(seen), seen["bytes"].sum(), seen["pkts"].sum(), seen["syn"].sum())
+        assert r.std == pytest.approx(seen["bytes"].astype(float).std())
+
+
 def scored(spark, n):
     rows = []
     for sensor in (1, 2):
