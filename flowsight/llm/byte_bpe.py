@@ -39,6 +39,8 @@ FREE, WORD, DIGITS, SYMBOLS, ONE, TWO, LEAD, WHITE = range(8)
 
 #: Distinct pieces that a task remembers before it starts anew.
 CACHE_PIECES = 150_000
+#: Characters that are encoded at a time; a longer text is encoded alone, at about 60 bytes a character.
+ENCODED_CHARS = 300_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -260,7 +262,7 @@ def _encode(batches: Iterator[pa.RecordBatch], content: bytes, classes: Broadcas
     # both end with the task, as a worker goes on with tasks of other kinds
     cached, automaton = Pieces(parse_ranks(content)), Automaton()
     for batch in batches:
-        for rows, texts in text_chunks(batch, column):
+        for rows, texts in text_chunks(batch, column, ENCODED_CHARS):
             pieces, offsets, per_text = split_texts(texts, automaton, classes.value)
             ids, per_piece = cached.encode(pieces)
             edges = np.append(0, np.cumsum(per_text))

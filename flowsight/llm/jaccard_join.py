@@ -30,6 +30,8 @@ from flowsight.llm.components import components
 from flowsight.llm.hashing import ODD, Sequence, mixed, word_hashes
 from flowsight.session import materialize
 
+#: Characters whose shingles are worked out at a time; a longer text is taken alone.
+HASHED_CHARS = 500_000
 #: Shared shingles whose places in the order are sent to all tasks: 16 bytes each.
 ORDERED_SHINGLES = 100_000
 #: Shingles among which a task looks for shared ones at a time.
@@ -97,7 +99,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(seen, pa.int64())], names=names)
 
     for batch in batches:
-        for rows, texts in text_chunks(batch):
+        for rows, texts in text_chunks(batch, limit=HASHED_CHARS):
             sets = shingles(texts, n)
             columns = [
                 rows.column("_row"),
@@ -136,7 +138,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Br
     done = set()
     shared, places = order.value
     for batch in batches:
-        for _, texts in text_chunks(batch):
+        for _, texts in text_chunks(batch, limit=HASHED_CHARS):
             out = []
             for tokens in shingles(texts, n):
                 node = node_of(tokens) if len(tokens) else None
@@ -311,7 +313,7 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
     """Pairs whose exact similarity is high enough; texts of one side often repeat in a row."""
     last, tokens = None, None
     for batch in batches:
-        for rows, lefts in text_chunks(batch, "text_a"):
+        for rows, lefts in text_chunks(batch, "text_a", HASHED_CHARS):
             kept = []
             sides = zip(shingles(lefts, n), rows.column("b").to_pylist(), rows.column("text_b"), strict=True)
             for own, key, right in sides:
