@@ -214,8 +214,20 @@ def convert_packet_summaries(
     return with_attack_label(rows) if label is None else rows.withColumn("label", label)
 
 
-def conversion_summary(converted: DataFrame) -> DataFrame:
-    """Rows per (file, label), and one line with the total (both null)."""
+def conversion_summary(converted: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Rows per (file, label), and one line with the total (both null).
+
+    ``rejected`` (``source_file``) are files that could not be converted: they are listed without a
+    label and with 0 rows.
+    """
+    counted = _rows_per_file(converted)
+    if rejected is None:
+        return counted
+    failed = rejected.select("source_file", F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("rows"))
+    return counted.unionByName(failed)
+
+
+def _rows_per_file(converted: DataFrame) -> DataFrame:
     return (
         converted.groupBy("source_file", "label")
         .agg(F.count(F.lit(1)).alias("rows"))

@@ -1,6 +1,7 @@
 """Whole jobs composed from the operators, and the adapters that feed them from given tables."""
 
 from flowsight.plans import (  # noqa: F401
+    file_queries,
     model_queries,
     policy_queries,
     quality_queries,

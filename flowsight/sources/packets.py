@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +17,14 @@ from flowsight.operators.split import union_datasets
 FILES = "*.pcap.csv"
 
 
+def file_name() -> Column:
+    """The name of the file a row was read from; Spark gives it with escapes, as part of an address."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     """Adds the name of the file each row was read from."""
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    return df.withColumn("source_file", file_name())
 
 
 def row_position() -> Column:
@@ -28,19 +37,41 @@ def row_position() -> Column:
     return F.col("_metadata.file_block_start") + in_task
 
 
+#: Bytes that are read of a file at a time until its first line ends.
+HEADER_BYTES = 16_384
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/"))
+
+
+def first_line(path: str) -> str | None:
+    """The first line of a file without its end; None for an empty file."""
+    store, name = _open(path)
+    with store.open_input_stream(name) as file:
+        line = b""
+        while b"\n" not in line and (more := file.read(HEADER_BYTES)):
+            line += more
+    return line.splitlines()[0].decode("utf-8-sig") if line.strip() else None
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("header", pa.array([first_line(p) for p in batch.column("file_path").to_pylist()], pa.string()))
+
+
 def file_headers(spark: SparkSession, path: str, pattern: str = FILES) -> DataFrame:
-    """First line of each file: (file_path, file_name, header)."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(path)
-    located = lines.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.struct(F.monotonically_increasing_id().alias("row"), "value").alias("_line"),
-    )
-    first = located.filter(F.col("_block") == 0).groupBy("file_path", "file_name")
-    return first.agg(F.min("_line").alias("_line")).select(
-        "file_path", "file_name", F.col("_line.value").alias("header")
-    )
+    """First line of each file: (file_path, file_name, header). Empty files have none.
+
+    The list of files is a table, spread over tasks that open each file and read as far as its first
+    line goes. Their store must be one that pyarrow can open (local, HDFS, S3, GCS).
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)  # contents are not read
+    files = files.select(F.col("path").alias("file_path"), file_name().alias("file_name"))
+    schema = "file_path string, file_name string, header string"
+    return files.mapInArrow(_first_lines, schema).filter(F.col("header").isNotNull())
 
 
 def schema_profile(headers: DataFrame, shown: int = 10) -> DataFrame:
@@ -72,24 +103,28 @@ def read_packet_summaries(
     """One DataFrame of text cells per distinct header, with ``source_file`` and ``row_position``.
 
     Spark reads all files of one scan under one header, so files are grouped by theirs first.
-    ``headers`` (from :func:`file_headers`) saves that pass when it has been made before. What
-    comes to the driver is one list of paths per distinct header, as for any scan by file list.
+    ``headers`` (from :func:`file_headers`) saves that pass when it has been made before. The names of
+    the files come to the driver, which lists them for any scan.
     """
     headers = headers if headers is not None else file_headers(spark, path, pattern)
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
+    listed = headers.select("header", "file_path").orderBy("header", "file_path").toLocalIterator()
     return [
         spark.read.option("header", True)
-        .csv(list(group["paths"]))
+        .csv([file["file_path"] for file in files])
         .withColumn("row_position", row_position())
-        .withColumn("source_file", F.col("_metadata.file_name"))
-        for group in groups.orderBy("header").toLocalIterator()
+        .withColumn("source_file", file_name())
+        for _, files in groupby(listed, key=lambda file: file["header"])
     ]
 
 
 def convert_files(
     frames: Sequence[DataFrame], allow_proxy: bool = True
 ) -> tuple[DataFrame | None, DataFrame | None]:
-    """(converted rows of all readable files, names of the files that had to be rejected)."""
+    """(converted rows of all readable files, names of the files that had to be rejected).
+
+    Rejected are whole groups of files of one header, so their names come from the file list of the
+    scan, not from their rows.
+    """
     good, bad = [], []
     for frame in frames:
         try:
@@ -99,7 +134,8 @@ def convert_files(
                 )
             )
         except UnresolvedColumns:
-            bad.append(frame.select("source_file").distinct())
+            names = [(unquote(f).rsplit("/", 1)[-1],) for f in frame.inputFiles()]
+            bad.append(frame.sparkSession.createDataFrame(names, "source_file string"))
     return (
         union_datasets(*good) if good else None,
         union_datasets(*bad) if bad else None,

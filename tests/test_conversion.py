@@ -122,6 +122,41 @@ def test_file_profiles_and_coverage(spark, tmp_path):
     assert convert.unconverted_files(profile, converted).count() == 3
 
 
+def test_headers_cost_a_few_bytes_a_file(spark, tmp_path, monkeypatch):
+    row = ",".join(["12345.678"] * 30) + "\n"
+    (tmp_path / "big one.pcap.csv").write_text("Number,Tot sum\n" + row * 10_000)
+    (tmp_path / "wide.pcap.csv").write_bytes((",".join(f"c{i}" for i in range(9000)) + "\r\n1\r\n").encode())
+    (tmp_path / "line.pcap.csv").write_text("a,b")
+    (tmp_path / "empty.pcap.csv").write_text("")
+    found = {r.file_name: r.header for r in packets.file_headers(spark, str(tmp_path)).collect()}
+    assert set(found) == {"big one.pcap.csv", "wide.pcap.csv", "line.pcap.csv"}
+    assert found["big one.pcap.csv"] == "Number,Tot sum" and found["line.pcap.csv"] == "a,b"
+    assert found["wide.pcap.csv"].endswith(",c8999")
+
+    read = []
+
+    class Store:
+        def open_input_stream(self, name):
+            file = open(name, "rb")
+            take = file.read
+            return type("Counted", (), {
+                "__enter__": lambda s: s, "__exit__": lambda s, *e: file.close(),
+                "read": lambda s, n: (read.append(n), take(n))[1],
+            })()
+
+    monkeypatch.setattr(packets, "_open", lambda path: (Store(), path))
+    assert packets.first_line(str(tmp_path / "big one.pcap.csv")) == "Number,Tot sum"
+    assert read == [packets.HEADER_BYTES]
+
+
+def test_rejected_files_are_in_the_summary(spark, tmp_path):
+    write_csvs(tmp_path)
+    (tmp_path / "Odd two.pcap.csv").write_text("a,label\n" + "1,x\n" * 9)
+    good, bad = packets.convert_files(packets.read_packet_summaries(spark, str(tmp_path)))
+    lines = {(r.source_file, r.label, r.rows) for r in convert.conversion_summary(good, bad).collect()}
+    assert {("Odd.pcap.csv", None, 0), ("Odd two.pcap.csv", None, 0), (None, None, 8)} < lines and len(lines) == 6
+
+
 def test_positions_increase_over_blocks(spark, tmp_path):
     """A file cut in many blocks still has one increasing, unique position per row."""
     (tmp_path / "big.pcap.csv").write_text("Number,bytes\n" + "".join(f"{i},{i}\n" for i in range(20_000)))
