@@ -5,6 +5,7 @@ from flowsight.plans import (  # noqa: F401
     model_queries,
     policy_queries,
     quality_queries,
+    source_queries,
     streaming_queries,
     traffic_queries,
     training_queries,

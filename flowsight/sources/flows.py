@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsight.functions.scalars import first_of, parse_timestamp
+from flowsight.functions.locations import row_position
 from flowsight.schema import FLOW_EVENT_SCHEMA, KEY, SIMPLE_EVENT_SCHEMA
 
 
@@ -74,8 +76,51 @@ def parse_flows(
     return rows if lenient else rows.filter(F.col("ts").isNotNull())
 
 
+#: Bits of a row's number that are its place in its file.
+PLACE_BITS = 40
+
+
+def in_reading_order(rows: DataFrame, path: str) -> DataFrame:
+    """Adds ``arrival_seq`` to rows just read from files: by time of the file, its path, place in it.
+
+    The number does not depend on how files are packed into tasks, so the same lines in one file or
+    in several, written one after the other, come in the same order. The files' ranks come from their
+    list alone; the driver holds that list for any scan.
+    """
+    files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    meta = F.col("_metadata")
+    files = files.select(meta["file_path"].alias("_file"), meta["file_modification_time"].alias("_changed"))
+    ranked = files.select("_file", (F.row_number().over(W.orderBy("_changed", "_file")) - 1).cast("long").alias("_rank"))
+    placed = rows.withColumns({"_file": meta["file_path"], "_place": row_position()})
+    number = F.shiftleft(F.col("_rank"), PLACE_BITS) + F.col("_place")
+    return placed.join(ranked, "_file").withColumn("arrival_seq", number).drop("_file", "_place", "_rank")
+
+
 def read_flows(spark: SparkSession, path: str, on_bad_ts: str = "drop") -> DataFrame:
-    return parse_flows(read_events(spark, path), on_bad_ts)
+    """Flow rows of the event files below ``path``, numbered in reading order."""
+    events = in_reading_order(read_events(spark, path), path)
+    return parse_flows(events, on_bad_ts, arrival=F.col("arrival_seq"))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The lines that :func:`parse_flows` leaves out, each with its reason; ``lines`` has ``value``.
+
+    Works on batches and streams of text, so what a feature stream does not count can be kept beside
+    it. Blank lines are no events and are not listed.
+    """
+    marked = T.StructType([*FLOW_EVENT_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = lines.withColumn("_event", F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    event = F.col("_event")
+    kind = event["event_type"]
+    reason = (
+        F.when(event.isNull() | (kind.isNull() & event["_corrupt_record"].isNotNull()), "broken line")
+        .when(kind.isNull(), "no event type")
+        .when(kind != "flow", "not a flow")
+        .when(event["timestamp"].isNull(), "no timestamp")
+        .when(parse_timestamp(event["timestamp"]).isNull(), "unreadable timestamp")
+    )
+    found = parsed.withColumn("reason", reason).drop("_event")
+    return found.filter(F.col("reason").isNotNull() & (F.trim("value") != ""))
 
 
 def read_flows_stream(spark: SparkSession, path: str, on_bad_ts: str = "drop") -> DataFrame:

@@ -8,35 +8,21 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsight.functions.locations import file_name, row_position
 from flowsight.operators.convert import UnresolvedColumns, convert_packet_summaries
 from flowsight.operators.split import union_datasets
 
 FILES = "*.pcap.csv"
 
 
-def file_name() -> Column:
-    """The name of the file a row was read from; Spark gives it with escapes, as part of an address."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-
-
 def with_source_file(df: DataFrame) -> DataFrame:
     """Adds the name of the file each row was read from."""
     return df.withColumn("source_file", file_name())
 
 
-def row_position() -> Column:
-    """A number that increases along a text file's rows and is unique within the file.
-
-    It is the byte offset of the row's block plus the row's number in its task. A block holds
-    fewer rows than bytes, and one that is followed by another block of the file fills its task.
-    """
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.col("_metadata.file_block_start") + in_task
-
-
 #: Bytes that are read of a file at a time until its first line ends.
 HEADER_BYTES = 16_384
 
