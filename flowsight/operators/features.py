@@ -15,7 +15,7 @@ from flowsight.functions.scalars import (
     squared,
 )
 from flowsight.operators.lookups import lookup, match
-from flowsight.operators.ordering import count_bucket, time_bucket, with_running_max, with_running_sums
+from flowsight.operators.ordering import count_bucket, time_bucket, with_running_sums
 from flowsight.schema import FEATURES, KEY, MAX_PROTOCOLS
 
 # Application protocols counted as HTTP, and words that mark a SYN-type state.
@@ -234,7 +234,7 @@ def assign_anchored_windows(
 
 def assign_arrival_windows(
     flows: DataFrame,
-    anchors: DataFrame,
+    anchors: DataFrame | None,
     seconds: int,
     key: str = KEY,
     arrival: str = "arrival_seq",
@@ -242,19 +242,26 @@ def assign_arrival_windows(
 ) -> DataFrame:
     """Window index in arrival order: it never goes back, so a late flow joins the current window.
 
-    The index is the running maximum of the flows' own window indexes.
+    The index is that of the latest time seen so far. Buckets of arrivals are reduced to their first
+    and latest time; the same few rows give the anchor, a sensor's first time, unless ``anchors``
+    names it.
     """
-    own = assign_anchored_windows(flows, anchors, seconds, key).withColumnRenamed(
-        "window_index", "_own"
+    rows = flows.withColumn("_bucket", count_bucket(F.col(arrival), bucket_rows))
+    heads = rows.groupBy(key, "_bucket").agg(F.max("ts").alias("_peak"), F.min_by("ts", arrival).alias("_first"))
+    order = W.partitionBy(key).orderBy("_bucket")
+    carried = heads.select(
+        key,
+        "_bucket",
+        F.max("_peak").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_carried"),
+        F.first("_first").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("anchor"),
     )
-    return with_running_max(
-        own,
-        [key],
-        F.col(arrival),
-        count_bucket(F.col(arrival), bucket_rows),
-        F.col("_own"),
-        "window_index",
-    ).drop("_own")
+    if anchors is not None:
+        carried = match(carried.drop("anchor"), anchors, [key])
+    inside = W.partitionBy(key, "_bucket").orderBy(arrival).rangeBetween(W.unboundedPreceding, W.currentRow)
+    latest = F.greatest(F.max("ts").over(inside), "_carried")
+    rows = match(rows, carried, [key, "_bucket"]).withColumn("_latest", latest)
+    index = anchored_index(F.col("_latest"), F.col("anchor"), seconds)
+    return rows.select(*flows.columns, "anchor", index.alias("window_index"))
 
 
 # --- trailing windows, one output row per flow ---

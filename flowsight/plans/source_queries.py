@@ -32,7 +32,7 @@ def file_order_features(spark, sf_dir):
         own = F.floor(F.col("arrival_seq") * 4 / F.lit(last + 1)) == i
         fl.as_events(flows.filter(own).coalesce(1).sortWithinPartitions("arrival_seq")).write.mode("append").json(path)
     read = fl.read_flows(spark, path).withColumn("sensor_id", F.col("sensor_id").cast("long"))
-    indexed = ft.assign_arrival_windows(read, ft.sensor_anchors(read), WINDOW_SEC)
+    indexed = ft.assign_arrival_windows(read, None, WINDOW_SEC)
     rows = ft.window_features_by(indexed, WINDOW_SEC, drop_open=True)
     return rounded(rows.drop("window_start", "window_end", *ft.CONTEXT))
 

@@ -102,7 +102,7 @@ own AS (
 @query(f"WITH {ARRIVAL} SELECT sensor_id, arrival_seq, ts, own_index, window_index FROM indexed")
 def arrival_windows(spark, sf_dir):
     flows = adapters.late_flows(spark, sf_dir)
-    rows = ft.assign_arrival_windows(flows, ft.sensor_anchors(flows), WINDOW_SEC, bucket_rows=500)
+    rows = ft.assign_arrival_windows(flows, None, WINDOW_SEC, bucket_rows=500)
     own = ft.anchored_index(F.col("ts"), F.col("anchor"), WINDOW_SEC)
     return rows.select("sensor_id", "arrival_seq", "ts", own.alias("own_index"), "window_index")
 
@@ -114,7 +114,7 @@ SELECT sensor_id, window_index, {COUNTED}, {ROUNDED}
 FROM features JOIN last USING (sensor_id) WHERE window_index < last""")
 def arrival_window_features(spark, sf_dir):
     flows = adapters.late_flows(spark, sf_dir)
-    indexed = ft.assign_arrival_windows(flows, ft.sensor_anchors(flows), WINDOW_SEC)
+    indexed = ft.assign_arrival_windows(flows, None, WINDOW_SEC)
     rows = ft.window_features_by(indexed, WINDOW_SEC, drop_open=True)
     return rounded(rows.drop("window_start", "window_end", *ft.CONTEXT))
 
