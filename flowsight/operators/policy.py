@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import replace
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +29,7 @@ CLASSES = ["benign", "attack"]  # fixed values: classes of the two-class model,
 
 FRAMES = ("window", "adaptive_window")  # policy columns that are frame lengths
 CHUNK_ROWS = 50_000
+FRAME_CELLS = 4_000_000  # scores whose mean and spread are worked out at a time
 POSITION_BUCKET_SEC = 600
 
 
@@ -55,70 +55,86 @@ def attach_policy(
 
 
 def in_chunks(
-    rows: DataFrame, key: str, order: str | Sequence[str], reach: int, chunk_rows: int = CHUNK_ROWS
+    rows: DataFrame, key: str, order: str | Sequence[str], reach: int | Column, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Cut each sensor's rows, in order, into chunks that can be worked on apart.
 
     ``order`` is a time column, or several of which the first is one and the others settle ties.
-    Adds ``index`` (row position in the sensor), ``_chunk``, and ``_own``. The last ``reach`` rows
-    of a chunk are repeated in the next one with ``_own`` false, so a frame of that many preceding
-    rows sees the same rows as over the whole sensor.
+    Adds ``index`` (row position in the sensor), ``_chunk``, and ``_own``. A row is repeated, with
+    ``_own`` false, in the later chunks that begin within ``reach`` rows of it, so a frame of that many
+    preceding rows sees the same rows as over the whole sensor.
     """
-    chunk_rows = max(chunk_rows, reach, 1)
     order = [order] if isinstance(order, str) else list(order)
     bucket = time_bucket(F.col(order[0]), POSITION_BUCKET_SEC)
     placed = with_position(rows, [key], order, bucket, "index")
-    chunk = F.floor(F.col("index") / F.lit(chunk_rows)).cast("long")
-    tail = F.col("index") % chunk_rows >= chunk_rows - reach
-    copies = F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    chunk_of = lambda index: F.floor(index / F.lit(chunk_rows)).cast("long")
+    chunk = chunk_of(F.col("index"))
+    copies = F.sequence(chunk, chunk_of(F.col("index") + reach))
     return placed.withColumn("_chunk", F.explode(copies)).withColumn(
         "_own", F.col("_chunk") == chunk
     )
 
 
-def longest_frames(policy: Policy | DataFrame, default: Policy = Policy()) -> Policy:
-    """``default`` with the longest frame lengths that a policy table gives to any sensor."""
-    if isinstance(policy, Policy):
-        return policy
-    given = [c for c in FRAMES if c in policy.columns]
-    if not given:
-        return default
-    longest = policy.agg(*[F.max(c).cast("int").alias(c) for c in given]).first()
-    return replace(default, **{c: max(longest[c] or 0, getattr(default, c)) for c in given})
-
-
-def with_state(chunked: DataFrame, policy: Policy, key: str = KEY, per_sensor: bool = False) -> DataFrame:
-    """Effective threshold, attack state and hits of each row (policy columns attached).
+def lifted_thresholds(scores: np.ndarray, before: np.ndarray, frame: np.ndarray, sensitivity: np.ndarray) -> np.ndarray:
+    """Mean and spread of the last ``frame`` scores of each row, itself included; -inf for ten or fewer.
 
-    The frames are as long as ``policy`` says, or with ``per_sensor`` as each row's own columns say,
-    up to that length.
+    ``before`` are the scores that came ahead. Rows with equal frames are worked out together.
     """
+    out = np.full(len(scores), -np.inf)
+    for size in np.unique(frame):
+        padded = np.concatenate([np.full(int(size), np.nan), before, scores])[-(len(scores) + int(size) - 1) :]
+        views = np.lib.stride_tricks.sliding_window_view(padded, int(size))
+        rows = np.flatnonzero((frame == size) & (np.sum(~np.isnan(views), axis=1) > 10))
+        for part in np.array_split(rows, 1 + len(rows) * int(size) // FRAME_CELLS):
+            if len(part):
+                out[part] = np.nanmean(views[part], axis=1) + sensitivity[part] * np.nanstd(views[part], axis=1)
+    return out
+
+
+def running_hits(attack: np.ndarray, before: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """Attacks among the last ``frame`` rows, itself included."""
+    total = np.concatenate([[0], np.cumsum(np.concatenate([before, attack]))])
+    end = len(before) + np.arange(len(attack)) + 1
+    return total[end] - total[np.maximum(end - frame, 0)]
+
+
+def with_state(chunked: DataFrame, policy: Policy, key: str = KEY) -> DataFrame:
+    """Effective threshold, attack state and hits of each row, by one policy for all (attached)."""
     order = W.partitionBy(key, "_chunk").orderBy("index")
     history = order.rowsBetween(-(max(policy.adaptive_window, 1) - 1), 0)
     recent = order.rowsBetween(-(max(policy.window, 1) - 1), 0)
-    if per_sensor:
-        own = lambda frame, size: F.slice(
-            frame, -F.greatest(F.least(F.size(frame), F.col(size)), F.lit(1)), F.greatest(F.col(size), F.lit(1))
-        )
-        chunked = chunked.withColumn("_scores", own(F.collect_list("score").over(history), "adaptive_window"))
-        n = F.size("_scores")
-        mean = F.aggregate("_scores", F.lit(0.0), lambda s, x: s + x) / n
-        spread = F.sqrt(F.aggregate("_scores", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-        lifted, active = mean + F.col("adaptive_sensitivity") * spread, F.col("use_adaptive") & (n > 10)
-    else:
-        lifted = F.avg("score").over(history) + F.col("adaptive_sensitivity") * F.stddev_pop("score").over(history)
-        active = F.col("use_adaptive") & (F.count("score").over(history) > 10)
+    lifted = F.avg("score").over(history) + F.col("adaptive_sensitivity") * F.stddev_pop("score").over(history)
+    active = F.col("use_adaptive") & (F.count("score").over(history) > 10)
     threshold = F.when(
         active, F.greatest(F.col("threshold"), F.greatest(lifted, F.col("adaptive_min")))
     ).otherwise(F.col("threshold"))
     rows = chunked.withColumn("effective_threshold", threshold).withColumn(
         "is_attack", F.col("score") >= F.col("effective_threshold")
     )
-    hit = F.col("is_attack").cast("int")
-    if not per_sensor:
-        return rows.withColumn("hits_in_window", F.sum(hit).over(recent).cast("int"))
-    hits = F.aggregate(own(F.collect_list(hit).over(recent), "window"), F.lit(0), lambda s, x: s + x)
-    return rows.withColumn("hits_in_window", hits).drop("_scores")
+    return rows.withColumn("hits_in_window", F.sum(F.col("is_attack").cast("int")).over(recent).cast("int"))
+
+
+def with_own_state(chunked: DataFrame, key: str = KEY) -> DataFrame:
+    """As :func:`with_state` with each sensor's own frame lengths; a chunk is worked on as arrays."""
+
+    def states(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("index")
+        column = {c: _column(chunk, c) for c in ("score", "threshold", "adaptive_sensitivity", "adaptive_min", "use_adaptive")}
+        window, frame = (np.maximum(_column(chunk, c).astype(np.int64), 1) for c in FRAMES)
+        score, threshold = column["score"].astype(float), column["threshold"].astype(float)
+        lifted = lifted_thresholds(score, score[:0], frame, column["adaptive_sensitivity"].astype(float))
+        active = column["use_adaptive"].astype(bool) & (lifted > -np.inf)
+        raised = np.maximum(np.maximum(threshold, lifted), column["adaptive_min"].astype(float))
+        threshold = np.where(active, raised, threshold)
+        attack = score >= threshold
+        hits = running_hits(attack.astype(np.int64), np.zeros(0, dtype=np.int64), window)
+        found = [("effective_threshold", threshold, pa.float64()), ("is_attack", attack, pa.bool_()), ("hits_in_window", hits, pa.int32())]
+        for name, values, kind in found:
+            chunk = chunk.append_column(name, pa.array(values, kind))
+        return chunk.filter(chunk.column("_own"))
+
+    added = [T.StructField("effective_threshold", T.DoubleType()), T.StructField("is_attack", T.BooleanType()), T.StructField("hits_in_window", T.IntegerType())]
+    return chunked.groupBy(key, "_chunk").applyInArrow(states, T.StructType(chunked.schema.fields + added))
 
 
 def adaptive_threshold(
@@ -129,7 +145,7 @@ def adaptive_threshold(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``effective_threshold``, ``is_attack`` and ``hits_in_window`` for every scored row."""
-    rows = in_chunks(attach_policy(scored, policy, key), key, order, policy.reach, chunk_rows)
+    rows = in_chunks(attach_policy(scored, policy, key), key, order, policy.reach, max(chunk_rows, 1))
     return with_state(rows, policy, key).filter("_own").drop("_chunk", "_own", *Policy.columns())
 
 
@@ -280,15 +296,19 @@ def decide(
     Per row: ``index``, ``effective_threshold``, ``state``, ``hits_in_window``, ``severity``
     (KILL and HARD by score alone; SOFT for a burst of hits outside the cooldown), ``action``,
     ``pred_class``, ``no_block_reason`` and the block outcome. Any block restarts the cooldown.
-    A policy table may set frame lengths per sensor; the longest of them is read from the table when
-    the plan is built. The rows are gone through twice
+    A policy table may set frame lengths per sensor; no job runs while the plan is built. The rows are gone through twice
     (once for the cooldown carried between chunks); ``staged`` writes them to the shared scratch
     folder in between instead of working them out again.
     """
-    frames = longest_frames(policy, default)
-    per_sensor = not isinstance(policy, Policy) and any(c in policy.columns for c in FRAMES)
-    rows = in_chunks(attach_policy(scored, policy, key, default), key, order, frames.reach, chunk_rows)
-    rows = with_state(rows, frames, key, per_sensor).filter("_own").drop("_own")
+    attached = attach_policy(scored, policy, key, default)
+    if isinstance(policy, Policy) or not any(c in policy.columns for c in FRAMES):
+        frames = policy if isinstance(policy, Policy) else default
+        chunk_rows = max(chunk_rows, frames.reach, 1)
+        rows = with_state(in_chunks(attached, key, order, frames.reach, chunk_rows), frames, key)
+    else:
+        at_least_one = [F.greatest(F.col(c), F.lit(1)) for c in FRAMES]
+        rows = with_own_state(in_chunks(attached, key, order, at_least_one[0] + at_least_one[1] - 2, chunk_rows), key)
+    rows = rows.filter("_own").drop("_own")
     attack, score = F.col("is_attack"), F.col("score")
     instant = score >= F.least(F.col("instant_block"), F.lit(KILL_SCORE))
     rows = rows.withColumns(
@@ -301,7 +321,7 @@ def decide(
     )
     if staged:
         rows = materialize(rows, "decision")
-    return finish(with_cooldown(rows, key, max(chunk_rows, frames.reach, 1)), key)
+    return finish(with_cooldown(rows, key, chunk_rows), key)
 
 
 def finish(rows: DataFrame, key: str = KEY) -> DataFrame:

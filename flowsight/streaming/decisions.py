@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from flowsight.functions.decision import KILL_SCORE
 from flowsight.operators.alerts import is_block
-from flowsight.operators.policy import NEVER, attach_policy, finish, run_chunk
+from flowsight.operators.policy import NEVER, attach_policy, finish, lifted_thresholds, run_chunk, running_hits
 from flowsight.schema import KEY, Policy
 
 def _longs(*names: str) -> list[T.StructField]:
@@ -46,28 +46,6 @@ RESULT = [
 ]
 
 
-def lifted_thresholds(scores: np.ndarray, before: np.ndarray, frame: np.ndarray, sensitivity: np.ndarray) -> np.ndarray:
-    """Mean and spread of the last ``frame`` scores of each row, itself included; -inf for ten or fewer.
-
-    ``before`` are the scores that came ahead. Rows with equal frames are worked out together.
-    """
-    out = np.full(len(scores), -np.inf)
-    for size in np.unique(frame):
-        padded = np.concatenate([np.full(int(size), np.nan), before, scores])[-(len(scores) + int(size) - 1) :]
-        views = np.lib.stride_tricks.sliding_window_view(padded, int(size))
-        rows = np.flatnonzero((frame == size) & (np.sum(~np.isnan(views), axis=1) > 10))
-        if len(rows):
-            out[rows] = np.nanmean(views[rows], axis=1) + sensitivity[rows] * np.nanstd(views[rows], axis=1)
-    return out
-
-
-def running_hits(attack: np.ndarray, before: np.ndarray, frame: np.ndarray) -> np.ndarray:
-    """Attacks among the last ``frame`` rows, itself included."""
-    total = np.concatenate([[0], np.cumsum(np.concatenate([before, attack]))])
-    end = len(before) + np.arange(len(attack)) + 1
-    return total[end] - total[np.maximum(end - frame, 0)]
-
-
 class Decider(StatefulProcessor):
     """Per sensor: rows that wait for earlier ones, and what later decisions depend on.
 

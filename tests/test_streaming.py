@@ -193,8 +193,8 @@ def test_running_arrays_equal_loops():
     rng = np.random.default_rng(3)
     scores, before = rng.random(50).round(3), rng.random(7)
     frame, weight = rng.choice([1, 5, 11, 20, 90], 50), rng.random(50)
-    got = sd.lifted_thresholds(scores, before, frame, weight)
-    hits = sd.running_hits((scores > 0.5).astype(int), (before > 0.5).astype(int), frame)
+    got = po.lifted_thresholds(scores, before, frame, weight)
+    hits = po.running_hits((scores > 0.5).astype(int), (before > 0.5).astype(int), frame)
     for i in range(50):
         seen = np.concatenate([before, scores])[: 7 + i + 1][-frame[i] :]
         assert hits[i] == (seen > 0.5).sum()
