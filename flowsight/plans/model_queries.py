@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from flowsight.operators import evaluate as ev, model as md, split
+from flowsight.operators import clean, evaluate as ev, model as md, split
 from flowsight.operators.features import window_features
 from flowsight.plans import adapters, jobs
 from flowsight.plans.adapters import WINDOW
@@ -27,7 +27,7 @@ def trained(spark, sf_dir):
     run = (spark.sparkContext.applicationId, sf_dir)
     if run not in _trained:
         parts = materialize(split.split_by_file(positioned(spark, sf_dir)), "parts")
-        rows = split.training_set(parts.filter(F.col("part") == "train"))
+        rows = clean.core_columns(parts.filter(F.col("part") == "train"))  # training takes distinct rows
         _trained[run] = (parts, jobs.train(rows, SETTINGS))
     return _trained[run]
 

@@ -115,59 +115,70 @@ def dataset_labels(spark, sf_dir):
 
 
 # Cells as text, some of them padded, unparsable, NaN or infinite.
-MESSY = """
+# Every feature has malformed cells, each in rows of its own.
+FAULTY = 97
+
+
+def messy_sql(i: int) -> str:
+    return f"""CASE (l_partkey + {7 * i}) % {FAULTY} WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'inf' WHEN 3 THEN ''
+              WHEN 4 THEN NULL ELSE '  ' || CAST(CAST(l_quantity AS BIGINT) + {i} AS VARCHAR) || '.5 ' END"""
+
+
+MESSY = f"""
 messy AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-         CASE l_partkey % 20 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'inf' WHEN 3 THEN ''
-              WHEN 4 THEN NULL ELSE '  ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5 ' END AS cell
+  SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{messy_sql(i)} AS {c}" for i, c in enumerate(FEATURES))}
   FROM lineitem
 )"""
+# Cells of the messy table as numbers, and what makes a row malformed or invalid.
+NUMBERS = {c: f"CASE WHEN {c} = 'inf' THEN 'Infinity'::DOUBLE ELSE TRY_CAST(trim({c}) AS DOUBLE) END" for c in FEATURES}
+MALFORMED = " OR ".join(f"coalesce({c}, '') IN ('abc', 'NaN', '')" for c in FEATURES)
+INFINITE = " OR ".join(f"{c} = 'inf'" for c in FEATURES)
 
 
 def messy_cells(spark, sf_dir):
-    k = F.col("l_partkey") % 20
-    text = F.concat(F.lit("  "), F.col("l_quantity").cast("long").cast("string"), F.lit(".5 "))
-    cell = (
-        F.when(k == 0, "abc").when(k == 1, "NaN").when(k == 2, "inf").when(k == 3, "").when(k > 4, text)
-    )
-    return adapters.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", cell.alias("bytes_total")
-    )
+    def cell(i):
+        k = (F.col("l_partkey") + 7 * i) % FAULTY
+        text = F.concat(F.lit("  "), (F.col("l_quantity").cast("long") + i).cast("string"), F.lit(".5 "))
+        return F.when(k == 0, "abc").when(k == 1, "NaN").when(k == 2, "inf").when(k == 3, "").when(k > 4, text)
+
+    cells = [cell(i).alias(c) for i, c in enumerate(FEATURES)]
+    return adapters.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *cells)
 
 
 @query(f"""
 WITH {MESSY}
-SELECT l_orderkey, l_linenumber, l_partkey,
-       CASE WHEN cell = 'inf' THEN 'Infinity'::DOUBLE ELSE TRY_CAST(trim(cell) AS DOUBLE) END AS bytes_total
-FROM messy WHERE cell NOT IN ('abc', 'NaN', '')""")
+SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{v} AS {c}" for c, v in NUMBERS.items())}
+FROM messy WHERE NOT ({MALFORMED})""")
 def clean_features(spark, sf_dir):
-    return clean.clean_features(messy_cells(spark, sf_dir), ["bytes_total"])
+    return clean.clean_features(messy_cells(spark, sf_dir))
 
 
 @query(f"""
 WITH {MESSY}
-SELECT count(*) AS rows, count(*) FILTER (coalesce(cell, '') IN ('abc', 'NaN', '')) AS dropped FROM messy""")
+SELECT count(*) AS rows, count(*) FILTER ({MALFORMED}) AS dropped FROM messy""")
 def malformed_count(spark, sf_dir):
-    return clean.malformed_count(messy_cells(spark, sf_dir), ["bytes_total"])
+    return clean.malformed_count(messy_cells(spark, sf_dir))
 
 
 @query(f"""
 WITH {MESSY}
 SELECT l_orderkey, l_linenumber, l_partkey,
-       CASE WHEN coalesce(cell, '') IN ('abc', 'NaN', '', 'inf') THEN 0.0::DOUBLE ELSE CAST(trim(cell) AS DOUBLE) END AS bytes_total,
-       0.0::DOUBLE AS syn_ratio
+       {", ".join(f"CASE WHEN coalesce({c}, '') IN ('abc', 'NaN', '', 'inf') THEN 0.0::DOUBLE ELSE CAST(trim({c}) AS DOUBLE) END AS {c}" for c in FEATURES[:-1])},
+       0.0::DOUBLE AS {FEATURES[-1]}
 FROM messy""")
 def prepare_features(spark, sf_dir):
-    rows = clean.to_numeric(messy_cells(spark, sf_dir), ["bytes_total"])
-    return clean.prepare_features(rows, ["bytes_total", "syn_ratio"])
+    """Evaluation input from messy cells under spaced names, without the last feature."""
+    cells = messy_cells(spark, sf_dir).drop(FEATURES[-1])
+    cells = clean.to_numeric(cells, FEATURES[:-1]).withColumnsRenamed({c: f" {c.replace('_', ' ')} " for c in FEATURES})
+    return clean.prepare_features(cells)
 
 
 @query(f"""
 WITH {MESSY}
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(trim(cell) AS DOUBLE) AS bytes_total
-FROM messy WHERE cell NOT IN ('abc', 'NaN', '', 'inf')""")
+SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{v} AS {c}" for c, v in NUMBERS.items())}
+FROM messy WHERE NOT ({MALFORMED}) AND NOT ({INFINITE})""")
 def drop_invalid(spark, sf_dir):
-    return clean.drop_invalid(clean.to_numeric(messy_cells(spark, sf_dir), ["bytes_total"]))
+    return clean.drop_invalid(clean.to_numeric(messy_cells(spark, sf_dir)))
 
 
 SPLIT = f"""{POSITIONED}, counted AS (
