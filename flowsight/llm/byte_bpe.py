@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from flowsight.llm.common import list_array, ragged, text_chunks
+from flowsight.llm.common import frugal, list_array, ragged, text_chunks
 
 #: Unicode's White_Space property.
 WHITE_SPACE = (
@@ -258,6 +258,7 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+@frugal
 def _encode(batches: Iterator[pa.RecordBatch], content: bytes, classes: Broadcast, column: str) -> Iterator[pa.RecordBatch]:
     # both end with the task, as a worker goes on with tasks of other kinds
     cached, automaton = Pieces(parse_ranks(content)), Automaton()
@@ -291,6 +292,7 @@ def encode(df: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     return df.mapInArrow(partial(_encode, content=read_ranks(ranks_path), classes=classes, column=column), schema)
 
 
+@frugal
 def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> Iterator[pa.RecordBatch]:
     tokens = {i: t for t, i in parse_ranks(content).items()}
     sizes = np.array([len(tokens.get(i, b"")) for i in range(max(tokens, default=-1) + 1)], dtype=np.int64)

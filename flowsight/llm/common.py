@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,31 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(holder, name)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system.
+
+    Workers go on with tasks of other operators, or wait beside them; what their allocators keep
+    would add up over a long session.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # no such call beyond glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task function that gives its memory back when it ends."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch], *args, **named) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches, *args, **named)
+        finally:
+            give_back()
+
+    return task
+
+
 def chunks(lengths: np.ndarray | list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows whose lengths add up to about ``limit``; one row at least."""
     start = total = 0

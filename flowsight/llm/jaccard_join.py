@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.llm.common import numbered, ragged, text_chunks
+from flowsight.llm.common import frugal, numbered, ragged, text_chunks
 from flowsight.llm.components import components
 from flowsight.llm.hashing import ODD, Sequence, mixed, word_hashes
 from flowsight.session import materialize
@@ -85,6 +85,7 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mixed(np.array([total]))[0].view(np.int64))
 
 
+@frugal
 def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows (token, seen) of the shingles that some of them share."""
     pending, waiting = [], 0
@@ -134,6 +135,7 @@ def prefix(tokens: np.ndarray, shared: np.ndarray, places: np.ndarray, percent:
     return np.concatenate([first, late]), len(first)
 
 
+@frugal
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Broadcast) -> Iterator[pa.RecordBatch]:
     done = set()
     shared, places = order.value
@@ -157,6 +159,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Br
                 )
 
 
+@frugal
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, then node: those whose token has different nodes, once each.
 
@@ -206,6 +209,7 @@ def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+@frugal
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that the bit counts leave possible."""
     for batch in batches:
@@ -216,6 +220,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+@frugal
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
     """Possible pairs of different components in each tile; rows come sorted by tile.
 
@@ -309,6 +314,7 @@ def _many(rows: list[dict], percent: int) -> np.ndarray:
     return np.hstack(found)
 
 
+@frugal
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose exact similarity is high enough; texts of one side often repeat in a row."""
     last, tokens = None, None

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsight.llm.common import frugal
 from flowsight.session import materialize
 
 #: Documents of one block of a permutation, on average.
@@ -34,6 +35,7 @@ HALVINGS = 5
 PASSES = 8
 
 
+@frugal
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the first column, from the bytes as they lie in the batch."""
     for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsight.llm.common import text_chunks
+from flowsight.llm.common import frugal, give_back, text_chunks
 
 WORD = re.compile(r"\w+")
 #: Positions that are worked on one after the other; the blocks are worked on side by side.
@@ -350,6 +350,7 @@ class Emissions(dict):
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
 
+@frugal
 def _score(batches: Iterator[pa.RecordBatch], sent: Broadcast, column: str) -> Iterator[pa.RecordBatch]:
     chain = sent.value
     known = Emissions(chain)
@@ -397,7 +398,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     rows = documents.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), key)
     rows = rows.groupBy(key).agg(F.min("text").alias("text"), F.max("_label").alias("_label")).collect()
     rows = sorted(rows, key=lambda r: r[0])
-    return train([r["text"] or "" for r in rows], [r["_label"] for r in rows], counts=counts)
+    chain = train([r["text"] or "" for r in rows], [r["_label"] for r in rows], counts=counts)
+    del rows
+    give_back()
+    return chain
 
 
 def score(df: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
