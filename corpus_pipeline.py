@@ -8,6 +8,10 @@
 
 Every stage works on all rows of the one before. The models learn from data, so SQL can't express the
 result; tests hold each stage against a plain version.
+
+In all stages a null text counts as empty and stays null in what is returned, texts of any length are
+worked on whole, repeated rows are rows of their own unless said otherwise, an empty table gives an
+empty one, and columns of any name pass through unchanged, also those named like a stage's own.
 """
 
 from __future__ import annotations
@@ -37,7 +41,10 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain, trained on the labels of two thirds of the numbers, doesn't reject."""
+    """Documents that the chain, trained on the labels of two thirds of the numbers, doesn't reject.
+
+    Empty texts have the score of no evidence; documents with a null number teach nothing.
+    """
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(crc_part("doc_id", 3) == 1, F.lit(False))
@@ -47,13 +54,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarity of 0.8 in shingles of five words connects."""
+    """One document of each group that similarity of 0.8 in shingles of five words connects.
+
+    The document of smallest number stays. Empty texts are linked with nothing, so all of them stay;
+    of rows that share a number each is a document of its own.
+    """
     small_batches(spark)
     return jaccard_join.keep_first(docs, n=5, percent=80)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind in brackets; n_chars follows."""
+    """Texts with personal data replaced by its kind in brackets; n_chars follows.
+
+    Touching spans become one. Texts without spans, null and empty ones stay as they are.
+    """
     found = pii.find(_packed(docs))
     text = F.when(F.col("text").isNotNull() & (F.size("spans") > 0), pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     found = found.withColumn("text", text)
@@ -65,7 +79,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as before, half way in entropy between the sources' shares and equal shares."""
+    """As many tokens as before, half way in entropy between the sources' shares and equal shares.
+
+    A null source is a source. Repeated rows are drawn together or not at all; sources of empty texts
+    only are kept once.
+    """
     small_batches(spark)
     packed = _packed(docs).withColumns({c: F.col(f"_document.{c}") for c in ("doc_id", "source")})
     mixed, _ = mixing.mix(packed, evenness=0.5, max_epochs=4.0)
@@ -73,7 +91,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their number, and whether they decode to the text's bytes."""
+    """Token ids of every text, their number, and whether they decode to the text's bytes.
+
+    Null and empty texts have no ids, which decode to no bytes.
+    """
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), path), path)

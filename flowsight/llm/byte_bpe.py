@@ -282,8 +282,10 @@ def _encode(batches: Iterator[pa.RecordBatch], content: bytes, classes: Broadcas
 def encode(df: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     """Adds ``ids`` and, per piece, its number of ids and its byte offset in the text.
 
-    A null or empty text has empty lists. Columns named like the added ones are replaced. The rank
-    file is read where the plan is built. Rows stay in their partitions: nothing is shuffled.
+    A null or empty text has empty lists, an empty table gives an empty one. Columns named like the
+    added ones are replaced. The rank file is read where the plan is built. Rows stay in their
+    partitions: nothing is shuffled, and repeated rows get equal ids. A text is encoded whole, however
+    long, at about 60 bytes a character.
     """
     added = ("ids", "piece_ids", "piece_starts")
     df = df.drop(*[c for c in added if c in df.columns])
@@ -314,7 +316,10 @@ def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> I
 
 
 def decode(df: DataFrame, ranks_path: str, column: str = "ids") -> DataFrame:
-    """Adds ``decoded``, the bytes of the listed ids; a null list gives no bytes."""
+    """Adds ``decoded``, the bytes of the listed ids; a null or empty list gives no bytes.
+
+    Ids must be those of tokens. A column of that name is replaced; an empty table gives an empty one.
+    """
     df = df.drop("decoded")
     schema = T.StructType([*df.schema, T.StructField("decoded", T.BinaryType())])
     return df.mapInArrow(partial(_decode, content=read_ranks(ranks_path), column=column), schema)

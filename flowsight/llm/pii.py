@@ -308,7 +308,9 @@ def find(df: DataFrame, model: SpanModel | None = None, column: str = "text", th
 
     ``spans`` holds the strict ones and the candidates of at least ``threshold``, by start, then
     kind; without a ``model`` one is fitted on ``df``. A null or empty text has empty lists; columns
-    named like the added ones are replaced. Rows stay in their partitions.
+    named like the added ones are replaced. Rows stay in their partitions and are not compared, so
+    repeated rows get equal spans; texts of any length are read whole. An empty table gives an empty
+    one, and a model that judges by its starting values.
     """
     model = model or fit(df, column)
     kept = F.filter("_judged", lambda s: s["strict"] | (score(s, model) >= threshold))

@@ -210,7 +210,9 @@ def _count(batches: Iterator[pa.RecordBatch], model: dict, column: str) -> Itera
 def count_tokens(df: DataFrame, model_path: str, column: str = "text") -> DataFrame:
     """Adds ``n_tokens``, the tokens of each text without begin, end or added special tokens.
 
-    A null or empty text has none; a column of that name is replaced. Nothing is shuffled.
+    A null or empty text has none, an empty table gives an empty one, and a column of that name is
+    replaced. Nothing is shuffled and rows are not compared, so repeated rows get equal counts; texts
+    of any length are counted whole.
     """
     df = df.drop("n_tokens")
     schema = T.StructType([*df.schema, T.StructField("n_tokens", T.LongType())])

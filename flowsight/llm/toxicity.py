@@ -408,8 +408,9 @@ def score(df: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
     """Adds ``toxicity`` (0 to 1) and ``toxic_spans`` (start, end, probability; code points).
 
     Words are runs of letters, digits and underscores. A null or empty text has the score of no
-    evidence and no spans; columns named like the added ones are replaced. Nothing is shuffled; the
-    model, bounded by its training texts, goes to every task.
+    evidence and no spans; columns named like the added ones are replaced. Nothing is shuffled and
+    rows are not compared, so repeated rows get equal scores; texts of any length are scored whole, an
+    empty table gives an empty one. The model, bounded by its training texts, goes to every task.
     """
     df = df.drop("toxicity", "toxic_spans")
     span = T.StructType().add("start", "integer").add("end", "integer").add("probability", "double")
