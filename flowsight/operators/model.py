@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 from math import factorial
 
@@ -35,6 +35,8 @@ class Training:
     min_improvement: float = 1e-5
     validation_share: float = 0.2
     seed: int = 42
+    #: Rounds without a better validation loss after which training ends; None for Spark's own rule.
+    patience: int | None = None
 
 
 def assemble(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -71,6 +73,54 @@ def fit(
     return trees.fit(assemble(rows, features).select("_x", *used))
 
 
+def validation_curve(model: GBTClassificationModel, held: DataFrame, features: Sequence[str] = FEATURES, label: str = "y") -> list[float]:
+    """Loss over held-out rows, each of weight 1, after each round of the trees."""
+    rows = assemble(held, features).select("_x", F.col(label).alias(model.getLabelCol()))
+    if model.isSet(model.weightCol):
+        rows = rows.withColumn(model.getWeightCol(), F.lit(1.0))
+    return list(model.evaluateEachIteration(rows))
+
+
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round (from 0) of least loss, and whether ``patience`` rounds without a better one followed."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        if i - best >= patience:
+            return best, True
+    return best, False
+
+
+def fit_with_patience(
+    rows: DataFrame,
+    features: Sequence[str] = FEATURES,
+    label: str = "y",
+    weight: str | None = "weight",
+    validation: str = "is_validation",
+    training: Training = Training(patience=200),
+) -> tuple[GBTClassificationModel, list[float]]:
+    """Boosted trees up to the best round, and the validation curve that shows it.
+
+    Spark ends training at the first round without improvement, or not at all. Here training runs for
+    twice the patience, then for twice as long, until the curve has stood still for ``patience``
+    rounds. Rounds depend on the seed and the rounds before alone, so the model of the best round is
+    trained by asking for that many.
+    """
+    train, held = rows.filter(~F.col(validation)), rows.filter(validation)
+    rounds = min(training.trees, 2 * training.patience)
+    while True:
+        model = fit(train, features, label, weight, None, replace(training, trees=rounds))
+        losses = validation_curve(model, held, features, label)
+        best, still = best_round(losses, training.patience)
+        if still or rounds >= training.trees:
+            break
+        rounds = min(training.trees, 2 * rounds)
+    if best + 1 < rounds:
+        model = fit(train, features, label, weight, None, replace(training, trees=best + 1))
+    return model, losses[: best + 1 + training.patience]
+
+
 def prepare_training(
     rows: DataFrame, key: Sequence[str], label: str = "y", training: Training = Training()
 ) -> DataFrame:

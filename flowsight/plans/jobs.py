@@ -33,7 +33,7 @@ def train(training: DataFrame, settings: md.Training = md.Training(), path: str
     features = clean.select_feature_columns(training)
     rows = training.withColumn("y", binary_label(F.col("label"))).dropDuplicates([*features, "label"])
     rows = materialize(md.prepare_training(rows, [*features, "label"], "y", settings), "training")
-    model = md.fit(rows, features, training=settings)
+    model = md.fit(rows, features, training=settings) if settings.patience is None else md.fit_with_patience(rows, features, training=settings)[0]
     held = rows.filter("is_validation").select(*features, "y")
     scored = materialize(md.score(held, model, features).select("y", "score"), "validation")
     metrics = materialize(md.validation_metrics(scored), "metrics")

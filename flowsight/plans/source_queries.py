@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from flowsight.operators import clean, convert, features as ft, model as md, policy as po, split
@@ -14,6 +16,7 @@ from flowsight.plans.reference_sql import COUNTED, FLOWS, ROUNDED, WINDOWED
 from flowsight.plans.registry import SQL, query, rounded
 from flowsight.plans.training_queries import COLUMNS, CONVERTED, SPLIT, positioned
 from flowsight.functions.decision import reason_text, top_contributions
+from flowsight.functions.labels import binary_label
 from flowsight.schema import FEATURES
 from flowsight.session import materialize, scratch_dir
 from flowsight.sources import flows as fl, tables
@@ -201,3 +204,14 @@ def model_invariants(spark, sf_dir):
         else (cells > 0).alias("confusion_adds_up"),
     )
     return checks.crossJoin(weights).crossJoin(held).crossJoin(told)
+
+
+@query("SELECT TRUE AS a_loss_a_round, TRUE AS losses_finite, TRUE AS best_is_least, TRUE AS better_than_first")
+def validation_curve(spark, sf_dir):
+    """The trained model's loss on all training rows, round by round."""
+    parts, detector = trained(spark, sf_dir)
+    held = parts.filter(F.col("part") == "train").withColumn("y", binary_label(F.col("label")))
+    losses = md.validation_curve(detector.model, clean.drop_invalid(held.select(*FEATURES, "y")))
+    best, _ = md.best_round(losses, len(losses))
+    told = (len(losses) == detector.model.getNumTrees, all(map(math.isfinite, losses)), losses[best] == min(losses), losses[best] <= losses[0])
+    return spark.createDataFrame([told], "a_loss_a_round boolean, losses_finite boolean, best_is_least boolean, better_than_first boolean")

@@ -111,6 +111,24 @@ def test_trees_as_arrays_equal_single_leaves(monkeypatch, depth, limit):
     assert md.explain_batch(paths, x) == pytest.approx(wanted, abs=1e-12)
 
 
+def test_best_round_waits():
+    assert md.best_round([5, 4, 4, 3, 3.5, 3.2, 2], 2) == (3, True)
+    assert md.best_round([5, 4, 4, 3, 3.5, 3.2, 2], 3) == (6, False)
+    assert md.best_round([1.0], 1) == (0, False)
+
+
+def test_training_with_patience_ends_at_the_best_round(spark, rows):
+    noisy = rows.withColumn("y", F.when(F.pmod(F.xxhash64(*FEATURES), F.lit(4)) == 0, 1 - (F.col("label") == "xss").cast("int")).otherwise((F.col("label") == "xss").cast("int")))
+    settings = md.Training(trees=24, depth=4, learning_rate=0.5, min_leaf=2, patience=3)
+    marked = md.prepare_training(noisy, [*FEATURES, "label"], "y", settings).checkpoint()
+    model, losses = md.fit_with_patience(marked, training=settings)
+    best = min(range(len(losses)), key=losses.__getitem__)
+    assert model.getNumTrees == best + 1 <= settings.trees
+    assert len(losses) == min(best + 1 + settings.patience, settings.trees)
+    again = md.validation_curve(model, marked.filter("is_validation"))
+    assert again == pytest.approx(losses[: best + 1])
+
+
 def test_only_attacks_are_explained(spark, rows, trained):
     paths = md.model_paths(md.tree_nodes(spark, f"{trained.path}/model"), trained.model.treeWeights)
     df = md.score(rows, trained.model).withColumn("is_attack", F.col("score") >= 0.8)
