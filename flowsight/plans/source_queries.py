@@ -163,6 +163,21 @@ def refreshed_policy(spark, sf_dir):
     return clean.add_missing_features(kept, ["bytes_total", "iat_mean"])
 
 
+@query(f"""
+WITH {WINDOWED}
+SELECT sensor_id, window_start, flows FROM features WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events)""")
+def windows_acted_on_once(spark, sf_dir):
+    """Windows that come in two files, the second with all of the first, each given on once."""
+    rows = sq.feature_table(spark, sf_dir)
+    path = scratch_dir(spark, "repeated-windows")
+    half = F.pmod(F.xxhash64("sensor_id", "window_start"), F.lit(2)) == 0
+    for part in (rows.filter(half), rows):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    once = sf.once_per_window(stream, lateness="60 days")
+    return sq.run_to_end(once.select("sensor_id", "window_start", "flows"), "once")
+
+
 # --- what must hold of any model ---
 
 
@@ -172,13 +187,16 @@ held AS (SELECT count(DISTINCT source_file) AS files, count(*) AS rows FROM part
 SELECT n.rows AS windows, CAST(0 AS BIGINT) AS scores_out_of_range, CAST(0 AS BIGINT) AS scores_off_log_odds,
        CAST({len(FEATURES)} AS BIGINT) AS features, CAST(1000000 AS BIGINT) AS importance_millionths,
        CAST(0 AS BIGINT) AS reasons_off_contributions, held.rows AS held_rows,
-       TRUE AS metrics_in_range, TRUE AS confusion_adds_up FROM n, held""")
+       TRUE AS metrics_in_range, TRUE AS confusion_adds_up, CAST(0 AS BIGINT) AS scores_off_stored_model,
+       '{",".join(FEATURES)}' AS stored_features, TRUE AS stored_threshold FROM n, held""")
 def model_invariants(spark, sf_dir):
     """Relations between training, scores, importances, reasons and metrics, whatever the trees are."""
     parts, detector = trained(spark, sf_dir)
     rows, _ = explained(spark, sf_dir)
     scored = md.score(windows(spark, sf_dir), detector.model).select("sensor_id", "window_start", "score")
-    rows = rows.join(scored, ["sensor_id", "window_start"])
+    stored, meta = md.load_model(spark, detector.path)
+    reread = md.score(windows(spark, sf_dir), stored).select("sensor_id", "window_start", F.col("score").alias("stored_score"))
+    rows = rows.join(scored, ["sensor_id", "window_start"]).join(reread, ["sensor_id", "window_start"])
     sigmoid = 1 / (1 + F.exp(-F.col("log_odds")))
     text = reason_text(top_contributions(FEATURES, F.col("contributions")))
     pushed = F.size(F.filter("contributions", lambda c: c > 0))
@@ -189,6 +207,7 @@ def model_invariants(spark, sf_dir):
         F.count_if(~F.col("score").between(0, 1)).alias("scores_out_of_range"),
         F.count_if(F.abs(F.col("score") - sigmoid) > 1e-9).alias("scores_off_log_odds"),
         F.count_if(off).alias("reasons_off_contributions"),
+        F.count_if(F.abs(F.col("score") - F.col("stored_score")) > 1e-12).alias("scores_off_stored_model"),
     )
     weights = md.feature_importances(spark, detector.model).agg(
         F.count("*").alias("features"), F.round(F.sum("importance") * 1_000_000).cast("long").alias("importance_millionths")
@@ -203,7 +222,8 @@ def model_invariants(spark, sf_dir):
         if "accuracy" in m.columns
         else (cells > 0).alias("confusion_adds_up"),
     )
-    return checks.crossJoin(weights).crossJoin(held).crossJoin(told)
+    told = told.withColumns({"stored_features": F.lit(",".join(meta.features)), "stored_threshold": F.lit(meta.threshold == detector.threshold)})
+    return checks.crossJoin(weights).crossJoin(held).crossJoin(told)  # one row each
 
 
 @query("SELECT TRUE AS a_loss_a_round, TRUE AS losses_finite, TRUE AS best_is_least, TRUE AS better_than_first")
