@@ -462,7 +462,11 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, the SHA-256 of its turns as lines ``role:text``; ``turns`` is from ``repair``."""
+    """Per conversation, the SHA-256 of its turns as lines ``role:text``; ``turns`` is from ``repair``.
+
+    The digest is of all lines in order, so a conversation's lines pass through one task, which holds
+    a batch of them and the state of the hash. Conversations without turns have no row.
+    """
     kind = turns.schema["conv_id"].dataType.simpleString()
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block", "place")
     return ordered.mapInArrow(_hashed, f"conv_id {kind}, digest string")
