@@ -97,9 +97,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), path), path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), same.alias("exact"), "ids")
+    encoded = byte_bpe.encode_exact(docs.select("doc_id", "source", "lang", "text"), path)
+    return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "exact", "ids")
 
 
 STAGES = [

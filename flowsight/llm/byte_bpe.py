@@ -294,13 +294,46 @@ def encode(df: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     return df.mapInArrow(partial(_encode, content=read_ranks(ranks_path), classes=classes, column=column), schema)
 
 
-@frugal
-def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> Iterator[pa.RecordBatch]:
+def token_table(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in one array, and each token's size and place there."""
     tokens = {i: t for t, i in parse_ranks(content).items()}
     sizes = np.array([len(tokens.get(i, b"")) for i in range(max(tokens, default=-1) + 1)], dtype=np.int64)
     data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
-    first = np.cumsum(sizes) - sizes
-    del tokens
+    return data, sizes, np.cumsum(sizes) - sizes
+
+
+@frugal
+def _encode_exact(batches: Iterator[pa.RecordBatch], content: bytes, classes: Broadcast, column: str) -> Iterator[pa.RecordBatch]:
+    cached, automaton = Pieces(parse_ranks(content)), Automaton()
+    data, sizes, first = token_table(content)
+    for batch in batches:
+        for rows, texts in text_chunks(batch, column, ENCODED_CHARS):
+            pieces, _, per_text = split_texts(texts, automaton, classes.value)
+            ids, per_piece = cached.encode(pieces)
+            edges = np.append(0, np.cumsum(per_piece))[np.append(0, np.cumsum(per_text))]
+            ends = np.append(0, np.cumsum(sizes[ids]))[edges].tolist()
+            decoded = data[ragged(sizes[ids], first[ids])].tobytes()
+            exact = [decoded[a:b] == t.encode() for a, b, t in zip(ends, ends[1:], texts, strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, list_array(ids, np.diff(edges), pa.int32()), pa.array(exact, pa.bool_())],
+                names=[*rows.schema.names, "ids", "exact"],
+            )
+
+
+def encode_exact(df: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
+    """Adds ``ids`` as :func:`encode`, and ``exact``, whether they decode to the text's bytes.
+
+    Decoding follows in the same task, so neither ids nor bytes travel in between.
+    """
+    df = df.drop("ids", "exact")
+    schema = T.StructType([*df.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+    classes = df.sparkSession.sparkContext.broadcast(class_table())
+    return df.mapInArrow(partial(_encode_exact, content=read_ranks(ranks_path), classes=classes, column=column), schema)
+
+
+@frugal
+def _decode(batches: Iterator[pa.RecordBatch], content: bytes, column: str) -> Iterator[pa.RecordBatch]:
+    data, sizes, first = token_table(content)
     for batch in batches:
         lists = batch.column(batch.schema.get_field_index(column))
         ids = lists.flatten().to_numpy(zero_copy_only=False)

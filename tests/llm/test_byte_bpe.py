@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from flowsight.llm import byte_bpe
 from flowsight.llm.queries import QUERIES
@@ -85,3 +86,13 @@ def test_query(spark, sf_dir, library):
         digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert found.pop(i) == (len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest())
     assert not found
+
+
+def test_encoding_with_its_check(spark):
+    texts = ["Hello wörld's", None, "", "🙂 x  \n y", "abc " * 200_000, "同じ 同じ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("exact", F.lit("clash"))
+    found = {r.k: r for r in byte_bpe.encode_exact(df, PATH).collect()}
+    plain = {r.k: r for r in byte_bpe.decode(byte_bpe.encode(df, PATH), PATH).collect()}
+    assert len(found) == len(texts) and all(r.exact is True for r in found.values())
+    assert {k: r.ids for k, r in found.items()} == {k: r.ids for k, r in plain.items()}
+    assert all(bytes(r.decoded) == (texts[k] or "").encode() for k, r in plain.items())
