@@ -14,6 +14,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,10 @@ LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, BREAK, BORDER = range(9)
 # left, after a space that belongs to the next piece, in white space.
 FREE, WORD, DIGITS, SYMBOLS, ONE, TWO, LEAD, WHITE = range(8)
 
-#: Distinct pieces that a task remembers before it starts anew.
-CACHE_PIECES = 150_000
+#: Distinct pieces that a task remembers before it forgets half of them.
+CACHE_PIECES = 250_000
 #: Characters that are encoded at a time; a longer text is encoded alone, at about 60 bytes a character.
-ENCODED_CHARS = 300_000
+ENCODED_CHARS = 500_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -214,17 +215,18 @@ class Pieces:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1024, dtype=np.int32)
         self.first = np.zeros(1025, dtype=np.int64)
 
+    def shrink(self) -> None:
+        """Keeps the half of the pieces that were met first: frequent ones are among them."""
+        self.index = dict(islice(self.index.items(), CACHE_PIECES // 2))
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and how many each piece has."""
         if len(self.index) > CACHE_PIECES:
-            self.clear()
+            self.shrink()
         index = self.index
         new = [p for p in dict.fromkeys(pieces) if p not in index]
         if new:
