@@ -38,5 +38,5 @@ def test_another_missing_module_is_an_error(monkeypatch):
 
 def test_entry_with_the_operators():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
