@@ -138,8 +138,10 @@ INFINITE = " OR ".join(f"{c} = 'inf'" for c in FEATURES)
 def messy_cells(spark, sf_dir):
     def cell(i):
         k = (F.col("l_partkey") + 7 * i) % FAULTY
-        text = F.concat(F.lit("  "), (F.col("l_quantity").cast("long") + i).cast("string"), F.lit(".5 "))
-        return F.when(k == 0, "abc").when(k == 1, "NaN").when(k == 2, "inf").when(k == 3, "").when(k > 4, text)
+        # whole numbers as the SQL casts them, half to even; a null or negative key spoils no cell
+        text = F.concat(F.lit("  "), (F.rint("l_quantity").cast("long") + i).cast("string"), F.lit(".5 "))
+        faulty = F.when(k == 0, "abc").when(k == 1, "NaN").when(k == 2, "inf").when(k == 3, "")
+        return faulty.when(k == 4, F.lit(None)).otherwise(text)
 
     cells = [cell(i).alias(c) for i, c in enumerate(FEATURES)]
     return adapters.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *cells)
