@@ -58,15 +58,15 @@ def by_event(event_type: Column, choices: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(event_type == e, F.lit(v)) for e, v in choices.items()])
 
 
-def flows_from_events(events: DataFrame) -> DataFrame:
-    """Events as network flows of eight sensors."""
+def flows_from_events(events: DataFrame, arrival: Column | None = None) -> DataFrame:
+    """Events as network flows of eight sensors, numbered by event unless ``arrival`` says otherwise."""
     k = F.col("_k")
     user = F.col("user_id")
     kind = F.col("event_type")
     keyed = events.withColumn("_k", F.get_json_object("props", "$.k").cast("long"))
     return keyed.select(
         (user % 8).alias(KEY),
-        F.col("event_id").alias("arrival_seq"),
+        (F.col("event_id") if arrival is None else arrival).alias("arrival_seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat_ws(
             ".", F.lit("10.0"), F.floor(user / 250).cast("string"), (user % 250).cast("string")
@@ -103,19 +103,11 @@ def late_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``arrival_seq`` orders by (place, event id) in one number.
     """
-    events = table(spark, sf_dir, "events")
     late = F.get_json_object("props", "$.k").cast("long") % 10 == 0
     place = F.col("event_id") + F.when(late, F.lit(25)).otherwise(F.lit(0))
-    order = events.select(
-        F.col("event_id"), (place * 2 + F.when(late, F.lit(0)).otherwise(F.lit(1))).alias("_order")
-    )
     # Equal places hold one late and one punctual event; the late one has the smaller id.
-    return (
-        flows_from_events(events)
-        .join(order, F.col("arrival_seq") == F.col("event_id"))
-        .withColumn("arrival_seq", F.col("_order"))
-        .drop("event_id", "_order")
-    )
+    order = place * 2 + F.when(late, F.lit(0)).otherwise(F.lit(1))
+    return flows_from_events(table(spark, sf_dir, "events"), order)
 
 
 def simple_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,15 +25,17 @@ from flowsight.streaming import decisions as sd, features as sf, sinks
 # --- events as they come ---
 
 
+#: Lines of one file, at most about: one task sorts them.
+FILE_FLOWS = 500_000
+
+
 @query(SQL["arrival_window_features"])
 def file_order_features(spark, sf_dir):
-    """Flows in order of reading four JSON files; nothing in the lines says which came first."""
+    """Flows in order of reading JSON files; nothing in the lines says which came first."""
     flows = adapters.late_flows(spark, sf_dir)
-    last = flows.agg(F.max("arrival_seq")).first()[0] or 0
     path = scratch_dir(spark, "events")
-    for i in range(4):
-        own = F.floor(F.col("arrival_seq") * 4 / F.lit(last + 1)) == i
-        fl.as_events(flows.filter(own).coalesce(1).sortWithinPartitions("arrival_seq")).write.mode("append").json(path)
+    for chunk in sq.chunks_by_arrival(flows, "arrived", FILE_FLOWS):
+        fl.as_events(chunk.coalesce(1).sortWithinPartitions("arrival_seq")).write.mode("append").json(path)
     read = fl.read_flows(spark, path).withColumn("sensor_id", F.col("sensor_id").cast("long"))
     indexed = ft.assign_arrival_windows(read, None, WINDOW_SEC)
     rows = ft.window_features_by(indexed, WINDOW_SEC, drop_open=True)

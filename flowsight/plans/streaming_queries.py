@@ -59,6 +59,24 @@ def in_files(rows: DataFrame, name: str, number: Column, files: int) -> str:
     return path
 
 
+#: Flows of one file, at most about; a file's are one micro-batch.
+ARRIVED_FLOWS = 4_000_000
+
+
+def chunks_by_arrival(flows: DataFrame, name: str, rows: int, least: int = 4) -> list[DataFrame]:
+    """The flows cut along ``arrival_seq`` in chunks of about ``rows``, ``least`` of them at least.
+
+    They are stored with a folder per chunk, so all of them together read the flows once.
+    """
+    spark = flows.sparkSession
+    chunks = max(least, -(-flows.count() // rows))
+    path = scratch_dir(spark, name)
+    cut = flows.repartitionByRange(chunks, "arrival_seq").withColumn("_chunk", F.spark_partition_id())
+    cut.write.partitionBy("_chunk").parquet(path)
+    stored = spark.read.schema(cut.schema).parquet(path)
+    return [stored.filter(F.col("_chunk") == i).drop("_chunk") for i in range(chunks)]
+
+
 #: How far the rows of the shuffled files lie apart in time: a quarter of the given month.
 APART_DAYS = 8
 
@@ -107,10 +125,11 @@ def stream_json_features(spark, sf_dir):
 
 @query(SQL["arrival_window_features"])
 def stream_arrival_features(spark, sf_dir):
-    """Flows in four files by arrival, a tenth of them late: each joins the window open when it comes."""
+    """Flows in files by arrival, a tenth of them late: each joins the window open when it comes."""
     flows = adapters.late_flows(spark, sf_dir)
-    last = flows.agg(F.max("arrival_seq")).first()[0]
-    path = in_files(flows, "arrivals", F.least(F.floor(F.col("arrival_seq") * 4 / F.lit((last or 0) + 1)), F.lit(3)), 4)
+    path = scratch_dir(spark, "arrivals")
+    for chunk in chunks_by_arrival(flows, "arrived", ARRIVED_FLOWS):
+        chunk.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     rows = run_to_end(sa.stream_arrival_features(stream, WINDOW_SEC), "arrival_features")
     return rounded(rows.drop("window_start", "window_end", *CONTEXT_COLUMNS))

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from flowsight.plans import adapters
+from flowsight.plans.streaming_queries import chunks_by_arrival
 
 
 def against_sql(name, spark, folder, as_set):
@@ -28,3 +30,21 @@ def test_messy_cells_of_null_and_negative_keys_and_broken_quantities(name, spark
     rows = rows.withColumns({"l_partkey": key, "l_quantity": F.col("l_quantity") + F.col("l_linenumber") / 4})
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     against_sql(name, spark, str(tmp_path), as_set)
+
+
+def test_late_flows_of_repeated_event_numbers_count_once_each(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 100")
+    events.union(events).write.parquet(f"{tmp_path}/events.parquet")
+    assert adapters.late_flows(spark, str(tmp_path)).count() == 2 * events.count()
+
+
+def test_chunks_by_arrival_are_bounded_and_follow_each_other(spark, sf_dir):
+    flows = adapters.late_flows(spark, sf_dir)
+    total = flows.count()
+    chunks = chunks_by_arrival(flows, "chunks", rows=total // 10)
+    found = [[r[0] for r in c.select("arrival_seq").collect()] for c in chunks]
+    assert sorted(sum(found, [])) == sorted(r[0] for r in flows.select("arrival_seq").collect())
+    assert all(len(f) <= total // 4 for f in found)
+    filled = [f for f in found if f]
+    assert all(max(a) < min(b) for a, b in zip(filled, filled[1:]))
+    assert sum(c.count() for c in chunks_by_arrival(flows.limit(0), "none", rows=10)) == 0
