@@ -32,9 +32,10 @@ SUMS = ["n", "bytes", "pkts", "syn", "ack", "fin", "rst"]
 GROUP = ["src", "proto", "app_proto"]
 PLACE_STATE = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("index", T.LongType())])
 GROUP_STATE = T.StructType(
-    [T.StructField(c, T.LongType()) for c in [*SUMS, "first_at", "last_at"]] + [T.StructField("squares", T.StringType())]
+    [T.StructField("group", T.StringType())]
+    + [T.StructField(c, T.LongType()) for c in [*SUMS, "first_at", "last_at"]]
+    + [T.StructField("squares", T.StringType())]
 )
-NAMED = T.StructType([T.StructField("group", T.StringType())])
 COUNTS = ["http", "dns", "tls", "tcp"]
 
 
@@ -82,7 +83,8 @@ class ArrivalWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", PLACE_STATE)
-        self.groups = handle.getMapState("groups", NAMED, GROUP_STATE)
+        # written as a whole once a batch: a call to the state for every group takes longer than the sums
+        self.groups = handle.getListState("groups", GROUP_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         flows = pd.concat(list(rows), ignore_index=True).sort_values("arrival_seq", kind="stable", ignore_index=True)
@@ -107,23 +109,15 @@ class ArrivalWindows(StatefulProcessor):
 
     def with_open(self, groups: pd.DataFrame | None) -> pd.DataFrame:
         """The open window's groups in the state, together with those that came now."""
-        columns = ["group", *[f.name for f in GROUP_STATE]]
-        kept = pd.DataFrame([(k[0], *v) for k, v in self.groups.iterator()], columns=columns)
+        kept = pd.DataFrame([tuple(g) for g in self.groups.get()], columns=GROUP_STATE.names)
         kept["squares"] = kept["squares"].map(int).astype(object)
         parts = [p for p in (kept, groups) if p is not None and len(p)]
         return _merged(pd.concat(parts, ignore_index=True))
 
     def keep(self, groups: pd.DataFrame, fresh: bool) -> None:
-        if fresh:
-            self.groups.clear()
-        for g in groups.to_dict("records"):
-            values = [int(g[f.name]) for f in GROUP_STATE]
-            if not fresh and self.groups.containsKey((g["group"],)):
-                *sums, first, last, squares = self.groups.getValue((g["group"],))
-                *own, own_first, own_last, own_squares = values
-                values = [a + b for a, b in zip(sums, own, strict=True)]
-                values += [min(first, own_first), max(last, own_last), int(squares) + own_squares]
-            self.groups.updateValue((g["group"],), (*values[:-1], str(values[-1])))
+        known = groups if fresh else self.with_open(groups)
+        cells = [known[c].tolist() for c in GROUP_STATE.names[:-1]]
+        self.groups.put(list(zip(*cells, map(str, known["squares"]), strict=True)))
 
     def total(self, key, anchor: int, number: int, groups: pd.DataFrame) -> dict:
         return {self.key: key[0], "anchor": anchor, "window_index": number, **_total(groups)}
