@@ -18,6 +18,14 @@ def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inne
     return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
 
 
+def lookup_small(left: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``left`` to a table with one row per class or per file, which every executor gets whole.
+
+    The rows of ``left`` stay where they are, whatever their keys; null is a key like any other.
+    """
+    return match(left, F.broadcast(dim), on, how)
+
+
 def lookup(left: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join ``left`` to a table with one row per key (null is a key like any other).
 

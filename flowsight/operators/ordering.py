@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowsight.operators.lookups import lookup, match
+from flowsight.operators.lookups import lookup_small, match
 
 
 def time_bucket(ts: Column, seconds: int) -> Column:
@@ -102,7 +102,8 @@ def head_cuts(
 
     ``take`` gives the head size from the column ``total`` (rows of the group). A group whose head
     is empty has no row. ``order`` must be unique within a group. Only the order column is read,
-    and only the one bucket that holds the cut is ever shuffled and sorted.
+    and only the one bucket that holds the cut is ever shuffled and sorted. Groups are classes or
+    files: their one row each goes to every executor.
     """
     keys = list(keys)
     slim = df.select(*keys, order, bucket.alias("_bucket"))
@@ -123,7 +124,7 @@ def head_cuts(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order)
     return (
-        lookup(slim, cut_bucket, [*keys, "_bucket"], "inner")
+        lookup_small(slim, cut_bucket, [*keys, "_bucket"], "inner")
         .withColumn("_row", F.row_number().over(inside))
         .filter(F.col("_row") == F.col("_rank"))
         .select(*keys, F.col(order).alias("cut"))

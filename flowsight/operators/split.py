@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsight.functions.labels import inferred_label
 from flowsight.operators.clean import add_missing_features, core_columns
-from flowsight.operators.lookups import lookup
+from flowsight.operators.lookups import lookup_small
 from flowsight.operators.ordering import count_bucket, head_cuts
 from flowsight.schema import FEATURES
 
@@ -50,7 +50,7 @@ def head_or_tail(
     """
     cuts = head_cuts(df, keys, order, bucket, take).withColumnRenamed("cut", "_cut")
     return (
-        lookup(df, cuts, keys)
+        lookup_small(df, cuts, keys)
         .withColumn(name, F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False)))
         .drop("_cut")
     )
@@ -93,7 +93,7 @@ def split_by_file(df: DataFrame, order: str = "row_position", file: str = "sourc
         ),
         F.lit("train"),
     ).otherwise(F.lit("test"))
-    return lookup(rows, cuts, [file]).withColumn("part", part).drop("_cut", "_real", "_positional")
+    return lookup_small(rows, cuts, [file]).withColumn("part", part).drop("_cut", "_real", "_positional")
 
 
 def union_datasets(*frames: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
         label,
         (F.col("_total.rows") / (F.col("_total.classes") * F.col("_rows"))).alias("weight"),
     )
-    return lookup(df, weights, [label])
+    return lookup_small(df, weights, [label])
 
 
 def replay_feed(
