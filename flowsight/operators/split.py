@@ -49,11 +49,12 @@ def head_or_tail(
     compared with it, not shuffled.
     """
     cuts = head_cuts(df, keys, order, bucket, take).withColumnRenamed("cut", "_cut")
-    return (
-        lookup_small(df, cuts, keys)
-        .withColumn(name, F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False)))
-        .drop("_cut")
-    )
+    return lookup_small(df, cuts, keys).withColumn(name, below_cut(order)).drop("_cut")
+
+
+def below_cut(order: str) -> Column:
+    """Whether a row is in its group's head; a group without a ``_cut`` has none."""
+    return F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False))
 
 
 def split_by_file(df: DataFrame, order: str = "row_position", file: str = "source_file") -> DataFrame:
@@ -151,26 +152,30 @@ def stratified_split(
     if not exact:
         limit = format(int(fraction * 0xFFFFFFFF), "08x")
         return hashed.withColumn("is_validation", F.col("_hash") < limit).drop("_hash")
-    return head_or_tail(
-        hashed,
-        [label],
-        "_hash",
-        # Four hex digits: the hash is uniform, so the one bucket that gets sorted is 1/65536.
-        F.substring("_hash", 1, 4),
-        F.floor(F.col("total") * fraction),
-        "is_validation",
-    ).drop("_hash")
+    cuts = stratified_cuts(hashed, label, fraction).withColumnRenamed("cut", "_cut")
+    return lookup_small(hashed, cuts, [label]).withColumn("is_validation", below_cut("_hash")).drop("_hash", "_cut")
+
+
+def stratified_cuts(hashed: DataFrame, label: str, fraction: float) -> DataFrame:
+    """Per class the ``_hash`` of the last row of its share, as ``cut``."""
+    # Four hex digits: the hash is uniform, so the one bucket that gets sorted is 1/65536.
+    bucket = F.substring("_hash", 1, 4)
+    return head_cuts(hashed, [label], "_hash", bucket, F.floor(F.col("total") * fraction))
 
 
 def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     """Adds ``weight`` = rows / (classes * rows of the class)."""
+    return lookup_small(df, class_weights(df, label), [label])
+
+
+def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
+    """The ``weight`` of each class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
     totals = counts.agg(F.struct(F.sum("_rows").alias("rows"), F.count(F.lit(1)).alias("classes")))
-    weights = counts.withColumn("_total", totals.scalar()).select(
+    return counts.withColumn("_total", totals.scalar()).select(
         label,
         (F.col("_total.rows") / (F.col("_total.classes") * F.col("_rows"))).alias("weight"),
     )
-    return lookup_small(df, weights, [label])
 
 
 def replay_feed(

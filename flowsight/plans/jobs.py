@@ -27,13 +27,13 @@ class Trained:
 def train(training: DataFrame, settings: md.Training = md.Training(), path: str | None = None) -> Trained:
     """Fit, tune and store a detector from distinct (features, label) rows.
 
-    The marked rows are stored once; every round of the trees and every metric reads that table.
+    The rows are stored once, in even tasks; every round of the trees and every metric reads that table.
     """
     spark = training.sparkSession
     features = clean.select_feature_columns(training)
     rows = training.withColumn("y", binary_label(F.col("label"))).dropDuplicates([*features, "label"])
-    rows = materialize(md.prepare_training(rows, [*features, "label"], "y", settings), "training")
-    model = md.fit(rows, features, training=settings) if settings.patience is None else md.fit_with_patience(rows, features, training=settings)[0]
+    rows = md.stored_training(rows, [*features, "label"], "y", settings, training.count())
+    model = md.fit(rows, features, training=settings, spread=False) if settings.patience is None else md.fit_with_patience(rows, features, training=settings)[0]
     held = rows.filter("is_validation").select(*features, "y")
     scored = materialize(md.score(held, model, features).select("y", "score"), "validation")
     metrics = materialize(md.validation_metrics(scored), "metrics")

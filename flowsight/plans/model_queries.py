@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.operators import clean, evaluate as ev, model as md, split
@@ -20,6 +21,7 @@ from flowsight.session import materialize
 # The operator's own settings; early stopping ends the training.
 SETTINGS = md.Training()
 _trained: dict[tuple[str, str], tuple] = {}
+_windows: dict[tuple[str, str], DataFrame] = {}
 
 
 def trained(spark, sf_dir):
@@ -33,7 +35,11 @@ def trained(spark, sf_dir):
 
 
 def windows(spark, sf_dir):
-    return window_features(adapters.flows(spark, sf_dir), WINDOW)
+    """Feature windows of the flows, made once per session and folder."""
+    run = (spark.sparkContext.applicationId, sf_dir)
+    if run not in _windows:
+        _windows[run] = materialize(window_features(adapters.flows(spark, sf_dir), WINDOW), "windows")
+    return _windows[run]
 
 
 def explained(spark, sf_dir):
