@@ -66,10 +66,10 @@ CONTEXT = ["top_src_ip", "http_flows", "dns_flows", "tls_flows", "app_protos"]
 def summarize_flows(flows: DataFrame, by: list[str]) -> DataFrame:
     """The 13 features and the context columns per group of flows.
 
-    Three aggregations, coarser each time. The first groups on everything that tells flows apart
-    (source and protocols as well), so it shrinks the flows before they are shuffled and spreads a
-    busy window over its sources. The second counts those groups in two ways, per source and per
-    pair of protocols, and only the last builds lists and picks the top source, per window.
+    Two aggregations. The first counts flows in two ways at once, per source and per pair of
+    protocols, so it shrinks the flows before they are shuffled, spreads a busy window over its sources,
+    and is, on a stream, the only state that grows with the sources. The second builds lists and picks the
+    top source, per window.
     """
     state = F.upper("state")
     flow = flows.select(
@@ -85,24 +85,22 @@ def summarize_flows(flows: DataFrame, by: list[str]) -> DataFrame:
         _flagged(state.contains("FIN")).alias("fin"),
         _flagged(state.contains("RST")).alias("rst"),
     )
-    sums = ["n", "bytes", "pkts", "syn", "ack", "fin", "rst", "squares"]
-    by_all = flow.groupBy(*by, "src", "proto", "app_proto").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[_total(c) for c in sums[1:-1]],
-        F.sum(squared(F.col("bytes"))).alias("squares"),
-        F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"),
-    )
+    # Of a source only the flows are counted; what is summed up is summed per pair of protocols.
+    measured = ["bytes", "pkts", "syn", "ack", "fin", "rst"]
+    sums = ["n", *measured, "squares"]
     none = F.lit(None).cast("string")
+    nothing = [F.lit(None).cast(flow.schema[c].dataType).alias(c) for c in ["at", *measured]]
     views = F.array(
-        F.struct(F.lit(True).alias("of_source"), F.col("src").alias("src"), none.alias("proto"), none.alias("app_proto")),
-        F.struct(F.lit(False).alias("of_source"), none.alias("src"), F.col("proto"), F.col("app_proto")),
-    )
-    viewed = by_all.withColumn("_view", F.explode(views)).select(
-        *by, "_view.*", *sums, "first_at", "last_at"
+        F.struct(F.lit(True).alias("of_source"), F.col("src").alias("src"), none.alias("proto"), none.alias("app_proto"), *nothing),
+        F.struct(F.lit(False).alias("of_source"), none.alias("src"), F.col("proto"), F.col("app_proto"), *[F.col(c) for c in ["at", *measured]]),
     )
+    viewed = flow.withColumn("_view", F.explode(views)).select(*by, "_view.*")
     counted = viewed.groupBy(*by, "of_source", "src", "proto", "app_proto").agg(
-        *[_total(c) for c in sums], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+        F.count(F.lit(1)).alias("n"),
+        *[_total(c) for c in measured],
+        F.sum(squared(F.col("bytes"))).alias("squares"),
+        F.min("at").alias("first_at"),
+        F.max("at").alias("last_at"),
     )
 
     def flows_where(hit: Column, name: str) -> Column:

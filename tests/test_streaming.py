@@ -57,6 +57,17 @@ def test_windows_over_restarts_equal_the_batch(spark, tmp_path):
     assert out.exceptAll(batch).isEmpty()
 
 
+def test_feature_stream_keeps_flows_once_until_their_window_closes(spark, tmp_path):
+    feed = Feed(spark, tmp_path, SCHEMA)
+    feed.put(random_flows(21, 200))
+    result = sf.stream_window_features(feed.stream(), lateness="0 seconds")
+    job = result.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).format("noop").start()
+    job.awaitTermination()
+    kept = [[s["numRowsUpdated"] for s in p["stateOperators"]] for p in job.recentProgress]
+    # a state of sources and protocols and one of windows, with none of finer rows before them
+    assert kept and all(len(state) == 2 for state in kept)
+
+
 def test_late_flows_within_the_allowance_count(spark, tmp_path):
     feed = Feed(spark, tmp_path, SCHEMA)
     feed.put([flow(0, 1), flow(1, 12)])
