@@ -140,16 +140,22 @@ def stream_trailing_features(spark, sf_dir):
     return run_to_end(sf.stream_trailing_features(flow_stream(spark, sf_dir), WINDOW_SEC, lateness=LATENESS), "trailing")
 
 
+#: Event lines of one file, at most about; one task writes a file.
+FILE_LINES = 250_000
+
+
 @query(f"SELECT * EXCLUDE (arrival_seq) FROM ({SQL['trailing_features']})")
 def stream_json_trailing(spark, sf_dir):
-    """JSON event lines in three files by time, answered flow by flow as they come."""
+    """JSON event lines in three batches of files by time, answered flow by flow as they come."""
     flows = adapters.flows(spark, sf_dir)
-    ends = flows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    ends = flows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("flows")).first()
+    files = max(1, -(-ends["flows"] // (3 * FILE_LINES)))
     path = scratch_dir(spark, "events")
     third = F.width_bucket(F.unix_micros("ts"), F.unix_micros(F.lit(ends["first"])), F.unix_micros(F.lit(ends["last"])) + 1, F.lit(3))
     for i in (1, 2, 3):
-        as_events(flows.filter(third == i)).coalesce(1).write.mode("append").json(path)
-    stream = parse_flows(read_events_stream(spark, path, files_per_trigger=1))
+        part = as_events(flows.filter(third == i))
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").json(path)
+    stream = parse_flows(read_events_stream(spark, path, files_per_trigger=files))
     rows = run_to_end(sf.stream_trailing_features(stream, WINDOW_SEC, lateness=LATENESS), "trailing")
     return rows.withColumn("sensor_id", F.col("sensor_id").cast("long")).drop("arrival_seq")
 

@@ -45,7 +45,11 @@ def once_per_window(rows: DataFrame, lateness: str = "1 hour", key: str = KEY) -
 
 FLOW_FIELDS = ["at", "bytes", "pkts", "syn"]
 SUB_SLICE = T.StructType([T.StructField("sub", T.IntegerType())])
-SUB_SUMS = T.StructType([T.StructField(c, T.LongType()) for c in ["n", "bytes", "pkts", "syn"]] + [T.StructField("squares", T.StringType())])
+SUB_SUMS = T.StructType(
+    [T.StructField("sub", T.ArrayType(T.IntegerType()))]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ["n", "bytes", "pkts", "syn"]]
+    + [T.StructField("squares", T.ArrayType(T.StringType()))]
+)
 SUB_FLOWS = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in FLOW_FIELDS])
 
 
@@ -55,7 +59,8 @@ class TrailingWindow(StatefulProcessor):
     A slice is as long as the window, and sees a copy of the flows of the slice before it, so a
     busy sensor's history is spread over slices that expire by themselves. Within a slice the flows
     are kept by sub-slice, with a sum for each: a window is made of whole sub-slices, whose sums are
-    added, and of the two that its ends cut, which alone are read flow by flow.
+    added, and of the two that its ends cut, which alone are read flow by flow. Every look at the state
+    is a message to the JVM, so the sums of a slice are one value, and tell which sub-slices there are.
     """
 
     def __init__(self, key: str, seconds: int):
@@ -63,34 +68,34 @@ class TrailingWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getMapState("sums", SUB_SLICE, SUB_SUMS)
+        self.sums = handle.getValueState("totals", SUB_SUMS)
         self.flows = handle.getMapState("flows", SUB_SLICE, SUB_FLOWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
         start = int(key[1]) * self.width
         arrived["sub"] = (arrived["at"].to_numpy() - start) * SLICE_PARTS // self.width
-        sums = {place[0]: (*v[:4], int(v[4])) for place, v in self.sums.iterator()}
+        value = self.sums.get()
+        sums = {} if value is None else {sub: (*four, int(squares)) for sub, *four, squares in zip(*value, strict=True)}
         if not sums:
             # The last flow that can need this slice is one slice later.
             self.handle.registerTimer((start + self.width) // 1000)
         read: dict[int, np.ndarray] = {}
         for sub, new in arrived.groupby("sub"):
             cells = new[FLOW_FIELDS].to_numpy().T
-            read[int(sub)] = known = np.concatenate([self.stored(int(sub)), cells], axis=1)
+            read[int(sub)] = known = np.concatenate([self.stored(int(sub)), cells], axis=1) if int(sub) in sums else cells
             squares = int((cells[1].astype(object) ** 2).sum())
             own = (cells.shape[1], *(int(c.sum()) for c in cells[1:]), squares)
-            sums[int(sub)] = total = tuple(a + b for a, b in zip(sums.get(int(sub), (0,) * 5), own, strict=True))
-            self.flows.updateValue((int(sub),), tuple([int(v) for v in row] for row in known))
-            self.sums.updateValue((int(sub),), (*total[:4], str(total[4])))
+            sums[int(sub)] = tuple(a + b for a, b in zip(sums.get(int(sub), (0,) * 5), own, strict=True))
+            self.flows.updateValue((int(sub),), tuple(row.tolist() for row in known))
+        *four, squares = zip(*sums.values())
+        self.sums.update((list(sums), *map(list, four), [str(s) for s in squares]))
         own = arrived[arrived["own"]]
         if len(own):
             yield pd.concat([self.answer(key, int(sub), sums, read, part) for sub, part in own.groupby("sub")], ignore_index=True)
 
     def stored(self, sub: int) -> np.ndarray:
-        """The flows of a sub-slice in the state, as rows of ``FLOW_FIELDS``."""
-        if not self.flows.containsKey((sub,)):
-            return np.zeros((len(FLOW_FIELDS), 0), dtype=np.int64)
+        """The flows of a sub-slice that is in the state, as rows of ``FLOW_FIELDS``."""
         return np.array(self.flows.getValue((sub,)), dtype=np.int64).reshape(len(FLOW_FIELDS), -1)
 
     def answer(self, key, sub: int, sums: dict, read: dict, own: pd.DataFrame) -> pd.DataFrame:

@@ -57,6 +57,30 @@ def test_windows_over_restarts_equal_the_batch(spark, tmp_path):
     assert out.exceptAll(batch).isEmpty()
 
 
+def test_trailing_state_is_few_values_a_slice(spark, tmp_path):
+    feed = Feed(spark, tmp_path, SCHEMA)
+    feed.put([flow(i, i % 30) for i in range(300)])
+    result = sf.stream_trailing_features(feed.stream(), 30, lateness="0 seconds")
+    job = result.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).format("noop").start()
+    job.awaitTermination()
+    rows = max(s["numRowsUpdated"] for p in job.recentProgress for s in p["stateOperators"])
+    # 30 different times in each of two slices, and the sums of a slice in one value
+    assert rows <= 2 * (30 + 1)
+
+
+def test_json_lines_of_a_batch_lie_in_files_of_bounded_size(spark, sf_dir, monkeypatch):
+    from flowsight.plans import streaming_queries as sq
+
+    monkeypatch.setattr(sq, "FILE_LINES", 100)
+    asked, read = [], sq.read_events_stream
+    monkeypatch.setattr(sq, "read_events_stream", lambda spark, path, files_per_trigger: asked.append((path, files_per_trigger)) or read(spark, path, files_per_trigger=files_per_trigger))
+    flows = adapters.flows(spark, sf_dir).count()
+    assert sq.stream_json_trailing(spark, sf_dir).count() == flows
+    (path, files), = asked
+    assert files == -(-flows // 300) > 1
+    assert len(spark.read.text(path).inputFiles()) == 3 * files
+
+
 def test_feature_stream_keeps_flows_once_until_their_window_closes(spark, tmp_path):
     feed = Feed(spark, tmp_path, SCHEMA)
     feed.put(random_flows(21, 200))
