@@ -12,13 +12,15 @@ those probabilities, gives the final decision together with the votes. Strict sp
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsight.session import materialize
+
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -40,9 +42,11 @@ LOOSE = (
     None,
     r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 )
-#: What a text must hold for a pattern to be tried at all.
-NEEDS = ("@", ".", None, "+")
-LOOSE_NEEDS = (r"(?i)\bat\b", r":[0-9A-Fa-f]{1,4}:", None, r"[0-9][ .-][0-9]{4}")
+#: What a text must hold for a pattern to be tried at all; every match has it.
+NEEDS = (r"@[A-Za-z0-9-]", r"[0-9]\.[0-9]++\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){11}", r"\+[0-9]")
+LOOSE_NEEDS = (
+    r"(?i)(?:[(\[]at[)\]] ?| at )[a-z0-9-]++(?: ?[(\[]dot[)\]]| dot |\.)", r":[0-9A-Fa-f]{1,4}:", None, r"[0-9]\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+)
 
 TOP_LEVEL = "com|org|net|edu|gov|int|info|io|dev|app|de|fr|es|it|uk|eu|us|ca|au|jp|nl|ch|at"
 CONTEXT = (
@@ -53,33 +57,59 @@ CONTEXT = (
 )
 CONTEXT_CHARS = 40
 LABELERS = ("layout", "validity", "gazetteer", "context", "edges")
+#: Lists are built in blocks of so many entries, since adding to a list copies it.
+BLOCK = 256
+
+
+def blocks(values: Column) -> Column:
+    """A list cut into lists of ``BLOCK`` entries."""
+    n = F.size(values)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(n > 0, cut).otherwise(F.slice(F.array(values), 1, 0))
+
+
+def folded(values: Column, state: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What each entry of a list adds, as a list of type ``out``; ``step`` gives the next state and the addition."""
+    none, nothing = F.array().cast(f"array<{out}>"), F.array().cast(f"array<array<{out}>>")
+
+    def within(s: Column, m: Column) -> Column:
+        state, added = step(s["state"], m)
+        return F.struct(state.alias("state"), F.concat(s["out"], F.array(added)).alias("out"))
+
+    def block(s: Column, some: Column) -> Column:
+        start = F.struct(s["last"]["state"].alias("state"), none.alias("out"))
+        return F.struct(F.aggregate(some, start, within).alias("last"), F.concat(s["done"], F.array(s["last"]["out"])).alias("done"))
+
+    start = F.struct(F.struct(state.alias("state"), none.alias("out")).alias("last"), nothing.alias("done"))
+    return F.aggregate(blocks(values), start, block, lambda s: F.flatten(F.concat(s["done"], F.array(s["last"]["out"]))))
+
+
+MATCH = "struct<start:int,end:int,value:string,before:string,after:string>"
 
 
 def found(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Matches from left to right as structs (start, end, value); positions in code points."""
+    """Matches from left to right as structs (start, end, value, before, after); positions in code points.
+
+    ``before`` are up to ``CONTEXT_CHARS`` characters before the match, ``after`` is the one behind it.
+    """
     parts, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     # The matches fill the gaps between the parts: the k-th begins after k + 1 parts and k matches.
-    gaps = F.arrays_zip(F.transform(parts, F.length).alias("gap"), values.alias("value"))
-    placed = F.aggregate(
-        F.slice(gaps, F.lit(1), F.size(values)),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, m: F.struct(
-            (s["at"] + m["gap"] + F.length(m["value"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(
-                    F.struct(
-                        (s["at"] + m["gap"]).alias("start"),
-                        (s["at"] + m["gap"] + F.length(m["value"])).alias("end"),
-                        m["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return placed if needs is None else F.when(F.contains(text, F.lit(needs)), placed).otherwise(empty)
+    gaps = F.arrays_zip(
+        F.slice(parts, F.lit(1), F.size(values)).alias("gap"), values.alias("value"),
+        F.slice(parts, F.lit(2), F.size(values)).alias("next"), F.slice(values, F.lit(2), F.size(values)).alias("then"),
+    )
+
+    def step(s: Column, m: Column) -> tuple[Column, Column]:
+        start = s["at"] + F.length(m["gap"])
+        end = start + F.length(m["value"])
+        before = F.right(F.concat(s["before"], m["gap"]), F.lit(CONTEXT_CHARS))
+        after = F.left(F.concat(F.left(m["next"], F.lit(1)), F.coalesce(F.left(m["then"], F.lit(1)), F.lit(""))), F.lit(1))
+        columns = {"start": start, "end": end, "value": m["value"], "before": before, "after": after}
+        state = F.struct(end.alias("at"), F.right(F.concat(before, m["value"]), F.lit(CONTEXT_CHARS)).alias("before"))
+        return state, F.struct(*[v.alias(c) for c, v in columns.items()])
+
+    placed = folded(gaps, F.struct(F.lit(0).alias("at"), F.lit("").alias("before")), MATCH, step)
+    return placed if needs is None else F.when(text.rlike(needs), placed).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def digits(value: Column) -> Column:
@@ -109,38 +139,36 @@ def passes(kind: int, value: Column) -> Column:
     return F.lit(True)
 
 
-def strict_spans(text: Column) -> Column:
-    """Strict spans of all kinds in order of start, then kind, as structs (start, kind, end, value, strict)."""
-    return F.array_sort(F.concat(*[_tagged(found(text, STRICT[k], NEEDS[k]), k, True) for k in range(4)]))
+def _tagged(spans: Column, kind: int, strict: bool) -> Column:
+    fields = lambda s: {"start": s["start"], "kind": F.lit(kind), "end": s["end"], "value": s["value"], "strict": F.lit(strict), "before": s["before"], "after": s["after"]}
+    return F.transform(spans, lambda s: F.struct(*[v.alias(c) for c, v in fields(s).items()]))
 
 
-def _tagged(spans: Column, kind: int, strict: bool) -> Column:
-    kept = F.filter(spans, lambda s: passes(kind, s["value"]) if strict else ~passes(kind, s["value"]))
-    return F.transform(
-        kept,
-        lambda s: F.struct(
-            s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(strict).alias("strict")
-        ),
-    )
+def _checked(spans: Column, kind: int, strict: bool) -> Column:
+    """Matches of a strict pattern that pass their check, or those that do not."""
+    return _tagged(F.filter(spans, lambda s: passes(kind, s["value"]) if strict else ~passes(kind, s["value"])), kind, strict)
+
+
+def strict_spans(matches: Sequence[Column]) -> Column:
+    """Strict spans of all kinds in order of start, then kind, as structs (start, kind, end, value, strict, before, after)."""
+    return F.array_sort(F.concat(*[_checked(m, k, True) for k, m in enumerate(matches)]))
 
 
-def candidate_spans(text: Column, strict: Column) -> Column:
-    """Looser candidates that touch no strict span, of all kinds."""
-    lists = [_tagged(found(text, STRICT[k], NEEDS[k]), k, False) for k in (IP, CARD, PHONE)]
-    for k, pattern in enumerate(LOOSE):
-        if pattern:
-            spans = F.transform(
-                found(text, pattern),
-                lambda s, k=k: F.struct(
-                    s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("strict")
-                ),
-            )
-            none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,strict:boolean>>")
-            lists.append(F.when(text.rlike(LOOSE_NEEDS[k]), spans).otherwise(none))
-    free = lambda s: ~F.exists(strict, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def candidate_spans(text: Column, matches: Sequence[Column], strict: Column) -> Column:
+    """Looser candidates that touch no strict span, of all kinds; ``strict`` has the strict ones in blocks."""
+    lists = [_checked(matches[k], k, False) for k in (IP, CARD, PHONE)]
+    lists += [_tagged(found(text, pattern, LOOSE_NEEDS[k]), k, False) for k, pattern in enumerate(LOOSE) if pattern]
+    meet = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    free = lambda s: ~F.exists(strict, lambda block: meet(s, block) & F.exists(block["spans"], lambda b: meet(s, b)))
     return F.array_sort(F.filter(F.concat(*lists), free))
 
 
+def in_blocks(spans: Column) -> Column:
+    """Blocks of spans with the smallest start and the largest end."""
+    ends = lambda b: F.array_max(F.transform(b, lambda s: s["end"]))
+    return F.transform(blocks(spans), lambda b: F.struct(b.alias("spans"), F.element_at(b, 1)["start"].alias("start"), ends(b).alias("end")))
+
+
 def per_kind(kind: Column, values: Sequence[Column]) -> Column:
     return reduce(lambda rest, k: F.when(kind == k, values[k]).otherwise(rest), range(2, -1, -1), values[3])
 
@@ -150,13 +178,11 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def judged(text: Column, span: Column) -> Column:
+def judged(span: Column) -> Column:
     """A span with its votes and features as numbers: (…, votes, features)."""
     kind, value = span["kind"], span["value"]
     start, end = span["start"], span["end"]
-    ahead = F.least(start, F.lit(CONTEXT_CHARS))
-    before = F.substr(text, start - ahead + 1, ahead)
-    after = F.substr(text, end + 1, F.lit(1))
+    before, after = span["before"], span["after"]
     number = digits(value)
     long_enough = F.length(number)
     never, always = F.lit(False), F.lit(True)
@@ -203,9 +229,14 @@ def judged(text: Column, span: Column) -> Column:
 def with_spans(df: DataFrame, column: str) -> DataFrame:
     """Adds ``_strict`` and ``_judged``, the strict spans and all spans with votes and features."""
     text = F.coalesce(F.col(column), F.lit(""))
-    df = df.withColumn("_strict", strict_spans(text))
-    df = df.withColumn("_judged", F.concat("_strict", candidate_spans(text, F.col("_strict"))))
-    return df.withColumn("_judged", F.transform("_judged", lambda s: judged(text, s)))
+    own = [c for c in df.columns if c not in ("_strict", "_judged")]
+    names = [f"_strict_{k}" for k in range(4)]
+    df = df.select(*[F.col(f"`{c}`") for c in own], *[found(text, STRICT[k], NEEDS[k]).alias(c) for k, c in enumerate(names)])
+    matches = [F.col(c) for c in names]
+    df = df.withColumn("_strict", strict_spans(matches))
+    df = df.withColumn("_strict_blocks", in_blocks(F.col("_strict")))
+    spans = F.concat("_strict", candidate_spans(text, matches, F.col("_strict_blocks")))
+    return df.select(*[F.col(f"`{c}`") for c in own], "_strict", F.transform(spans, judged).alias("_judged"))
 
 
 @dataclass
@@ -281,7 +312,12 @@ def fit(df: DataFrame, column: str = "text") -> SpanModel:
     The driver gets one count per kind, vote combination and feature combination: at most
     4 * 3**5 * 96 rows, whatever the corpus holds.
     """
-    spans = with_spans(df.select(column), column).select(F.explode("_judged").alias("s"))
+    return fit_spans(with_spans(df.select(column), column))
+
+
+def fit_spans(judged: DataFrame) -> SpanModel:
+    """Learns from the spans of ``with_spans``."""
+    spans = judged.select(F.explode("_judged").alias("s"))
     return estimate([tuple(r) for r in spans.groupBy("s.kind", "s.votes", "s.features").count().collect()])
 
 
@@ -310,9 +346,13 @@ def find(df: DataFrame, model: SpanModel | None = None, column: str = "text", th
     kind; without a ``model`` one is fitted on ``df``. A null or empty text has empty lists; columns
     named like the added ones are replaced. Rows stay in their partitions and are not compared, so
     repeated rows get equal spans; texts of any length are read whole. An empty table gives an empty
-    one, and a model that judges by its starting values.
+    one, and a model that judges by its starting values. Where a model is fitted, texts and spans are
+    written once, so that patterns run once.
     """
-    model = model or fit(df, column)
+    df = with_spans(df.drop("strict", "spans"), column)
+    if model is None:
+        df = materialize(df, "spans")
+        model = fit_spans(df)
     kept = F.filter("_judged", lambda s: s["strict"] | (score(s, model) >= threshold))
 
     def plain(spans: Column) -> Column:
@@ -320,7 +360,6 @@ def find(df: DataFrame, model: SpanModel | None = None, column: str = "text", th
             F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")]))
         )
 
-    df = with_spans(df.drop("strict", "spans"), column)
     return df.select(
         *[c for c in df.columns if not c.startswith(("_strict", "_judged"))],
         plain(F.col("_strict")).alias("strict"),

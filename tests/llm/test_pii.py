@@ -78,6 +78,26 @@ def test_all_spans_hold_the_strict_ones_and_redact(spark):
         assert r.clean == clean + (r.text or "")[at:]
 
 
+def test_looser_candidates_keep_their_kind(spark):
+    """Their kind was their place in the text, and the sixth one's name was not found."""
+    texts = ["call 269 555-3296 " * 6, "joe at site dot com, ann at site dot com", "ip 2001:db8:1:2:3:4:5:6 or 2001:db8:1:2:3:4:5:7", "tel (269) 555-3296"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find(df, pii.estimate([])).withColumn("listing", pii.listing(F.col("spans"))).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect()
+    kinds = {r.doc_id: [s.kind for s in r.spans] for r in rows}
+    assert kinds == {0: [pii.PHONE] * 6, 1: [pii.EMAIL] * 2, 2: [pii.IP] * 2, 3: [pii.PHONE]}
+    assert {r.doc_id: r.listing for r in rows}[1] == "email:0:19,email:21:40"
+    assert {r.doc_id: r.clean for r in rows}[0] == "call [PHONE] " * 6
+
+
+def test_many_spans_of_one_text_and_what_stands_around_them(spark):
+    text = "".join(f"{i:04d} é mail a{i}@b.co" + "," * (i % 3) for i in range(1000))
+    got = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = got.select(F.explode(pii.found(F.col("text"), pii.STRICT[pii.EMAIL], pii.NEEDS[pii.EMAIL])).alias("m")).select("m.*").collect()
+    wanted = [(m.start(), m.end(), m[0], text[max(m.start() - pii.CONTEXT_CHARS, 0) : m.start()], text[m.end() : m.end() + 1]) for m in re.finditer(BASE[0][1], text)]
+    assert len(wanted) > 3 * pii.BLOCK
+    assert [tuple(r) for r in got] == wanted
+
+
 def test_reliable_labelers_win(spark):
     model = pii.estimate([(2, 242, 0, 100), (2, 0, 0, 100), (2, 2 * 81 + 0 * 27 + 9 + 3 + 1, 0, 10)])
     assert model.reliability["card", "validity"] > 0.5
